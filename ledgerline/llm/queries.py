@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, sharding
+from . import bpe, chat, secrets, sharding
 from .common import table
 
 
@@ -24,10 +24,21 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op2_secret_ledger": op2_secret_ledger,
     "op3_chat_render": op3_chat_render,
     "op7_shards": op7_shards,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
