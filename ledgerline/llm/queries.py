@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, secrets, sharding
+from . import bpe, chat, secrets, sharding, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_secret_ledger": op2_secret_ledger,
     "op3_chat_render": op3_chat_render,
     "op7_shards": op7_shards,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
 }
 
