@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, secrets, sharding, toxicity
+from . import bpe, chat, neighbours, secrets, sharding, toxicity
 from .common import table
 
 
+def op1_balanced_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.ledger_scan(table(spark, sf_dir, "documents"))
     return secrets.digest(findings)
@@ -39,6 +44,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_balanced_lists": op1_balanced_lists,
     "op2_secret_ledger": op2_secret_ledger,
     "op3_chat_render": op3_chat_render,
     "op7_shards": op7_shards,
