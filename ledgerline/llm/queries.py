@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, neighbours, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, neighbours, secrets, sharding, toxicity
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_balanced_lists": op1_balanced_lists,
     "op2_secret_ledger": op2_secret_ledger,
@@ -50,6 +54,7 @@ QUERIES = {
     "op7_shards": op7_shards,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
