@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, neighbours, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, lines, neighbours, secrets, sharding, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_balanced_lists": op1_balanced_lists,
     "op2_secret_ledger": op2_secret_ledger,
     "op3_chat_render": op3_chat_render,
+    "op6_line_runs": op6_line_runs,
     "op7_shards": op7_shards,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
