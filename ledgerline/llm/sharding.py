@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import cut, shared_dir
 
 BUCKET_BYTES = 16 << 20
+#: Up to so many buckets their offsets (16 bytes each) are broadcast; with more they are joined by a shuffle.
+BROADCAST_BUCKETS = 100_000
 
 
 def shard(docs: DataFrame, n_shards: int = 16, seed: int = 20240, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
@@ -35,6 +37,8 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 20240, bucket_bytes:
     mixed = cut(buckets.select("bucket", F.posexplode(F.shuffle(in_order, F.lit(seed))).alias("at", "rec")))
     sizes = mixed.groupBy("bucket").agg(F.count("*").alias("n"))
     before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    if n <= BROADCAST_BUCKETS:
+        before = F.broadcast(before)
     rank = F.col("before") + F.col("at")
     return mixed.join(before, "bucket").select(
         *[F.col(f"rec.`{c}`").alias(c) for c in kept],
