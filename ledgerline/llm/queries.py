@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, lines, neighbours, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, jaccard, lines, neighbours, secrets, sharding, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows))
 
 
+def op4_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = jaccard.link(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return jaccard.digest(members)
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_balanced_lists": op1_balanced_lists,
     "op2_secret_ledger": op2_secret_ledger,
     "op3_chat_render": op3_chat_render,
+    "op4_token_groups": op4_token_groups,
     "op6_line_runs": op6_line_runs,
     "op7_shards": op7_shards,
     "op8_toxicity": op8_toxicity,
