@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,10 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df if it is a plain scan of stored rows, else its written copy: two reads then give the same rows at the same places."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = set(re.findall(r"^[\s:+\-]*(\w+)", plan, re.MULTILINE))
+    return df if steps <= {"Project", "Filter", "Relation", "LocalRelation"} else cut(df)

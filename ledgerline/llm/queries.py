@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, lines, neighbours, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, jaccard, lines, neighbours, secrets, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(members)
 
 
+def op5_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup(table(spark, sf_dir, "documents")))
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_secret_ledger": op2_secret_ledger,
     "op3_chat_render": op3_chat_render,
     "op4_token_groups": op4_token_groups,
+    "op5_suffix_blocks": op5_suffix_blocks,
     "op6_line_runs": op6_line_runs,
     "op7_shards": op7_shards,
     "op8_toxicity": op8_toxicity,
