@@ -274,4 +274,4 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """One document of each component, the one of least doc_id, with docs' own columns; of rows that repeat an id all stay."""
     members, _ = link(docs, width, percent)
     gone = cut(members.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
