@@ -11,6 +11,7 @@ Windows next to each other with equal keys are repeats.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ from .common import stored
 LENGTH = 200
 GRAM = 16
 #: Bytes of text a map step works on at once, and bytes of pieces a bucket should hold.
-PIECE_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+PIECE_BYTES = 3 << 19
+BUCKET_BYTES = 5 << 20
 #: The cover: residues modulo 3 whose differences are all residues.
 COVER, MODULUS = (0, 1), 3
 _BASE = 0xD6E8FEB86659FD93
@@ -35,7 +36,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = 1 << n.bit_length()
+        size = n + (n >> 3)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.ones(size, np.uint64)
             p[1:] = np.uint64(base)
@@ -93,13 +94,29 @@ def _runs(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prints: Prints
     return at[new], count, gram, owner[new]
 
 
-def _pack(raw: np.ndarray, **columns: np.ndarray) -> bytes:
+class Squeeze:
+    """Compression of small blobs with a sample of the texts as dictionary."""
+
+    def __init__(self, sample: bytes, level: int = 3):
+        held = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(sample) >= 8 else None
+        if held:
+            held.precompute_compress(level=level)
+        self.pack = zstandard.ZstdCompressor(level=level, dict_data=held).compress
+        self.unpack = zstandard.ZstdDecompressor(dict_data=held).decompress
+
+
+@lru_cache(maxsize=2)
+def _squeeze(sample: bytes) -> Squeeze:
+    return Squeeze(sample)
+
+
+def _pack(raw: np.ndarray, squeeze: Squeeze, **columns: np.ndarray) -> bytes:
     head = np.array([len(columns["rid"]), len(raw)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.tobytes() for c in columns.values()) + raw.tobytes())
+    return squeeze.pack(head + b"".join(c.tobytes() for c in columns.values()) + raw.tobytes())
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
+def _unpack(blob: bytes, squeeze: Squeeze) -> tuple[np.ndarray, ...]:
+    data = squeeze.unpack(blob)
     n, size = np.frombuffer(data, np.int64, 2).tolist()
     rid = np.frombuffer(data, np.int64, n, 16)
     pos, windows = (np.frombuffer(data, np.int32, n, 16 + 8 * n + 4 * n * k) for k in range(2))
@@ -107,7 +124,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return rid, pos, windows, gram, np.frombuffer(data, np.uint8, size, 16 + 24 * n)
 
 
-def _deal(batches: Iterator[pd.DataFrame], buckets: int, length: int) -> Iterator[pd.DataFrame]:
+def _deal(batches: Iterator[pd.DataFrame], buckets: int, length: int, sample: bytes) -> Iterator[pd.DataFrame]:
     """Pieces by bucket, and the spans that already repeat within what this step reads (bucket's kind 1)."""
     for batch in batches:
         data = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
@@ -118,18 +135,18 @@ def _deal(batches: Iterator[pd.DataFrame], buckets: int, length: int) -> Iterato
             while end < len(data) and (end == at or size + len(data[end]) <= PIECE_BYTES):
                 size += len(data[end])
                 end += 1
-            yield from _deal_piece(data[at:end], rids[at:end], buckets, length)
+            yield from _deal_piece(data[at:end], rids[at:end], buckets, length, _squeeze(sample))
             at = end
 
 
-def _deal_piece(data: list[bytes], rids: np.ndarray, buckets: int, length: int) -> Iterator[pd.DataFrame]:
+def _deal_piece(data: list[bytes], rids: np.ndarray, buckets: int, length: int, squeeze: Squeeze) -> Iterator[pd.DataFrame]:
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     if not (sizes >= length).any():
         return
     if sizes.sum() >= 1 << 23:  # one very long text: overlapping parts, so that a place fits its 24 bits
         whole, step = data[0], 1 << 22
         for i in range(0, len(whole) - length + 1, step):
-            for out in _deal_piece([whole[i : i + step + length - 1]], rids, buckets, length):
+            for out in _deal_piece([whole[i : i + step + length - 1]], rids, buckets, length, squeeze):
                 yield out.assign(shift=i)
         return
     raw = np.frombuffer(b"".join(data), np.uint8)
@@ -143,7 +160,7 @@ def _deal_piece(data: list[bytes], rids: np.ndarray, buckets: int, length: int)
     rows: list[tuple[int, int, bytes]] = []
     if many.any():
         spans = np.stack([rids[owner[many]], pos[many].astype(np.int64), pos[many] + count[many] + length - 1]).astype(np.int64)
-        rows.append((int(gram[0] % np.uint64(buckets)), 1, zstandard.ZstdCompressor(level=1).compress(spans.tobytes())))
+        rows.append((int(gram[0] % np.uint64(buckets)), 1, squeeze.pack(spans.tobytes())))
     bucket = (gram[first] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     kept, bucket = first[order], bucket[order]
@@ -152,7 +169,7 @@ def _deal_piece(data: list[bytes], rids: np.ndarray, buckets: int, length: int)
         k = kept[low:high]
         # a piece that repeats here needs no answer, which a rid of -1 says
         rid = np.where(many[k], -1, rids[owner[k]])
-        rows.append((int(bucket[low]), 0, _pack(raw[_spread(at[k], count[k] + length - 1)], rid=rid, pos=pos[k], windows=count[k].astype(np.int32), gram=gram[k])))
+        rows.append((int(bucket[low]), 0, _pack(raw[_spread(at[k], count[k] + length - 1)], squeeze, rid=rid, pos=pos[k], windows=count[k].astype(np.int32), gram=gram[k])))
     yield pd.DataFrame(rows, columns=["bucket", "kind", "payload"]).assign(shift=0)
 
 
@@ -192,15 +209,14 @@ def repeats(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray, pos: np.nd
     return piece[hit], at[hit] - starts[piece[hit]]
 
 
-def _sort_bucket(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    found = []
-    parts = []
+def _sort_bucket(rows: pd.DataFrame, length: int, sample: bytes) -> pd.DataFrame:
+    found, parts, squeeze = [], [], _squeeze(sample)
     for kind, shift, payload in zip(rows["kind"], rows["shift"], rows["payload"], strict=True):
         if kind == 1:
-            rid, start, end = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.int64).reshape(3, -1)
+            rid, start, end = np.frombuffer(squeeze.unpack(payload), np.int64).reshape(3, -1)
             found.append((rid, start + shift, end + shift))
         else:
-            rid, pos, windows, gram, raw = _unpack(payload)
+            rid, pos, windows, gram, raw = _unpack(payload, squeeze)
             parts.append((rid, pos.astype(np.int64) + shift, windows.astype(np.int64), gram, raw))
     if parts:
         rid, pos, windows, gram, raw = (np.concatenate([p[k] for p in parts]) for k in range(5))
@@ -224,16 +240,22 @@ def _sort_bucket(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"rid": out[0], "start": out[1], "end": out[2]})
 
 
+def _sample(docs: DataFrame) -> bytes:
+    """Some text for the compressor's dictionary: it changes sizes of what is shuffled and nothing else."""
+    return "".join(r.t for r in docs.select(F.substring("text", 1, 2000).alias("t")).limit(50).collect()).encode("utf-8", "surrogatepass")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, start, end): byte spans of texts made of strings of so many bytes that also start elsewhere. Spans may overlap.
 
     docs: rid (unique long), text (never null). Equality is by 64-bit fingerprints within a bucket.
     """
+    sample = docs.sparkSession.sparkContext.broadcast(_sample(docs))
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     # a window of 185 grams changes its anchor about every 93 bytes, so pieces hold about 3.2 times the text
     buckets = max(1, int(total * 3.2 / BUCKET_BYTES))
-    dealt = docs.filter(F.octet_length("text") >= length).mapInPandas(lambda it: _deal(it, buckets, length), "bucket int, kind int, payload binary, shift long")
-    return dealt.groupBy("bucket").applyInPandas(lambda rows: _sort_bucket(rows, length), "rid long, start long, end long")
+    dealt = docs.filter(F.octet_length("text") >= length).mapInPandas(lambda it: _deal(it, buckets, length, sample.value), "bucket int, kind int, payload binary, shift long")
+    return dealt.groupBy("bucket").applyInPandas(lambda rows: _sort_bucket(rows, length, sample.value), "rid long, start long, end long")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
@@ -244,15 +266,23 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Data
     rows like any other. Rows are known by their place in the stored table; docs that are computed are written first.
     """
     rows = stored(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    sample = docs.sparkSession.sparkContext.broadcast(_sample(rows))
+
+    def squeezed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = _squeeze(sample.value).pack
+        for batch in batches:
+            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"].astype("Int64"), "packed": [pack(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]})
+
     spans = repeated_spans(rows.select("rid", "text"), length).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
-    @F.pandas_udf("struct<spans:array<struct<start:long,end:long>>,kept:binary>")
-    def without(text: pd.Series, found: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<n_bytes:long,spans:array<struct<start:long,end:long>>,kept:binary>")
+    def without(packed: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
-        for t, f in zip(text, found, strict=True):
-            data = t.encode("utf-8", "surrogatepass")
+        unpack = _squeeze(sample.value).unpack
+        for p, f in zip(packed, found, strict=True):
+            data = unpack(p)
             if f is None or not len(f):
-                out.append(([], data))
+                out.append((len(data), [], data))
                 continue
             merged: list[list[int]] = []
             for a, b in sorted((s["start"], s["end"]) for s in f):
@@ -264,10 +294,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Data
             for a, b in merged:
                 kept.append(data[low:a])
                 low = b
-            out.append(([{"start": a, "end": b} for a, b in merged], b"".join([*kept, data[low:]])))
-        return pd.DataFrame(out, columns=["spans", "kept"])
+            out.append((len(data), [{"start": a, "end": b} for a, b in merged], b"".join([*kept, data[low:]])))
+        return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
 
-    return rows.join(spans, "rid", "left").withColumn("x", without("text", "found")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "x.spans", "x.kept")
+    packed = rows.mapInPandas(squeezed, "rid long, doc_id long, packed binary")
+    return packed.join(spans, "rid", "left").select("doc_id", without("packed", "found").alias("x")).select("doc_id", "x.*")
 
 
 def digest(deduped: DataFrame) -> DataFrame:
