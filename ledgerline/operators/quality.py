@@ -42,3 +42,26 @@ def conservation(events: DataFrame, tx_events: DataFrame, orphans: DataFrame) ->
 
 def profile(events: DataFrame) -> DataFrame:
     return events.groupBy("case_id").agg(F.count("*").alias("events"), F.countDistinct("source_file", "log_position").alias("positions"))
+
+
+def accuracy(expected: DataFrame, actual: DataFrame, keys: list[str], of: str) -> DataFrame:
+    """Expected against actual by key: right, wrong, missing and unexpected."""
+    both = expected.select(*keys, F.col(of).alias("want_"), F.lit(True).alias("e_")).join(actual.select(*keys, F.col(of).alias("got_"), F.lit(True).alias("a_")), keys, "full_outer")
+    right = F.coalesce(F.col("want_").eqNullSafe(F.col("got_")), F.lit(False)) & F.col("e_").isNotNull() & F.col("a_").isNotNull()
+    return both.agg(F.count_if(right).alias("right_"), F.count_if(~right & F.col("e_").isNotNull() & F.col("a_").isNotNull()).alias("wrong"), F.count_if(F.col("a_").isNull()).alias("missing"), F.count_if(F.col("e_").isNull()).alias("unexpected"))
+
+
+def same_result(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Whether two runs gave the same rows, by their order-free fingerprints."""
+    x, y = fingerprint(a), fingerprint(b).withColumnsRenamed({"rows": "rows_b", "digest": "digest_b"})
+    return x.crossJoin(y).select("rows", ((F.col("rows") == F.col("rows_b")) & F.col("digest").eqNullSafe(F.col("digest_b"))).alias("same"))
+
+
+def provenance_coverage(states: DataFrame) -> DataFrame:
+    """Logged values that name the event which set them."""
+    return states.filter("durable is not null").agg(F.count("*").alias("observed"), F.count_if(F.col("set_by").isNotNull()).alias("linked"))
+
+
+def count_mismatch(counted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Row counts that differ from a manifest's."""
+    return expected.withColumnRenamed("n", "want").join(counted, keys, "full_outer").filter(~F.col("n").eqNullSafe(F.col("want"))).select(*keys, "want", "n")

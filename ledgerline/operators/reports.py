@@ -69,3 +69,29 @@ def pseudonymise(df: DataFrame, column: str, category: str) -> DataFrame:
     before = sizes.select("p", (F.sum("size").over(Window.orderBy("p")) - F.col("size")).alias("before"))
     aliases = ranked.join(before, "p").select("v", F.concat(F.lit(f"{category}-"), (F.col("before") + F.col("n")).cast("string")).alias("alias_"))
     return df.join(aliases, df[column] == aliases["v"], "left").withColumn(column, F.col("alias_")).drop("alias_", "v")
+
+
+def warning_groups(warnings: DataFrame, code: str, evidence: str) -> DataFrame:
+    """Warnings by code and evidence, a missing one being the empty text."""
+    return warnings.groupBy(F.coalesce(F.col(code), F.lit("")).alias("code"), F.coalesce(F.col(evidence).cast("string"), F.lit("")).alias("evidence")).agg(F.count("*").alias("entries"))
+
+
+def processing_summary(runs: DataFrame, by: list[str], run: str, time: str) -> DataFrame:
+    return runs.groupBy(*by).agg(F.min(time).alias("first_run"), F.max(time).alias("last_run"), F.countDistinct(run).alias("runs"))
+
+
+def catalog_summary(catalog: DataFrame) -> DataFrame:
+    """Columns and key of each table."""
+    key = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_primary_key"), F.struct("position", "column")))), lambda s: s["column"]), ",")
+    return catalog.groupBy("case_id", "database", "table").agg(F.count("*").alias("columns"), key.alias("key"))
+
+
+def coverage_summary(coverage: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One row per case: complete or not, with the missing files."""
+    files = gaps.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("missing_file")), ",").alias("missing_files"))
+    return coverage.join(files, "case_id", "left").select("case_id", "complete", F.coalesce("missing_files", F.lit("")).alias("missing_files"))
+
+
+def export_json(df: DataFrame) -> DataFrame:
+    """Each row as JSON with its keys in order."""
+    return df.select(F.to_json(F.struct(*sorted(df.columns))).alias("json"))

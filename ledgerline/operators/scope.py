@@ -26,3 +26,14 @@ def narrow_markers(markers: DataFrame, events: DataFrame) -> DataFrame:
     both = markers.join(kept, key, "left")
     positions = F.coalesce("kept_", F.expr("cast(array() as array<bigint>)"))
     return both.filter((F.size("event_positions") == 0) | F.col("kept_").isNotNull()).withColumn("event_positions", positions).drop("kept_")
+
+
+def latest_version(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
+    """The last version's row of each key; an ordered maximum, which combines before the shuffle."""
+    last = F.max_by(F.struct(*df.columns), F.struct(*version))
+    return df.groupBy(*keys).agg(last.alias("row_")).select("row_.*")
+
+
+def latest_runs(runs: DataFrame, by: list[str], n: int = 100) -> DataFrame:
+    """The last n rows, shown in ascending order."""
+    return runs.orderBy(*[F.desc(c) for c in by]).limit(n).orderBy(*by)

@@ -51,3 +51,21 @@ def flagged_groups(record_events: DataFrame, flagged: DataFrame) -> DataFrame:
         if moved.filter("changed").isEmpty():
             return moved.drop("changed")
         labels = moved.drop("changed")
+
+
+def detail(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows that a full key names once; a key that names several is an error, for more of it would be needed."""
+    several = rows.groupBy(*keys).agg(F.count("*").alias("n_"))
+    checked = rows.join(several, keys).withColumn("one_", F.when(F.col("n_") > 1, F.raise_error(F.lit("ambiguous identity")).cast("boolean")).otherwise(F.lit(True)))
+    return checked.filter("one_").drop("n_", "one_")
+
+
+def fresh(later: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a later stage made from the last run of the stage before it; others are stale."""
+    last = runs.groupBy(*keys).agg(F.max("run_id").alias("run_id"))
+    return later.join(last, [*keys, "run_id"], "left_semi")
+
+
+def json_members(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """A JSON column's members as columns."""
+    return df.withColumn("j_", F.from_json(column, schema)).select("*", "j_.*").drop("j_")

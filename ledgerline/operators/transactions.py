@@ -199,3 +199,8 @@ def coverage_gaps(log_files: DataFrame, markers: DataFrame) -> DataFrame:
 def coverage(cases: DataFrame, gaps: DataFrame) -> DataFrame:
     """(case_id, complete): one row per case; complete means a list of files and no gap."""
     return cases.select("case_id").distinct().join(gaps.groupBy("case_id").agg(F.count("*").alias("gaps")), "case_id", "left").select("case_id", F.col("gaps").isNull().alias("complete"), F.coalesce("gaps", F.lit(0)).alias("gaps"))
+
+
+def missing_provenance(events: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Files with an event that neither carries its provenance nor has one on record (R-PROV-001), once per file."""
+    return events.join(recorded.select(*REF), REF, "left_anti").select("case_id", "source_file").distinct().withColumn("rule_id", F.lit("R-PROV-001"))

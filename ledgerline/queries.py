@@ -113,7 +113,7 @@ query("o08_worst_of", chain("SELECT " + REC + ", arg_max(res, CASE res WHEN 'Exa
 # --- transactions -----------------------------------------------------------------------------------------------------
 
 query("t01_repeated_events", chain("SELECT " + EVENT + " FROM ev1 WHERE cp = 1"), "case")(lambda c: ref(transactions.deduplicate(c.events)[1]))
-query("t02_positional_claims", chain("SELECT case_id, tx AS tx_id, pos AS log_position, ri AS row_index FROM pcl"), "case")(QUERIES and (lambda c: transactions.claim_by_position(transactions.deduplicate(c.events)[0], c.markers).join(transactions.named(c.markers).select(*transactions.MARKER, "tx_id"), transactions.MARKER).select("case_id", "tx_id", "log_position", F.col("row_index").cast("long").alias("row_index"))))
+query("t02_positional_claims", chain("SELECT case_id, tx AS tx_id, pos AS log_position, ri AS row_index FROM pcl"), "case")(lambda c: transactions.claim_by_position(transactions.deduplicate(c.events)[0], c.markers).join(transactions.named(c.markers).select(*transactions.MARKER, "tx_id"), transactions.MARKER).select("case_id", "tx_id", "log_position", F.col("row_index").cast("long").alias("row_index")))
 query("t03_missing_positions", chain("SELECT DISTINCT m.case_id, m.file AS source_file, e.pos AS log_position FROM mkn m JOIN ev e ON e.case_id = m.case_id AND e.h = m.h WHERE NOT m.ses AND e.pos % 700 = 0"), "case")(
     lambda c: transactions.missing_positions(c.events.filter("log_position % 700 <> 0"), c.markers).select("case_id", "source_file", "log_position")
 )
@@ -188,7 +188,9 @@ query("c14_edges", chain("SELECT " + REC + ", tx AS tx_id, ty AS event_type, cou
 query("c15_ordered_transactions", chain("SELECT case_id, pk, string_agg(tx, ',' ORDER BY first_at) AS tx_ids FROM (SELECT " + REC + ", tx, min(ord) AS first_at FROM rev WHERE tx IS NOT NULL GROUP BY ALL) GROUP BY ALL"))(
     lambda a: rec(identity.ordered_transactions(a.correlation.record_events), F.array_join("tx_ids", ",").alias("tx_ids"))
 )
-query("c17_uncertain_tables", None)(lambda a: a.correlation.uncertain)
+query("c17_uncertain_tables", "SELECT * FROM (VALUES ('A', 'orders'), ('B', 'orders')) t(case_id, \"table\")", "case")(
+    lambda c: identity.keyed_events(c.events.filter("event_type = 'INSERT'").withColumn("after", F.map_filter("after", lambda k, _: (k != "o_orderkey") | (F.col("log_position") % 900 != 0))), c.catalog).filter("key is null").select("case_id", "table").distinct()
+)
 
 # --- history ----------------------------------------------------------------------------------------------------------
 
@@ -311,3 +313,66 @@ query("q06_dangling_lines", "SELECT count(*) AS n FROM lineitem l WHERE NOT EXIS
 )
 query("q08_conservation", chain("SELECT count(*) AS events, count(*) AS accounted FROM ev"))(lambda a: quality.conservation(a.grouping.events, a.grouping.tx_events, a.grouping.orphans))
 query("q09_profile", chain("SELECT case_id, count(*) AS events, count(DISTINCT f * 1000000000000 + pos) AS positions FROM ev GROUP BY ALL"))(lambda a: quality.profile(a.grouping.events))
+
+# --- more functions, listings and reports over the driver's tables ------------------------------------------------------
+
+
+def read(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+query("f01_base_type", "SELECT o_orderkey, lower(regexp_extract(o_orderpriority || 'High(3)', '([A-Za-z]+)', 1)) AS base FROM orders", "tables")(
+    lambda s, d: read(s, d, "orders").select("o_orderkey", values.base_type(F.regexp_replace(F.concat("o_orderpriority", F.lit("High(3)")), "^[^A-Za-z]*", " ")).alias("base"))
+)
+query("f03_compare", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) = l_linenumber AS equal FROM lineitem", "tables")(
+    lambda s, d: values.compared(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", values.value("int", F.col("l_quantity").cast("long")).alias("a"), values.value("str", F.concat(F.lit("0"), F.col("l_linenumber").cast("string"), F.lit(".00"))).alias("b")), "a", "b").select("l_orderkey", "l_linenumber", F.col("c.equal").alias("equal"))
+)
+query("f04_render", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'NULL' WHEN event_type = 'click' THEN 'undecodable (' || event_type || ')' ELSE event_type END AS shown FROM events", "tables")(
+    lambda s, d: read(s, d, "events").select("event_id", values.render(F.when(F.col("event_type") == "click", values.value("undecodable", F.col("event_type"))).otherwise(values.of(F.when(F.col("event_type") != "view", F.col("event_type")), "str"))).alias("shown"))
+)
+query("f07_separator_collisions", "SELECT c_custkey FROM customer WHERE contains(c_name || CASE WHEN c_custkey % 7 = 0 THEN '|x' ELSE '' END, '|')", "tables")(
+    lambda s, d: read(s, d, "customer").filter(values.separator_collides(F.array(F.col("c_custkey").cast("string"), F.concat("c_name", F.when(F.col("c_custkey") % 7 == 0, "|x").otherwise(""))))).select("c_custkey")
+)
+query("f08_basename", "SELECT c_custkey, c_name AS base FROM customer", "tables")(lambda s, d: read(s, d, "customer").select("c_custkey", values.basename(F.concat(F.lit("/var\\log/"), "c_name")).alias("base")))
+query("f10_canonical_json", """SELECT c_custkey, '{"a":"' || c_mktsegment || '","b":"' || c_name || '"}' AS json FROM customer""", "tables")(
+    lambda s, d: read(s, d, "customer").select("c_custkey", values.canonical_map(F.create_map(F.lit("b"), "c_name", F.lit("a"), "c_mktsegment")).alias("json"))
+)
+query("f12_rule_text", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' is in ' || c_mktsegment ELSE '{name} is in {segment}' END AS said FROM customer", "tables")(
+    lambda s, d: read(s, d, "customer").select("c_custkey", values.rule_text(F.lit("{name} is in {segment}"), F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("name"), "c_name", F.lit("segment"), "c_mktsegment")).otherwise(F.create_map(F.lit("name"), "c_name"))).alias("said"))
+)
+query("f14_utc_text", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS at_utc FROM orders", "tables")(lambda s, d: read(s, d, "orders").select("o_orderkey", values.utc_text(F.col("o_orderdate")).alias("at_utc")))
+query("s10_literals", "SELECT c_custkey, 'str' AS kind, c_name AS text FROM customer UNION ALL SELECT c_custkey, 'int', CAST(c_custkey AS VARCHAR) FROM customer", "tables")(
+    lambda s, d: read(s, d, "customer").select("c_custkey", F.explode(F.array(values.literal(F.concat(F.lit("'"), "c_name", F.lit("'")), "log"), values.literal(F.col("c_custkey").cast("string"), "snapshot"))).alias("v")).select("c_custkey", "v.kind", "v.text")
+)
+query("s22_export_json", """SELECT '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_name":"' || c_name || '"}' AS json FROM customer""", "tables")(lambda s, d: reports.export_json(read(s, d, "customer").select("c_name", "c_custkey")))
+query("o01_file_sequence", "SELECT 'A' AS case_id, 'log.00000' || CAST(i AS VARCHAR) AS file, i AS file_seq FROM range(1, 7) t(i) UNION ALL SELECT 'B', 'log.00000' || CAST(i AS VARCHAR), i FROM range(1, 8) t(i)", "case")(lambda c: ordering.file_sequence(c.log_files).select("case_id", "file", F.col("file_seq").cast("long").alias("file_seq")))
+query("o07_latest_runs", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100", "tables")(lambda s, d: scope.latest_runs(read(s, d, "orders"), ["o_orderdate", "o_orderkey"]).select("o_orderkey"))
+query("p09_latest_version", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey", "tables")(lambda s, d: scope.latest_version(read(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey"))
+query("t15_missing_provenance", chain("SELECT DISTINCT case_id, 'log.00000' || CAST(f AS VARCHAR) AS source_file FROM ev WHERE f <> 4"), "case")(
+    lambda c: transactions.missing_provenance(c.events, c.events.filter("source_file = 'log.000004'")).select("case_id", "source_file")
+)
+query("c16_shared_table_names", 'SELECT CAST(k AS VARCHAR) AS "table" FROM (SELECT DISTINCT c_nationkey AS k FROM customer) JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) USING (k)', "tables")(
+    lambda s, d: identity.shared_table_names(read(s, d, "customer").select(F.lit("A").alias("case_id"), F.lit("x").alias("database"), F.col("c_nationkey").cast("string").alias("table")).union(read(s, d, "supplier").select(F.lit("A"), F.lit("y"), F.col("s_nationkey").cast("string")))).select("table")
+)
+query("r04_absence_inferred", chain("SELECT " + REC + " FROM pre WHERE NOT logged AND lp = 'absent'"))(lambda a: rec(a.field_verdicts.filter("column = 'presence' and log_display = 'absent'").join(a.correlation.records.filter("n_events = 0").select(*identity.RECORD), identity.RECORD, "left_semi")))
+query("r05_snapshot_absence", chain("SELECT " + REC + " FROM pre WHERE so IS NULL"))(lambda a: rec(a.field_verdicts.filter("column = 'presence' and phys_display = 'absent'").join(a.correlation.records.filter("snapshot_ord is null").select(*identity.RECORD), identity.RECORD, "left_semi")))
+query("r07_unsupported_tables", "SELECT 'A' AS case_id, 'nation' AS \"table\", 'Unsupported' AS result, 'R-CORR-020' AS rule_id UNION ALL SELECT 'A', 'region', 'Unsupported', 'R-CORR-021'", "tables")(
+    lambda s, d: reconcile.unsupported_tables(_gate(s, d).withColumn("database", F.lit("main"))).select("case_id", "table", "result", "rule_id")
+)
+query("g04_warning_groups", "SELECT event_type AS code, CAST(user_id % 10 AS VARCHAR) AS evidence, count(*) AS entries FROM events GROUP BY ALL", "tables")(lambda s, d: reports.warning_groups(read(s, d, "events").withColumn("e", F.col("user_id") % 10), "event_type", "e"))
+query("g10_processing_summary", "SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS first_run, max(o_orderkey) AS last_run, count(DISTINCT o_custkey) AS runs FROM orders GROUP BY ALL", "tables")(lambda s, d: reports.processing_summary(read(s, d, "orders"), ["o_orderpriority", "o_orderstatus"], "o_custkey", "o_orderkey"))
+query("g17_catalog_summary", "SELECT * FROM (VALUES ('A', 5, 'o_orderkey'), ('B', 5, 'o_orderkey')) t(case_id, columns, key)", "case")(lambda c: reports.catalog_summary(c.catalog).select("case_id", "columns", "key"))
+query("g19_coverage_summary", "SELECT * FROM (VALUES ('A', true, ''), ('B', false, 'log.000007')) t(case_id, complete, missing_files)")(lambda a: reports.coverage_summary(a.coverage, a.gaps))
+query("v03_detail", chain("SELECT " + REC + ", res AS result FROM rolled WHERE key % 97 = 0"))(lambda a: rec(serving.detail(a.record_verdicts.filter("cast(pk as bigint) % 97 = 0"), identity.RECORD), "result"))
+query("v05_json_members", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", "tables")(lambda s, d: serving.json_members(read(s, d, "events"), "props", "k long").select("event_id", "k"))
+query("v09_fresh_results", "SELECT o.o_orderkey FROM orders o JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) m ON m.o_custkey = o.o_custkey AND m.k = o.o_orderkey", "tables")(
+    lambda s, d: serving.fresh(read(s, d, "orders").withColumn("run_id", F.col("o_orderkey")), read(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("run_id")), ["o_custkey"]).select("o_orderkey")
+)
+query("q03_accuracy", "SELECT count(*) FILTER (WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0) AS right_, count(*) FILTER (WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) AS wrong, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS missing, 0 AS unexpected FROM orders", "tables")(
+    lambda s, d: quality.accuracy(read(s, d, "orders"), read(s, d, "orders").filter("o_orderkey % 5 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "?").otherwise(F.col("o_orderstatus"))), ["o_orderkey"], "o_orderstatus")
+)
+query("q04_repeatability", "SELECT count(*) AS rows, true AS same FROM orders", "tables")(lambda s, d: quality.same_result(read(s, d, "orders"), read(s, d, "orders").repartition(5)))
+query("q05_provenance_coverage", chain("SELECT count(*) AS observed, count(*) FILTER (WHERE set_) AS linked FROM (SELECT key, pd IS NOT NULL AS seen, EXISTS (SELECT 1 FROM rev v WHERE v.case_id = r.case_id AND v.key = r.key AND v.dur AND v.ty <> 'DELETE') AS set_ FROM rec r WHERE logged) WHERE seen"))(lambda a: quality.provenance_coverage(a.history.states.filter("column = 'price_cents'")))
+query("q07_manifest_counts", "SELECT o_orderstatus, count(*) + 1 AS want, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL", "tables")(
+    lambda s, d: quality.count_mismatch(*(lambda c: (c, c.withColumn("n", F.col("n") + (F.col("o_orderstatus") == "F").cast("long"))))(read(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))), ["o_orderstatus"])
+)
