@@ -23,7 +23,7 @@ FREQUENT_ONE_IN = 1000
 #: Frequent tokens kept, most frequent first: bounds what is broadcast to 8 MB.
 FREQUENT_MOST = 1_000_000
 #: Members in one group; larger groups are split by size of set.
-GROUP_ROWS = 256
+GROUP_ROWS = 1024
 #: Ids that are broadcast at most when texts are fetched; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
 PIECE_BYTES = 4 << 20
@@ -104,9 +104,15 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
+def least_shared(n):
+    """Linked sets share so many of the tokens that each keeps, the smaller of the two numbers: keeping one token more
+    than the threshold demands makes one more shared token certain."""
+    return 1 + n // 40
+
+
 def histogram(tokens: np.ndarray) -> np.ndarray:
-    """Tokens by bucket, about one a bucket; 255 stands for that many or more."""
-    width = 1 << max(4, int(len(tokens) - 1).bit_length()) if len(tokens) else 16
+    """Tokens by bucket, about four a bucket; 255 stands for that many or more."""
+    width = 1 << max(4, int(len(tokens) - 1).bit_length() - 2) if len(tokens) else 16
     return np.minimum(np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (width - 1), minlength=width), 255).astype(np.uint8)
 
 
@@ -144,7 +150,8 @@ def _frequent(texts: DataFrame, width: int, documents: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """(doc_id, n, sig, check, prefix, hist) of each document; prefix: its rarest tokens, of which it shares one with any set it is linked to."""
+    """(doc_id, n, sig, check, prefix, hist) of each document; prefix: its rarest tokens, of which it shares least_shared
+    with any set it is linked to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = frequent.value
@@ -155,7 +162,7 @@ def _sets(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                     out.append((0, b"", 0, [], b""))
                     continue
                 late = np.isin(s, last, assume_unique=True)
-                order = np.concatenate([s[~late], s[late]])[: len(s) - int(least_overlap(len(s), percent)) + 1]
+                order = np.concatenate([s[~late], s[late]])[: len(s) - int(least_overlap(len(s), percent)) + least_shared(len(s))]
                 one, two = _mixed(s), _mixed(s + _ODD)
                 sig = np.array([one.sum(), two.sum() ^ np.bitwise_xor.reduce(one), len(s)], np.uint64).tobytes()[:20]
                 out.append((len(s), sig, int(one.sum().view(np.int64)), order.view(np.int64), histogram(s).tobytes()))
@@ -165,22 +172,38 @@ def _sets(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
 
 
 def _opened(asks: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a query and a member whose bound reaches the threshold, for one group; the group's union is tried first."""
-    out = []
+    """Pairs of a query and a member whose bound reaches the threshold, for one group; the group's union is tried first.
+
+    Sets of one component (root) need no further link; a pair within the group is listed once.
+    """
+    out_a: list[np.ndarray] = []
+    out_b: list[np.ndarray] = []
     if len(asks) and len(members):
-        own = [np.frombuffer(h, np.uint8) for h in members["hist"]]
-        width = min(map(len, own))
-        union = np.max([fold(h, width) for h in own], axis=0)
-        least, most = members.n.min(), members.n.max()
-        for q, n, h in zip(asks.sid, asks.n, (np.frombuffer(h, np.uint8) for h in asks["hist"]), strict=True):
-            w = min(width, len(h))
-            total = int(np.minimum(fold(h, w), union.reshape(-1, w).sum(axis=0)).sum())
-            if not reaches(min(total, n), n, max(least, int(least_overlap(n, percent))), percent) or n * 100 < percent * least or most * 100 < percent * n:
-                continue
-            for r, m, k in zip(members.sid, members.n, own, strict=True):
-                if r != q and min(n, m) * 100 >= percent * max(n, m) and reaches(bound(h, k), n, m, percent):
-                    out.append((q, r))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        sizes = members["hist"].map(len).to_numpy()
+        blocks = []
+        for width in np.unique(sizes):
+            at = np.flatnonzero(sizes == width)
+            raw = np.frombuffer(b"".join(members["hist"].iloc[at]), np.uint8).reshape(len(at), width).astype(np.int64)
+            raw[raw == 255] = 1 << 40
+            own = members.iloc[at]
+            blocks.append((int(width), raw, raw.max(axis=0), own["sid"].to_numpy(), own["n"].to_numpy(), own["root"].to_numpy(), own["grp"].to_numpy()))
+        for q, n, root, home, h in zip(asks["sid"], asks["n"], asks["root"], asks["home"], asks["hist"], strict=True):
+            mine = np.frombuffer(h, np.uint8)
+            for width, raw, union, sid, m, roots, grp in blocks:
+                w = min(width, len(mine))
+                own = fold(mine, w)
+                total = min(int(np.minimum(own, union.reshape(-1, w).sum(axis=0)).sum()), n)
+                if not reaches(total, n, max(m.min(), int(least_overlap(n, percent))), percent):
+                    continue
+                near = np.flatnonzero((roots != root) & (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)) & ((grp != home) | (sid < q)))
+                for i in range(0, len(near), 4096):
+                    some = near[i : i + 4096]
+                    most = np.minimum(own, raw[some].reshape(len(some), -1, w).sum(axis=1)).sum(axis=1)
+                    hit = some[most * (100 + percent) >= percent * (n + m[some])]
+                    out_a.append(np.full(len(hit), q))
+                    out_b.append(sid[hit])
+    empty = [np.zeros(0, np.int64)]
+    return pd.DataFrame({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -220,38 +243,43 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     distinct = rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("check").alias("check"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
     sets = cut(distinct.withColumn("sid", F.monotonically_increasing_id()))
 
-    postings = sets.select("sid", "n", F.explode("prefix").alias("token"))
-    shared = cut(postings.groupBy("token").agg(F.count("*").alias("df"), F.min("sid").alias("center")).filter("df > 1").select("token", "center"))
-    posted = cut(postings.join(shared, "token"))
+    by_token = Window.partitionBy("token")
+    postings = sets.select("sid", F.explode("prefix").alias("token"))
+    held = postings.withColumns({"df": F.count("*").over(by_token), "center": F.min("sid").over(by_token)})
+    posted = cut(held.filter("df > 1").select("token", "sid", "center"))
 
-    # groups: sets around the first set of each shared token, if truly linked with it
-    around = cut(posted.filter("sid <> center").select("sid", "n", F.col("center").alias("grp")).distinct())
+    # groups: each set is with the first set it shares most of its tokens with
+    sizes = cut(posted.select("sid").distinct().join(sets.select("sid", "n"), "sid"))
+    most = posted.groupBy("sid", "center").agg(F.count("*").alias("shared")).groupBy("sid").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("grp"))
+    groups = cut(most.join(sizes, "sid"))
     hist = sets.select("sid", "n", "hist")
-    members = hist.join(around.select(F.col("grp").alias("sid")).distinct(), "sid").withColumn("grp", F.col("sid"))
-    asks = around.select("sid", "grp").join(hist, "sid")
-    stars = _verified(_open(asks, members, percent), sets, texts, width, percent)
-    grouped = cut(components(stars))
-
-    # the token-group matrix: which groups hold a token, against the sets of other groups that hold it
-    own = posted.select("token", "sid", "n").join(grouped.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    own = cut(own)
-    in_order = Window.partitionBy("root").orderBy("n", "sid")
-    parts = own.select("sid", "n", "root").distinct().withColumn("part", F.floor((F.row_number().over(in_order) - 1) / GROUP_ROWS).cast("int"))
-    parts = cut(parts)
-    matrix = own.select("token", "sid").join(parts.select("sid", "n", "root", "part"), "sid").groupBy("token", "root", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("token").agg(F.countDistinct("root").alias("roots")).filter("roots > 1").select("token")
-    matrix = cut(matrix.join(several, "token", "left_semi"))
-    queries = own.select("token", "sid", F.col("n").alias("qn"), F.col("root").alias("qroot"))
-    near = (F.col("qroot") > F.col("root")) & (F.col("qn") * 100 >= percent * F.col("least")) & (F.col("most") * 100 >= percent * F.col("qn"))
-    pairs = cut(queries.join(matrix, "token").filter(near).select("sid", "root", "part").distinct())
-    name = F.concat_ws("/", "root", "part")
-    asks = pairs.select("sid", name.alias("grp")).join(hist, "sid")
-    members = parts.select("sid", "root", "part", name.alias("grp")).join(pairs.select("root", "part").distinct(), ["root", "part"]).select("sid", "grp").join(hist, "sid")
+    near = groups.filter("sid <> grp").select(F.col("sid").alias("a"), F.col("grp").alias("b"), F.col("n").alias("na")).join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
+    stars = _verified(near.filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")).select("a", "b"), sets, texts, width, percent)
+    linked = cut(components(stars))
+
+    # the token-group matrix: which groups hold a token, and which sets ask for them
+    own = groups.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    in_order = Window.partitionBy("grp").orderBy("n", "sid")
+    parts = cut(own.withColumn("part", F.floor((F.row_number().over(in_order) - 1) / GROUP_ROWS).cast("int")))
+    held = posted.select("token", "sid").join(parts, "sid")
+    matrix = held.groupBy("token", "grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = held.select("token", "sid", F.col("n").alias("qn"), F.col("grp").alias("home"))
+    fits = (F.col("home") >= F.col("grp")) & (F.col("qn") * 100 >= percent * F.col("least")) & (F.col("most") * 100 >= percent * F.col("qn"))
+    met = asked.join(matrix, "token").filter(fits).groupBy("sid", "grp", "part").agg(F.count("*").alias("shared"), F.first("qn").alias("qn"), F.min("least").alias("least"))
+    enough = F.least(F.floor(F.col("qn") / 40), F.floor(F.greatest("least", F.ceil(F.col("qn") * percent / 100)) / 40)) + 1
+    pairs = cut(met.filter(F.col("shared") >= enough).select("sid", "grp", "part"))
+    # a group whose members are all linked already needs opening for other groups' sets only
+    whole = parts.groupBy("grp").agg(F.countDistinct("root").alias("roots")).filter("roots = 1").select("grp")
+    done = parts.select("sid", "grp").join(whole, "grp")
+    pairs = cut(pairs.join(done, ["sid", "grp"], "left_anti"))
+    name = F.concat_ws("/", F.col("grp").cast("string"), F.col("part").cast("string"))
+    asks = pairs.select("sid", name.alias("name")).join(parts.select("sid", "root", F.col("grp").alias("home")), "sid").join(hist, "sid")
+    members = parts.join(pairs.select("grp", "part").distinct(), ["grp", "part"]).select("sid", "root", "grp", name.alias("name")).join(hist, "sid")
     links = stars.unionByName(_verified(_open(asks, members, percent), sets, texts, width, percent))
     links = cut(links)
 
-    whole = cut(components(links))
-    named = sets.select("sid", "sig", "rep").join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    joined = cut(components(links))
+    named = sets.select("sid", "sig", "rep").join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_set = cut(named.join(least, "root").select("sig", "sid", "component_id"))
     out = rows.select("doc_id", "n", "sig").join(of_set, "sig", "left")
@@ -260,10 +288,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
 
 def _open(asks: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Query-member pairs of each group under the bounds; a group's queries are split so that none meets more than a block of them."""
-    salts = cut(asks.groupBy("grp").agg(F.ceil(F.count("*") / 2000).cast("int").alias("salts")))
-    spread = asks.join(salts, "grp").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
-    copies = members.join(salts, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return spread.select("grp", "salt", "sid", "n", "hist").groupBy("grp", "salt").cogroup(copies.select("grp", "salt", *[F.col(c).alias(f"m_{c}") for c in ("sid", "n", "hist")]).groupBy("grp", "salt")).applyInPandas(lambda a, m: _opened(a, m.rename(columns=lambda c: c.removeprefix("m_")), percent), "a long, b long")
+    salts = cut(asks.groupBy("name").agg(F.ceil(F.count("*") / 2000).cast("int").alias("salts")))
+    spread = asks.join(salts, "name").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
+    copies = members.join(salts, "name").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = copies.select("name", "salt", *[F.col(c).alias(f"m_{c}") for c in ("sid", "n", "root", "grp", "hist")])
+    return spread.select("name", "salt", "sid", "n", "root", "home", "hist").groupBy("name", "salt").cogroup(right.groupBy("name", "salt")).applyInPandas(lambda a, m: _opened(a, m.rename(columns=lambda c: c.removeprefix("m_")), percent), "a long, b long")
 
 
 def digest(members: DataFrame) -> DataFrame:
