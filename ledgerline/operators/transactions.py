@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import file_sequence, with_order
 from ..functions.values import basename, suffix
+from ..sources.tables import settle
 
 REF = ["case_id", "source_file", "log_position", "row_index"]
 MARKER = ["case_id", "source_file", "start_position"]
@@ -122,11 +123,12 @@ def missing_later(markers: DataFrame, log_files: DataFrame) -> DataFrame:
 
 def group(events: DataFrame, markers: DataFrame, log_files: DataFrame) -> Grouping:
     kept, repeated = deduplicate(events)
+    kept, markers = settle(kept), settle(markers)
     by_position = claim_by_position(kept, markers)
     by_session, refused = claim_by_session(kept, markers, by_position)
-    claims = by_position.unionByName(by_session)
-    ordered = with_order(kept, log_files)
-    marked = missing_later(named(markers), log_files).withColumn("session_key", session_key())
+    claims, refused = settle(by_position.unionByName(by_session)), settle(refused)
+    ordered = settle(with_order(kept, log_files))
+    marked = settle(missing_later(named(markers), log_files).withColumn("session_key", session_key()))
     member = claims.join(marked.select(*MARKER, "gtid", "tx_id", "status"), [*MARKER, "gtid"]).join(ordered.select(*REF, "ord", "event_type", "database", "table", "ts"), REF)
     per_tx = Window.partitionBy("case_id", "tx_id").orderBy("ord")
     tx_events = member.select(*REF, "tx_id", "start_position", "ord", (F.row_number().over(per_tx) - 1).alias("event_order"), (F.col("status") == "committed").alias("durable"), "status", "event_type", "ts")

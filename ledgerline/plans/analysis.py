@@ -25,7 +25,7 @@ class Analysis:
 
 def analyse(case: Case) -> Analysis:
     grouping = transactions.group(case.events, case.markers, case.log_files)
-    grouping = transactions.Grouping(settle(grouping.transactions), settle(grouping.tx_events), grouping.orphans, settle(grouping.events), grouping.findings)
+    grouping = transactions.Grouping(settle(grouping.transactions), settle(grouping.tx_events), settle(grouping.orphans), grouping.events, settle(grouping.findings))
     gaps = settle(transactions.coverage_gaps(case.log_files, case.markers))
     covered = transactions.coverage(case.catalog, gaps)
     claimed = transactions.transaction_of(grouping.tx_events)
