@@ -95,3 +95,15 @@ def coverage_summary(coverage: DataFrame, gaps: DataFrame) -> DataFrame:
 def export_json(df: DataFrame) -> DataFrame:
     """Each row as JSON with its keys in order."""
     return df.select(F.to_json(F.struct(*sorted(df.columns))).alias("json"))
+
+
+def ordered_pool(df: DataFrame, column: str) -> DataFrame:
+    """Each distinct value once with its place in order of digest, from 0.
+
+    Places come from counts per leading digest byte (256 rows) and a rank within it, so no single task ranks them all.
+    """
+    names = df.select(F.col(column).alias("payload")).filter("payload is not null").distinct().withColumn("id", digest(F.col("payload").cast("string"))).withColumn("p", F.substring("id", 1, 2))
+    ranked = names.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("id")))
+    sizes = ranked.groupBy("p").agg(F.max("n").alias("size"))
+    before = sizes.select("p", (F.sum("size").over(Window.orderBy("p")) - F.col("size")).alias("before"))
+    return ranked.join(before, "p").select((F.col("before") + F.col("n") - 1).cast("long").alias("ordinal"), "id", "payload")

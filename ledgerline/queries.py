@@ -11,7 +11,8 @@ from .functions import ordering, values
 from .operators import history, identity, quality, reconcile, reports, scope, serving, transactions
 from .oracle import chain
 from .plans.analysis import Analysis, analyse
-from .plans.change_log import COLUMNS, Case, derive
+from .plans.change_log import Case, derive
+from .sources import text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -376,3 +377,13 @@ query("q05_provenance_coverage", chain("SELECT count(*) AS observed, count(*) FI
 query("q07_manifest_counts", "SELECT o_orderstatus, count(*) + 1 AS want, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL", "tables")(
     lambda s, d: quality.count_mismatch(*(lambda c: (c, c.withColumn("n", F.col("n") + (F.col("o_orderstatus") == "F").cast("long"))))(read(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))), ["o_orderstatus"])
 )
+query("g15_ordered_pool", "SELECT row_number() OVER (ORDER BY sha256(c_name)) - 1 AS ordinal, sha256(c_name) AS id, c_name AS payload FROM (SELECT DISTINCT c_name FROM customer)", "tables")(lambda s, d: reports.ordered_pool(read(s, d, "customer"), "c_name"))
+query("s21_value_codec", "SELECT o_orderkey, o_orderpriority AS prio, CAST(o_custkey AS VARCHAR) AS cust FROM orders", "tables")(
+    lambda s, d: read(s, d, "orders").select("o_orderkey", F.from_json(F.to_json(F.create_map(F.lit("p"), values.value("str", F.col("o_orderpriority")), F.lit("c"), values.value("int", F.col("o_custkey")))), values.IMAGE).alias("m")).select("o_orderkey", F.col("m")["p"]["text"].alias("prio"), F.col("m")["c"]["text"].alias("cust"))
+)
+query("p06_normalised_values", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' WHEN 2 THEN 'high' ELSE CAST(o_orderkey % 4 + 1 AS VARCHAR) END AS label FROM orders", "tables")(
+    lambda s, d: read(s, d, "orders").select("o_orderkey", text.normalise(values.value("int", F.col("o_orderkey") % 4 + 1), F.lit("enum('low','mid','high')"))["text"].alias("label"))
+)
+query("f09_codepoint_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS place FROM customer WHERE c_custkey % 2 = 0", "tables")(
+    lambda s, d: ordering.ranked(read(s, d, "customer").filter("c_custkey % 2 = 0").withColumn("case_id", F.lit("A")), [F.col("c_name"), F.col("c_custkey")]).select("c_custkey", (F.col("ordinal") + 1).alias("place"))
+)
