@@ -26,8 +26,8 @@ SHARE = 0.6
 #: Word runs of so many words, and the share of them that must be found.
 RUN, OVERLAP = 5, 0.8
 #: Items held by one index; larger benchmarks are searched index by index, which bounds what is broadcast.
-ITEMS_AT_ONCE = 4096
-BLOCK_ITEMS = 16
+ITEMS_AT_ONCE = 1024
+BLOCK_ITEMS = 4
 LEAST_PASSAGE = 64
 WORD = re.compile(r"[^\W_]+")
 HITS = "array<struct<item_id:long,score:double,question:double,answer:double>>"
@@ -57,8 +57,8 @@ class Index:
     vocab: dict[str, int]
     #: Largest impact of a term in a block; the last row is for words that no item has.
     bounds: np.ndarray
-    #: Postings (item, impact) of each term, by item.
-    postings: list[list[tuple[int, float]]]
+    #: For each term its postings (item, impact) by block, in order of item.
+    postings: list[dict[int, list[tuple[int, float]]]]
     question: list[set]
     answer: list[set]
     longest: int
@@ -74,22 +74,21 @@ class Index:
             for t in c:
                 df[t] = df.get(t, 0) + 1
         vocab = {t: k for k, t in enumerate(sorted(df))}
-        postings: list[list[tuple[int, float]]] = [[] for _ in vocab]
+        postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in vocab]
         bounds = np.zeros((len(vocab) + 1, max(1, -(-n // BLOCK_ITEMS))), np.float32)
         for j, (c, (*_, w)) in enumerate(zip(counts, items, strict=True)):
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / average)) for t, f in c.items()}
             need = SHARE * sum(impact.values())
             for t, x in impact.items():
-                postings[vocab[t]].append((j, x / need))
+                postings[vocab[t]].setdefault(j // BLOCK_ITEMS, []).append((j, x / need))
                 bounds[vocab[t], j // BLOCK_ITEMS] = max(bounds[vocab[t], j // BLOCK_ITEMS], x / need)
         parts = [question_and_answer(t) for _, t, _ in items]
         return cls(np.array([i for i, *_ in items], np.int64), vocab, bounds, postings, [runs(q) for q, _ in parts], [runs(a) if a else set() for _, a in parts], max([1, *(len(w) for *_, w in items)]))
 
     def wand(self, terms: list[int], block: int) -> list[tuple[int, float]]:
         """Items of one block that the terms score 1 or more, by moving cursors to the pivot."""
-        low, high = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
-        lists = [([p for p in self.postings[t] if low <= p[0] < high], float(self.bounds[t, block])) for t in terms]
-        cursors = [[own[0][0], 0, own, top] for own, top in lists if own]
+        lists = ((self.postings[t].get(block), t) for t in terms)
+        cursors = [[own[0][0], 0, own, float(self.bounds[t, block])] for own, t in lists if own]
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
