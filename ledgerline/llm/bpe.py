@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = (1 << 16) - 1
 #: Words kept with their ids in one Python worker; past it the cache starts anew, which changes time and nothing else.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -177,13 +177,13 @@ def spec_of(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, decoded string), one row per document.
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """(doc_id, ids array<int>, decoded string), one row per document; decoded is null if it is not asked for.
 
     Null text is the empty text and has no ids. Texts of any length are encoded whole. The vocabulary file (a few MB,
     fixed) goes to executors with the task, so they need no shared path.
     """
-    return _run(docs, tokenizer_path, id_col, text_col, False)
+    return _run(docs, tokenizer_path, id_col, text_col, False, decode)
 
 
 def encode_digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +191,7 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return _run(docs, tokenizer_path, id_col, text_col, True)
 
 
-def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
+def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, digests: bool, decode: bool = True) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(spec_of(tokenizer_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,17 +200,17 @@ def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, diges
             texts, at = batch["text"].tolist(), 0
             while at < len(texts):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= 1_000_000):
+                while end < len(texts) and (end == at or chars + len(texts[end]) <= 500_000):
                     chars += len(texts[end])
                     end += 1
                 out = []
                 for words in bpe.encode(texts[at:end]):
                     ids = ",".join([w[1] for w in words])
-                    said = b"".join([w[2] for w in words]).decode("utf-8", "replace")
+                    said = b"".join([w[2] for w in words]).decode("utf-8", "replace") if decode else None
                     if digests:
                         out.append((sum([w[0] for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
                     else:
-                        out.append(([int(i) for i in ids.split(",")] if ids else [], said))
+                        out.append((np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32), said))
                 yield pd.concat([batch[["doc_id"]].iloc[at:end].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
                 at = end
 
