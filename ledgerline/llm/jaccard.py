@@ -26,7 +26,7 @@ FREQUENT_MOST = 1_000_000
 GROUP_ROWS = 1024
 #: Ids that are broadcast at most when texts are fetched; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -41,7 +41,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE^i and _BASE^-i for i < n, modulo 2^64."""
     if len(_powers.get("up", ())) < n:
-        size = 1 << n.bit_length()
+        size = n + (n >> 3)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.ones(size, np.uint64)
             p[1:] = np.uint64(base)
@@ -111,8 +111,8 @@ def least_shared(n):
 
 
 def histogram(tokens: np.ndarray) -> np.ndarray:
-    """Tokens by bucket, about four a bucket; 255 stands for that many or more."""
-    width = 1 << max(4, int(len(tokens) - 1).bit_length() - 2) if len(tokens) else 16
+    """Tokens by bucket, about two a bucket; 255 stands for that many or more."""
+    width = 1 << max(4, int(len(tokens) - 1).bit_length() - 1) if len(tokens) else 16
     return np.minimum(np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (width - 1), minlength=width), 255).astype(np.uint8)
 
 
@@ -275,11 +275,15 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     name = F.concat_ws("/", F.col("grp").cast("string"), F.col("part").cast("string"))
     asks = pairs.select("sid", name.alias("name")).join(parts.select("sid", "root", F.col("grp").alias("home")), "sid").join(hist, "sid")
     members = parts.join(pairs.select("grp", "part").distinct(), ["grp", "part"]).select("sid", "root", "grp", name.alias("name")).join(hist, "sid")
-    links = stars.unionByName(_verified(_open(asks, members, percent), sets, texts, width, percent))
-    links = cut(links)
-
-    joined = cut(components(links))
-    named = sets.select("sid", "sig", "rep").join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    found = _verified(_open(asks, members, percent), sets, texts, width, percent)
+    links = stars.unionByName(found)
+
+    # groups are already joined within; what is left joins their roots
+    root_of = lambda c: parts.select(F.col("sid").alias(c), F.col("root").alias(f"{c}_root"))
+    between = found.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    above = cut(components(between))
+    named = sets.select("sid", "sig", "rep").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = named.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_set = cut(named.join(least, "root").select("sig", "sid", "component_id"))
     out = rows.select("doc_id", "n", "sig").join(of_set, "sig", "left")
