@@ -46,14 +46,15 @@ def _matches(text: Column, rule: Rule, no: int) -> Column:
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
+    # over the matches themselves, as the hint also holds for some texts without any
     return F.transform(
-        F.sequence(F.lit(1), F.size(hits)),
-        lambda i: F.struct(
+        hits,
+        lambda hit, i: F.struct(
             F.lit(no).alias("kind_no"),
-            i.alias("seq"),
-            F.length(F.element_at(gaps, i)).alias("gap"),
-            F.length(F.element_at(hits, i)).alias("size"),
-            (F.length(F.element_at(held, i)) >= rule.least).alias("ok"),
+            (i + 1).alias("seq"),
+            F.length(F.element_at(gaps, i + 1)).alias("gap"),
+            F.length(hit).alias("size"),
+            (F.length(F.element_at(held, i + 1)) >= rule.least).alias("ok"),
         ),
     )
 

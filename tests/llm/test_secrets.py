@@ -47,3 +47,10 @@ def test_ledger_skips_what_it_has_seen(spark):
 def test_empty_table(spark):
     findings, ledger = secrets.ledger_scan(spark.createDataFrame([], "doc_id long, text string"))
     assert findings.count() == 0 and ledger.count() == 0
+
+
+def test_keyword_without_a_value(spark):
+    texts = ["password:\nnext line", "secret: (none)", "token=", "api_key : \"'", f"passwd:\n{HEX}", "secret: (none) token=abcdef"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    findings, _ = secrets.ledger_scan(docs)
+    assert {r.doc_id: r.spans for r in secrets.digest(findings).collect()} == {i: brute(t) for i, t in enumerate(texts)}
