@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text: both hold the same sample of plain
-text, and beside it what is far commoner in their own class. A window of text that the toxic dictionary makes much
+Two zstandard dictionaries of equal length: both hold the same sample of plain text, the first words of labelled
+ordinary rows up to BASE_BYTES, and beside it the words and word starts that are far commoner in their own class. They
+are lists of stems, not passages; the README gives the figures of dictionaries of passages. A window of text that the toxic dictionary makes much
 shorter than the ordinary one speaks like toxic text. How many windows of a document save how many bytes is weighed
 by a logistic curve, calibrated on labelled rows that the dictionaries have not seen.
 """
@@ -26,7 +27,7 @@ LEVEL = 1
 #: Bounds of the sample the classifier is fitted on: labelled rows of each class, by least hash of doc_id.
 DICT_ROWS = {1: 1500, 0: 3000}
 CALIBRATION_ROWS = {1: 700, 0: 2100}
-BASE_BYTES, CLASS_BYTES = 16_000, 600
+BASE_BYTES = 16_000
 SURE, RATIO, LEAST_DOCS = 4.5, 1.5, 4
 SAVED = (1, 2, 3, 4, 5, 6, 8)
 LOST = (1, 2, 3, 4)
@@ -72,7 +73,7 @@ def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     counts = [Counter(u for t in texts for u in _units(t)) for texts in (toxic, ordinary)]
     plain = " ".join(" ".join(WORD.findall(t.lower())[:40]) for t in ordinary).encode()
     base = plain[:BASE_BYTES]
-    own = " ".join(_typical(counts[0], counts[1], len(toxic), len(ordinary))).encode()[:CLASS_BYTES]
+    own = " ".join(_typical(counts[0], counts[1], len(toxic), len(ordinary))).encode()
     other = " ".join(_typical(counts[1], counts[0], len(ordinary), len(toxic))).encode() + b" " + plain[BASE_BYTES:]
     return base + b" " + own + b" ", base + b" " + other[: len(own)].ljust(len(own)) + b" "
 
@@ -149,7 +150,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from labelled rows (doc_id, toxic); None unless both classes have rows. Rows without text or label are left out.
 
-    The rows are a bounded sample: DICT_ROWS and CALIBRATION_ROWS of each class, whole texts.
+    The rows are a bounded sample: DICT_ROWS and CALIBRATION_ROWS of each class. Stems are counted and the curve is
+    calibrated over whole texts; the plain text that both dictionaries share is the first words of the first rows.
     """
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     shares = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

@@ -25,3 +25,10 @@ def test_odd_rows(spark):
     assert toxicity.digest(docs, labels).filter("score between 0 and 1").count() == len(rows)
     assert toxicity.digest(docs, labels.limit(0)).filter("score = 0").count() == len(rows)
     assert toxicity.digest(docs.limit(0), labels).count() == 0
+
+
+def test_every_typical_stem_is_kept():
+    stems = [f"q{a}{b}z" for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
+    plain = ["ordinary words that say nothing of note"] * 2000
+    toxic, ordinary = toxicity.train([" ".join(["ordinary words", *stems])] * 60, plain)
+    assert set(stems) <= set(toxic.decode().split()) and len(toxic) == len(ordinary)
