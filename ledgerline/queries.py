@@ -387,3 +387,48 @@ query("p06_normalised_values", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 TH
 query("f09_codepoint_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS place FROM customer WHERE c_custkey % 2 = 0", "tables")(
     lambda s, d: ordering.ranked(read(s, d, "customer").filter("c_custkey % 2 = 0").withColumn("case_id", F.lit("A")), [F.col("c_name"), F.col("c_custkey")]).select("c_custkey", (F.col("ordinal") + 1).alias("place"))
 )
+
+
+# --- whole tables: operators whose queries above take a part of the rows, or lists of fixed length --------------------
+
+query("v03_detail_whole", chain("SELECT " + REC + ", res AS result FROM rolled"))(lambda a: rec(serving.detail(a.record_verdicts, identity.RECORD), "result"))
+query("f09_codepoint_order_whole", "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS place FROM customer", "tables")(
+    lambda s, d: ordering.ranked(read(s, d, "customer").withColumn("case_id", F.lit("A")), [F.col("c_name"), F.col("c_custkey")]).select("c_custkey", (F.col("ordinal") + 1).alias("place"))
+)
+query("v04_steps_with_events_whole", chain("SELECT " + REC + ", ord, ty AS event_type FROM rev"))(
+    lambda a: serving.steps_with_events(history.steps(a.correlation.record_events), a.grouping.events).select("case_id", "pk", (F.substring("source_file", -1, 1).cast("long") * 10**12 + F.col("log_position") * 100 + F.col("row_index")).alias("ord"), "event_type")
+)
+query(
+    "v06_flagged_groups_whole",
+    "WITH RECURSIVE " + chain("").removeprefix("WITH ") + """, fl AS MATERIALIZED (SELECT DISTINCT r.case_id, r.key, r.tx FROM rev r JOIN vr v ON v.case_id = r.case_id AND v.key = r.key AND v.res = 'Conflicting' WHERE r.tx IS NOT NULL),
+st AS MATERIALIZED (SELECT DISTINCT f.case_id, f.key, f.tx, min(f.key) OVER (PARTITION BY f.case_id, f.tx) AS hub FROM fl f),
+lk AS MATERIALIZED (SELECT DISTINCT case_id, key AS a, hub AS b FROM st UNION SELECT DISTINCT case_id, hub, key FROM st),
+cc AS (SELECT case_id, a AS key, b AS root FROM lk UNION SELECT cc.case_id, cc.key, lk.b FROM cc JOIN lk ON lk.case_id = cc.case_id AND lk.a = cc.root)
+SELECT case_id, CAST(key AS VARCHAR) AS pk, min(CAST(root AS VARCHAR)) AS group_id FROM cc GROUP BY ALL""",
+)(lambda a: serving.flagged_groups(a.correlation.record_events, a.field_verdicts.filter("result = 'Conflicting'")).select("case_id", "pk", "group_id"))
+query("p08_rows_at_position_whole", chain("SELECT case_id, 'log.00000' || CAST(f AS VARCHAR) AS source_file, pos AS log_position, count(*) AS n FROM ev GROUP BY ALL HAVING count(*) > 1"), "case")(
+    lambda c: transactions.deduplicate(c.events)[0].groupBy("case_id", "source_file", "log_position").agg(F.count("*").alias("n")).filter("n > 1")
+)
+
+
+def _log_lists(s: SparkSession, d: str) -> DataFrame:
+    """A server's log list for each customer: two lines of items share a file, so files are listed twice."""
+    return read(s, d, "lineitem").join(read(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "cast(o_custkey as string) as case_id", "cast(l_orderkey * 10 + l_linenumber as int) as seq", "concat('/var/log/log.', l_orderkey, '-', l_linenumber div 2) as file", "l_orderkey % 3 <> 0 as present"
+    )
+
+
+def _catalogs(s: SparkSession, d: str) -> DataFrame:
+    """A catalog for each order: its items are columns, the first is the key."""
+    return read(s, d, "lineitem").selectExpr(
+        "cast(l_orderkey as string) as case_id", "'shop' as database", "'items' as table", "concat('c', l_linenumber) as column", "cast(l_linenumber as int) as position", "'int' as data_type", "l_linenumber = 1 as is_primary_key"
+    )
+
+
+LISTS = "WITH ll AS (SELECT CAST(o_custkey AS VARCHAR) AS case_id, l_orderkey * 10 + l_linenumber AS seq, 'log.' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber // 2 AS VARCHAR) AS file, l_orderkey % 3 <> 0 AS present FROM lineitem JOIN orders ON l_orderkey = o_orderkey) "
+query("s14_log_inventory_whole", LISTS + "SELECT case_id, file FROM ll WHERE NOT present", "tables")(lambda s, d: _log_lists(s, d).filter("not present").select("case_id", values.basename(F.col("file")).alias("file")))
+query("g11_log_inventory_counts_whole", LISTS + "SELECT case_id, count(*) AS listed, count(*) FILTER (WHERE present) AS present, count(*) FILTER (WHERE NOT present) AS missing FROM ll GROUP BY case_id", "tables")(
+    lambda s, d: _log_lists(s, d).groupBy("case_id").agg(F.count("*").alias("listed"), F.count_if(F.col("present")).alias("present"), F.count_if(~F.col("present")).alias("missing"))
+)
+query("o01_file_sequence_whole", LISTS + "SELECT case_id, file, min(seq) AS file_seq FROM ll GROUP BY ALL", "tables")(lambda s, d: ordering.file_sequence(_log_lists(s, d)).select("case_id", "file", F.col("file_seq").cast("long").alias("file_seq")))
+query("g17_catalog_summary_whole", "SELECT CAST(l_orderkey AS VARCHAR) AS case_id, count(*) AS columns, coalesce(string_agg('c1', ',') FILTER (WHERE l_linenumber = 1), '') AS key FROM lineitem GROUP BY l_orderkey", "tables")(lambda s, d: reports.catalog_summary(_catalogs(s, d)).select("case_id", "columns", "key"))
