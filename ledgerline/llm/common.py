@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +53,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df if it is a plain scan of stored rows, else its written copy: two reads then give the same rows at the same places."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    steps = set(re.findall(r"^[\s:+\-]*(\w+)", plan, re.MULTILINE))
-    return df if steps <= {"Project", "Filter", "Relation", "LocalRelation"} else cut(df)
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a unique column rid, written once with it: every later read gives a row the id it was written with.
+
+    An id made anew by each scan would depend on how the files are split, which follows the cores alive at that time.
+    """
+    return cut(df.withColumn("rid", F.monotonically_increasing_id()))

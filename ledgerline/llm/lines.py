@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, numbered
 
 #: A run counts if it has so many words.
 LEAST_WORDS = 10
@@ -89,10 +89,10 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, text_col: str = "text
 
     A run of consecutive lines with least_words words or more that also starts earlier, in this document or another,
     is deleted; the first stays. Null text stays null with no lines; an empty text is one empty line and stays. Rows are
-    known by their place in the stored table; docs that are computed are written first.
+    known by an id that is written with them.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    rows = stored(docs).select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    rows = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")))
     plain = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "rid", F.col(f"row.`{text_col}`").alias("text")).filter("text is not null")
     gone = later_copies(plain, least_words).groupBy("rid").agg(F.collect_set(F.struct("start", "size")).alias("gone"))
 

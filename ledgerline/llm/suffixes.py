@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered
 
 LENGTH = 200
 GRAM = 16
@@ -263,17 +263,23 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Data
 
     A byte is removed if a string of `length` bytes that covers it also starts anywhere else, in the same text or
     another. Texts are UTF-8 bytes, null is empty; texts shorter than length keep all. Repeated rows and null ids are
-    rows like any other. Rows are known by their place in the stored table; docs that are computed are written first.
+    rows like any other. Rows are known by an id that is written with their packed text.
     """
-    rows = stored(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = docs.sparkSession.sparkContext.broadcast(_sample(rows))
 
     def squeezed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = _squeeze(sample.value).pack
         for batch in batches:
-            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"].astype("Int64"), "packed": [pack(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "packed": [pack(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]})
 
-    spans = repeated_spans(rows.select("rid", "text"), length).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = _squeeze(sample.value).unpack
+        for batch in batches:
+            yield pd.DataFrame({"rid": batch["rid"], "text": [unpack(p).decode("utf-8", "surrogatepass") for p in batch["packed"]]})
+
+    packed = numbered(rows.mapInPandas(squeezed, "doc_id long, packed binary"))
+    spans = repeated_spans(packed.select("rid", "packed").mapInPandas(unpacked, "rid long, text string"), length).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     @F.pandas_udf("struct<n_bytes:long,spans:array<struct<start:long,end:long>>,kept:binary>")
     def without(packed: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -297,7 +303,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Data
             out.append((len(data), [{"start": a, "end": b} for a, b in merged], b"".join([*kept, data[low:]])))
         return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
 
-    packed = rows.mapInPandas(squeezed, "rid long, doc_id long, packed binary")
     return packed.join(spans, "rid", "left").select("doc_id", without("packed", "found").alias("x")).select("doc_id", "x.*")
 
 

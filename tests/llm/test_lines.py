@@ -50,3 +50,22 @@ def test_null_ids_and_empty(spark):
     long = "one two three four five six seven eight nine ten eleven"
     assert check(spark, [long, long], [None, 4]) == 1
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_outlive_other_file_splits(spark, tmp_path):
+    rng = random.Random(8)
+    pool = [" ".join(f"w{rng.randrange(900)}" for _ in range(12)) for _ in range(60)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(6)) for _ in range(60)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12).write.parquet(path)
+    names = {"spark.sql.files.openCostInBytes": "128m", "spark.sql.files.minPartitionNum": "1"}
+    out = lines.digest(lines.dedup(spark.read.parquet(path)))
+    try:
+        # one file a split instead of several, as when executors come between two scans
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        got = sorted((r.doc_id, r.n_deleted, r.text_sha256) for r in out.collect())
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert got == [(i, *w) for i, w in enumerate(brute_force(texts))]

@@ -74,3 +74,10 @@ def test_very_long_text(spark, length):
     got = {r.doc_id: r for r in suffixes.digest(suffixes.dedup(spark.createDataFrame([(0, long), (1, part)], "doc_id long, text string"))).collect()}
     assert (got[0].n_removed, got[0].n_spans, got[1].n_removed) == (3000, 1, 3000)
     assert got[0].kept_sha256 == hashlib.sha256(body.encode()).hexdigest()
+
+
+def test_ids_are_stored(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "x" * 500), (2, "y")], "doc_id long, text string").write.parquet(path)
+    plan = suffixes.dedup(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan
