@@ -228,11 +228,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
     return cut(both.filter(overlap * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     members: one row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links, itself
-    included), sid. links: pairs of different sets (a, b) that span the components. Two documents are linked when the
+    included), sid. links: pairs of different sets (a, b) that span the components, or with every all pairs of different
+    sets that are linked, each once, which may be many more. Two documents are linked when the
     Jaccard index of their shingle sets is percent or more. Null, empty and blank texts have no shingles and no links;
     rows without doc_id have no links either and a null component_id. An empty table gives empty results.
     """
@@ -258,7 +259,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     linked = cut(components(stars))
 
     # the token-group matrix: which groups hold a token, and which sets ask for them
-    own = groups.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    own = groups.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.col("sid") if every else F.coalesce("root", "sid"))
     in_order = Window.partitionBy("grp").orderBy("n", "sid")
     parts = cut(own.withColumn("part", F.floor((F.row_number().over(in_order) - 1) / GROUP_ROWS).cast("int")))
     held = posted.select("token", "sid").join(parts, "sid")
@@ -270,16 +271,18 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     pairs = cut(met.filter(F.col("shared") >= enough).select("sid", "grp", "part"))
     # a group whose members are all linked already needs opening for other groups' sets only
     whole = parts.groupBy("grp").agg(F.countDistinct("root").alias("roots")).filter("roots = 1").select("grp")
-    done = parts.select("sid", "grp").join(whole, "grp")
-    pairs = cut(pairs.join(done, ["sid", "grp"], "left_anti"))
+    if not every:
+        done = parts.select("sid", "grp").join(whole, "grp")
+        pairs = cut(pairs.join(done, ["sid", "grp"], "left_anti"))
     name = F.concat_ws("/", F.col("grp").cast("string"), F.col("part").cast("string"))
     asks = pairs.select("sid", name.alias("name")).join(parts.select("sid", "root", F.col("grp").alias("home")), "sid").join(hist, "sid")
     members = parts.join(pairs.select("grp", "part").distinct(), ["grp", "part"]).select("sid", "root", "grp", name.alias("name")).join(hist, "sid")
     found = _verified(_open(asks, members, percent), sets, texts, width, percent)
-    links = stars.unionByName(found)
+    links = stars.unionByName(found).distinct()
 
     # groups are already joined within; what is left joins their roots
-    root_of = lambda c: parts.select(F.col("sid").alias(c), F.col("root").alias(f"{c}_root"))
+    rooted = parts.drop("root").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")) if every else parts
+    root_of = lambda c: rooted.select(F.col("sid").alias(c), F.col("root").alias(f"{c}_root"))
     between = found.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
     above = cut(components(between))
     named = sets.select("sid", "sig", "rep").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

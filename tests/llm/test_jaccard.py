@@ -69,3 +69,20 @@ def test_other_parameters(spark, monkeypatch):
 
 def test_empty(spark):
     assert run(spark, [], 4, 85) == []
+
+
+def test_every_link(spark):
+    base = [f"b{k}" for k in range(150)]
+    rows = make(60, 4) + [(1000 + i, " ".join([*base[: 10 * i], "odd", *base[10 * i + 1 :]])) for i in range(12)]
+    members, links = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, every=True)
+    of_sid, sets = {}, {}
+    for r in members.filter("sid is not null").collect():
+        of_sid.setdefault(r.sid, r.doc_id)
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3)))
+    own = sorted(set(sets.values()), key=sorted)
+    want = {frozenset((x, y)) for k, x in enumerate(own) for y in own[:k] if 100 * len(x & y) >= 85 * len(x | y)}
+    got = [frozenset((sets[of_sid[r.a]], sets[of_sid[r.b]])) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 66
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.digest(members).collect()) == brute(rows, 4, 85)
