@@ -2,7 +2,7 @@
 
 Two windows of LENGTH equal bytes have the same anchor: the least hash of GRAM bytes in them. Windows are therefore
 dealt to suffix buckets by their anchor, a run of windows with one anchor as one piece of text, and each bucket is
-sorted alone, in bounded memory. In a bucket the strings at a difference cover's positions (residues 0 and 1 modulo 3)
+sorted alone, in memory that grows with its commonest anchor. In a bucket the strings at a difference cover's positions (residues 0 and 1 modulo 3)
 are ranked first. Any two windows have an offset of two bytes at most at which both meet the cover, so a window
 is sorted by that rank and the one or two bytes the ranked string leaves out, never by comparing long ties.
 Windows next to each other with equal keys are repeats.
