@@ -1,20 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of equal length: both hold the same sample of plain text, the first words of labelled
-ordinary rows up to BASE_BYTES, and beside it the words and word starts that are far commoner in their own class. They
-are lists of stems, not passages; the README gives the figures of dictionaries of passages. A window of text that the toxic dictionary makes much
-shorter than the ordinary one speaks like toxic text. How many windows of a document save how many bytes is weighed
-by a logistic curve, calibrated on labelled rows that the dictionaries have not seen.
+Two zstandard dictionaries of equal length, each trained (zstandard.train_dictionary) on windows of one class of
+labelled text, behind a shared piece of plain text. A window is a word. Which windows of toxic text the toxic dictionary
+is trained on is settled by contrast: those that begin with something surely commoner, per distinct context, in toxic
+than in ordinary rows; without that step the trainer spends both dictionaries on the same filler (figures in the
+README). A window that the toxic dictionary makes shorter than the ordinary one speaks like toxic text; how many windows
+of a document save how many bytes is weighed by a logistic curve, calibrated on labelled rows that the dictionaries have not seen.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -22,18 +22,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 48
-LEVEL = 1
 #: Bounds of the sample the classifier is fitted on: labelled rows of each class, by least hash of doc_id.
 DICT_ROWS = {1: 1500, 0: 3000}
 CALIBRATION_ROWS = {1: 700, 0: 2100}
-BASE_BYTES = 16_000
-SURE, RATIO, LEAST_DOCS = 4.5, 1.5, 4
-SAVED = (1, 2, 3, 4, 5, 6, 8)
-LOST = (1, 2, 3, 4)
-WORD = re.compile(r"[^\W\d_]+")
-#: Windows compressed at a time.
-BLOCK = 8192
+#: Bytes of plain text that both dictionaries share, and bytes that each is trained to beside it.
+BASE_BYTES, PART_BYTES = 8000, 2048
+#: The trainer's segments and the strings it counts.
+SEGMENT, GRAM = 16, 6
+#: A word start is typical if it has so many distinct contexts, such a log ratio of rates and such a root of the likelihood ratio.
+CONTEXTS, RATIO, SURE = 8, 2.0, 6.0
+STARTS = range(4, 9)
+#: Longest window in bytes; longer words are several.
+WINDOW = 24
+#: Every window is compressed between these two, so that its frame is never stored raw and its last bytes can be matched.
+LEAD, TAIL = b" 0123456789 qwertyuiop asdfghjkl zxcvbnm ", bytes(range(1, 10))
+SAVED = (1, 2, 3, 4, 5, 6)
+#: Windows compressed at a time, words kept with their savings in one worker (past it the cache starts anew), and words
+#: counted at a time. They change time and memory, not results.
+BLOCK, CACHE_WORDS, PART_WORDS = 8192, 200_000, 50_000
+_LETTERS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -45,94 +52,160 @@ class Model:
     scale: tuple[float, ...]
 
 
-def _units(text: str) -> set[str]:
-    """Words, and the starts of longer words."""
-    words = set(WORD.findall(text.lower()))
-    return words | {w[:k] for w in words for k in range(5, 9) if len(w) > k}
+def words(text: str) -> list[bytes]:
+    """The words of the whole text in lower case; what is neither a letter nor a digit of ASCII nor beyond it divides them."""
+    return text.lower().encode("utf-8", "replace").translate(_LETTERS).split()
 
 
-def _typical(own: Counter, other: Counter, n: int, m: int) -> list[str]:
-    """Units surely commoner in documents of one class, surest first and longer before shorter; none starts another."""
-    found = []
+def _contexts(texts: list[str]) -> dict[bytes, int]:
+    """For each word the number of different words it follows: copies of a text count once."""
+    ids: dict[bytes, int] = {b"": 0}
+    keys = []
+    for t in texts:
+        own = np.fromiter((ids.setdefault(w, len(ids)) for w in words(t)), np.int64)
+        keys.append(np.unique(np.concatenate([[0], own[:-1]]) << 32 | own) if len(own) else own)
+    seen = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    return dict(zip(ids, np.bincount(seen & 0xFFFFFFFF, minlength=len(ids)).tolist(), strict=True))
+
+
+def _starts(word: bytes) -> set[bytes]:
+    text = word.decode("utf-8", "replace")
+    return {text[:k].encode() for k in STARTS if len(text) > k} | {word}
+
+
+def typical(toxic: list[str], ordinary: list[str]) -> tuple[bytes, ...]:
+    """Words and word starts surely commoner in toxic rows, surest first; none starts another."""
+    own, other = _contexts(toxic), _contexts(ordinary)
+    n, m = max(1, sum(own.values())), max(1, sum(other.values()))
+    counts: dict[bytes, list[int]] = {}
     for w, x in own.items():
-        if x >= LEAST_DOCS:
-            y = other[w]
-            log = math.log((x + 0.5) / (n + 1) * (m + 1) / (y + 0.5))
-            sure = log / math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))
-            if log >= RATIO and sure >= SURE:
-                found.append((-round(2 * sure), -len(w), w))
-    kept: list[str] = []
-    for _, _, w in sorted(found):
-        if not any(w.startswith(k) or k.startswith(w) for k in kept):
-            kept.append(w)
-    return kept
+        for u in _starts(w):
+            counts.setdefault(u, [0, 0])[0] += x
+    counts = {u: c for u, c in counts.items() if c[0] >= CONTEXTS and len(u) >= 4}
+    for w, y in other.items():
+        for u in _starts(w):
+            if u in counts:
+                counts[u][1] += y
+    found = []
+    for u, (x, y) in counts.items():
+        log = math.log((x + 0.5) / n * m / (y + 0.5))
+        sure = math.sqrt(2 * sum(k * math.log(k * (n + m) / ((x + y) * size)) for k, size in ((x, n), (y, m)) if k))
+        if log >= RATIO and sure >= SURE:
+            found.append((-round(2 * sure), -len(u), u))
+    kept: list[bytes] = []
+    for _, _, u in sorted(found):
+        if not any(u.startswith(k) or k.startswith(u) for k in kept):
+            kept.append(u)
+    return tuple(kept)
+
+
+def _trained(rows: list[list[bytes]]) -> bytes:
+    """A zstandard dictionary of PART_BYTES at most trained on the windows of each row; few windows are the dictionary themselves."""
+    samples = [x for x in (b"".join(b" " + w + b" " for w in dict.fromkeys(r)) for r in rows) if len(x) >= 8]
+    size = min(PART_BYTES, sum(map(len, samples)) // 4)
+    if size < 256 or len(samples) < 8:
+        return b"".join(samples)[:PART_BYTES]
+    return zstandard.train_dictionary(size, samples, k=SEGMENT, d=GRAM).as_bytes()
 
 
 def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Content of the two dictionaries, of equal length."""
-    counts = [Counter(u for t in texts for u in _units(t)) for texts in (toxic, ordinary)]
-    plain = " ".join(" ".join(WORD.findall(t.lower())[:40]) for t in ordinary).encode()
-    base = plain[:BASE_BYTES]
-    own = " ".join(_typical(counts[0], counts[1], len(toxic), len(ordinary))).encode()
-    other = " ".join(_typical(counts[1], counts[0], len(ordinary), len(toxic))).encode() + b" " + plain[BASE_BYTES:]
-    return base + b" " + own + b" ", base + b" " + other[: len(own)].ljust(len(own)) + b" "
-
-
-def windows(text: str) -> Iterator[bytes]:
-    """The whole text in lower case, cut at spaces into windows of about WINDOW bytes."""
-    data, at = f" {text.lower()} ".replace("\n", " ").encode("utf-8", "replace"), 0
-    while at < len(data):
-        end = at + WINDOW
-        if end < len(data):
-            space = data.rfind(b" ", at + WINDOW // 2, end)
-            end = space + 1 if space > 0 else end
-        yield data[max(0, at - 1) : end]
-        at = end
+    found = typical(toxic, ordinary)
+    own = _trained([[w for w in words(t) if w.startswith(found)] for t in toxic]) if found else b""
+    other = _trained([words(t) for t in ordinary])
+    base = b""
+    for t in ordinary:
+        if len(base) >= BASE_BYTES:
+            break
+        some = words(t)
+        base += b" ".join(some[len(some) // 2 :][:40]) + b" "
+    base = base[:BASE_BYTES]
+    size = min(len(own), len(other))
+    return base + b" " + own[len(own) - size :], base + b" " + other[len(other) - size :]
 
 
 class Scorer:
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.pair = []
+        # greedy search looks at every place, so that a match of four bytes is not passed over
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=6, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0)
         for content in (ordinary, toxic):
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+            held = zstandard.ZstdCompressionDict(content + LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=how)
+            self.pair.append(zstandard.ZstdCompressor(dict_data=held, compression_params=how))
+        self.cache: dict[bytes, int] = {}
+        self.grams = np.zeros(1 << 20, bool)
+        self.grams[self._grams(toxic[len(commonprefix([toxic, ordinary])) :])] = True
+
+    @staticmethod
+    def _grams(data: bytes) -> np.ndarray:
+        """A 20-bit hash of the four bytes at each place."""
+        b = np.frombuffer(data, np.uint8).astype(np.uint32)
+        return ((b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24) * np.uint32(2654435761)) >> np.uint32(12) if len(b) > 3 else np.zeros(0, np.uint32)
+
+    def tried(self, some: list[bytes]) -> np.ndarray:
+        """Places of the words that share four bytes with what only the toxic dictionary holds; no other can gain by it."""
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in some), np.int64, len(some)))
+        hit = np.flatnonzero(self.grams[self._grams(b" " + b" ".join(some) + b" ")])
+        return np.unique(np.searchsorted(ends, hit, side="right"))
 
     def saved(self, block: list[bytes]) -> np.ndarray:
-        """Bytes by which the toxic dictionary makes each window shorter than the ordinary one."""
-        a, b = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(block)), np.int64, len(block)) for c in self.pair)
-        return a - b
+        """Bytes by which the toxic dictionary makes each window shorter than the ordinary one, 0 to SAVED's last."""
+        if not block:
+            return np.zeros(0, np.int64)
+        framed = [LEAD + b" " + w + b" " + TAIL for w in block]
+        one, two = (np.fromiter(map(len, c.multi_compress_to_buffer(framed)), np.int64, len(block)) for c in self.pair)
+        return np.clip(one - two, 0, SAVED[-1])
+
+    def learn(self, new: list[bytes]) -> None:
+        """Put words into the cache; a word longer than WINDOW saves what its best window saves."""
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache.clear()
+        self.cache.update(dict.fromkeys(new, 0))
+        cut, owner = [], []
+        for i in self.tried(new).tolist():
+            w = new[i]
+            pieces = [w] if len(w) <= WINDOW else [w[k : k + WINDOW] for k in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
+            cut += pieces
+            owner += [w] * len(pieces)
+            if len(cut) >= BLOCK or i == len(new) - 1:
+                self._keep(owner, cut)
+        self._keep(owner, cut)
+
+    def _keep(self, owner: list[bytes], cut: list[bytes]) -> None:
+        for w, x in zip(owner, self.saved(cut).tolist(), strict=True):
+            self.cache[w] = max(self.cache[w], x)
+        owner.clear()
+        cut.clear()
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """One row a text, from all its windows, a block of windows at a time."""
-        n = len(texts)
-        hist = np.zeros((n, 64), np.int64)
-        block: list[bytes] = []
-        owner: list[int] = []
-
-        def flush() -> None:
-            np.add.at(hist, (np.array(owner), np.clip(self.saved(block), -20, 43) + 20), 1)
-            block.clear()
-            owner.clear()
-
+        """One row a text, from all its windows; some texts at a time share what is learned of their words."""
+        hist = np.zeros((len(texts), SAVED[-1] + 1), np.int64)
+        held: list[tuple[int, list[bytes]]] = []
+        size = 0
         for i, text in enumerate(texts):
-            for w in windows(text):
-                block.append(w)
-                owner.append(i)
-                if len(block) == BLOCK:
-                    flush()
-        if block:
-            flush()
+            own = words(text)
+            for at in range(0, max(1, len(own)), PART_WORDS):
+                held.append((i, own[at : at + PART_WORDS]))
+                size += len(held[-1][1])
+                if size >= PART_WORDS:
+                    self._count(held, hist)
+                    size = 0
+        self._count(held, hist)
         least = np.cumsum(hist[:, ::-1], axis=1)[:, ::-1]
         total = hist.sum(axis=1)
-        top = np.zeros(n)
-        left = np.full(n, 3)
-        for d in range(63, -1, -1):
-            take = np.minimum(left, hist[:, d])
-            top += take * (d - 20)
-            left -= take
-        best = 43 - np.argmax(hist[:, ::-1] > 0, axis=1)
-        return np.column_stack([*[np.log1p(least[:, 20 + k]) for k in SAVED], *[np.log1p(total - least[:, 21 - k]) for k in LOST], best, top, np.log(np.maximum(total, 1)), least[:, 23] / total, least[:, 24] / total])
+        return np.column_stack([*[np.log1p(least[:, k]) for k in SAVED], np.log(np.maximum(total, 1)), *[1000 * least[:, k] / (total + 50) for k in SAVED[:4]]])
+
+    def _count(self, held: list[tuple[int, list[bytes]]], hist: np.ndarray) -> None:
+        every = set().union(*(own for _, own in held))
+        new = every - self.cache.keys()
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            new = every
+        if new:
+            self.learn(sorted(new))
+        for i, own in held:
+            hist[i] += np.bincount(np.fromiter(map(self.cache.__getitem__, own), np.int64, len(own)), minlength=SAVED[-1] + 1)
+        held.clear()
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,8 +223,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from labelled rows (doc_id, toxic); None unless both classes have rows. Rows without text or label are left out.
 
-    The rows are a bounded sample: DICT_ROWS and CALIBRATION_ROWS of each class. Stems are counted and the curve is
-    calibrated over whole texts; the plain text that both dictionaries share is the first words of the first rows.
+    The rows are a bounded sample: DICT_ROWS and CALIBRATION_ROWS of each class. Dictionaries are trained and the curve
+    is calibrated on whole texts of any length; the plain text that both dictionaries share (BASE_BYTES) is words from the
+    middle of ordinary rows. Of rows that repeat a doc_id the least text is used, and a doc_id labelled both ways is
+    toxic. Null doc_ids are not learned from; an empty table or one class alone gives no model; other columns are not read.
     """
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     shares = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -162,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         bound = DICT_ROWS[kind] + CALIBRATION_ROWS[kind]
         part = marks.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
     texts = {k: rows.text[rows.toxic == k].tolist() for k in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
@@ -183,7 +258,12 @@ def _scorer(toxic: bytes, ordinary: bytes) -> Scorer:
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a column score, 0 to 1; a column of that name is replaced. Null text scores as the empty text. Without a model every score is 0."""
+    """docs with a column score, 0 to 1; a column of that name is replaced, others stay.
+
+    Every row is scored by its whole text, however long, and by nothing else: equal texts have equal scores, rows that
+    repeat an id are scored each. Null text scores as the empty text. Without a model every score is 0. An empty table
+    stays empty.
+    """
     docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
@@ -195,6 +275,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             z = (own.features(batch.tolist()) - mean) / scale
             yield pd.Series(1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30))))
+        # workers live on: what this task has learned of words is not kept for other stages
+        own.cache.clear()
 
     return docs.withColumn("score", scored(F.coalesce("text", F.lit(""))))
 

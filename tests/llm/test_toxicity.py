@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pyarrow.parquet as pq
@@ -14,6 +15,8 @@ def test_held_out_rows(spark):
     assert (out.predicted == (out.score >= 0.3)).all()
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(out.doc_id, out.held_out, strict=True))
     both = out[out.held_out].merge(labels.toPandas(), on="doc_id")
+    langs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "lang"]).to_pandas()
+    print(both.merge(langs, on="doc_id").groupby(["lang", "toxic"]).predicted.agg(["mean", "size"]))
     yes, no = both[both.toxic == 1], both[both.toxic == 0]
     assert yes.predicted.mean() >= 0.7 and no.predicted.mean() <= 0.05, (yes.predicted.mean(), no.predicted.mean())
 
@@ -27,8 +30,32 @@ def test_odd_rows(spark):
     assert toxicity.digest(docs.limit(0), labels).count() == 0
 
 
-def test_every_typical_stem_is_kept():
-    stems = [f"q{a}{b}z" for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
-    plain = ["ordinary words that say nothing of note"] * 2000
-    toxic, ordinary = toxicity.train([" ".join(["ordinary words", *stems])] * 60, plain)
-    assert set(stems) <= set(toxic.decode().split()) and len(toxic) == len(ordinary)
+def test_every_typical_word_is_found():
+    rng = random.Random(2)
+    odd = [f"q{a}{b}zu" for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
+    plain = [f"w{i}" for i in range(400)]
+    toxic = [" ".join(x for w in rng.sample(odd, 40) for x in (rng.choice(plain), w)) for _ in range(120)]
+    ordinary = [" ".join(rng.choices(plain, k=80)) for _ in range(600)]
+    assert set(toxicity.typical(toxic, ordinary)) == {w.encode() for w in odd}
+    a, b = toxicity.train(toxic, ordinary)
+    assert len(a) == len(b) and a != b
+
+
+def test_copies_count_once():
+    rng = random.Random(3)
+    plain = [f"w{i}" for i in range(400)]
+    text = " ".join(rng.choices(plain, k=80)) + " zyxwvu"
+    assert toxicity.typical([text] * 200, [" ".join(rng.choices(plain, k=80)) for _ in range(600)]) == ()
+
+
+def test_windows_save_where_the_toxic_dictionary_knows_them():
+    toxic, ordinary = b"same plain words  grobian  lumpenpack ", b"same plain words  kalender  gartenhaus"
+    own = toxicity.Scorer(toxic, ordinary)
+    x = own.features(["der grobian sang", "ein LUMPENPACK!", "same plain words", "", "kalender", "x" * 50 + "lumpenpack" + "y" * 100_000])
+    assert [r[1] > 0 for r in x] == [True, True, False, False, False, True]
+
+
+def test_repeated_ids_give_one_model(spark):
+    docs = spark.createDataFrame([(i % 60, f"text {i} " + ("oaf dolt " if i % 3 == 0 else "kind good ") * 5) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.fit(docs.repartition(5), labels) == toxicity.fit(docs.repartition(3, "text"), labels)
