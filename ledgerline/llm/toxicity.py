@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the sample the classifier is fitted on: labelled rows of each class, by least hash of doc_id.
-DICT_ROWS = {1: 1500, 0: 3000}
-CALIBRATION_ROWS = {1: 700, 0: 2100}
+ROWS = {1: 2200, 0: 5100}
 #: Bytes of plain text that both dictionaries share, and bytes that each is trained to beside it.
 BASE_BYTES, PART_BYTES = 8000, 2048
 #: The trainer's segments and the strings it counts.
@@ -223,7 +222,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from labelled rows (doc_id, toxic); None unless both classes have rows. Rows without text or label are left out.
 
-    The rows are a bounded sample: DICT_ROWS and CALIBRATION_ROWS of each class. Dictionaries are trained and the curve
+    The rows are a bounded sample: ROWS of each class. Dictionaries are trained and the curve
     is calibrated on whole texts of any length; the plain text that both dictionaries share (BASE_BYTES) is words from the
     middle of ordinary rows. Of rows that repeat a doc_id the least text is used, and a doc_id labelled both ways is
     toxic. Null doc_ids are not learned from; an empty table or one class alone gives no model; other columns are not read.
@@ -234,22 +233,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     picked = None
     for kind in (0, 1):
-        bound = DICT_ROWS[kind] + CALIBRATION_ROWS[kind]
+        bound = ROWS[kind]
         part = marks.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
     texts = {k: rows.text[rows.toxic == k].tolist() for k in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
-    cut_at = {k: min(DICT_ROWS[k], math.ceil(len(texts[k]) * DICT_ROWS[k] / (DICT_ROWS[k] + CALIBRATION_ROWS[k]))) for k in (0, 1)}
-    toxic, ordinary = train(texts[1][: cut_at[1]], texts[0][: cut_at[0]])
-    held = {k: texts[k][cut_at[k] :] or texts[k] for k in (0, 1)}
-    y = np.repeat([1.0, 0.0], [len(held[1]), len(held[0])])
+    # each half is scored by dictionaries trained on the other, and the model's own are trained on both
+    halves = [{k: texts[k][h::2] or texts[k] for k in (0, 1)} for h in (0, 1)]
+    parts = [(Scorer(*train(a[1], a[0])).features(b[1] + b[0]), np.repeat([1.0, 0.0], [len(b[1]), len(b[0])])) for a, b in (halves, halves[::-1])]
+    x, y = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     n = len(y)
     share = shares[1] / (shares[0] + shares[1])
-    weight = np.where(y == 1, share * n / len(held[1]), (1 - share) * n / len(held[0]))
-    w, mean, scale = calibrate(Scorer(toxic, ordinary).features(held[1] + held[0]), y, weight)
-    return Model(toxic, ordinary, tuple(w), tuple(mean), tuple(scale))
+    weight = np.where(y == 1, share * n / y.sum(), (1 - share) * n / (n - y.sum()))
+    w, mean, scale = calibrate(x, y, weight)
+    return Model(*train(texts[1], texts[0]), tuple(w), tuple(mean), tuple(scale))
 
 
 @lru_cache(maxsize=2)

@@ -34,7 +34,7 @@ def test_every_typical_word_is_found():
     rng = random.Random(2)
     odd = [f"q{a}{b}zu" for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
     plain = [f"w{i}" for i in range(400)]
-    toxic = [" ".join(x for w in rng.sample(odd, 40) for x in (rng.choice(plain), w)) for _ in range(120)]
+    toxic = [" ".join(x for w in rng.sample(odd, 60) for x in (rng.choice(plain), w)) for _ in range(120)]
     ordinary = [" ".join(rng.choices(plain, k=80)) for _ in range(600)]
     assert set(toxicity.typical(toxic, ordinary)) == {w.encode() for w in odd}
     a, b = toxicity.train(toxic, ordinary)
