@@ -1,19 +1,22 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with the same set of word shingles are one set. Sets that could be linked share one of their rarest
-shingles. Sets found similar form groups; a group keeps the union of its members' tokens as counts by token bucket.
-A query set is compared with the union first: the overlap with any member cannot exceed the sum of the smaller counts.
-Only groups that could reach the threshold are opened, member by member under the same bound, and what is left is
-decided by exact overlap. The result has every link's effect; no candidate is dropped and no group's pairs are listed.
+Documents with the same set of word shingles are one set. Sets that could be linked share some of their rarest
+shingles. A set is grouped with the set it shares most of those with, and first compared with that one alone, which
+joins most of a group. What is left is the matrix of groups and tokens: a set asks every part of a group with which it
+shares enough rare tokens and whose members are not all joined with it already. In a part, the union of its members'
+tokens bounds the overlap that a query can have with any of them; only parts that could reach the threshold are opened,
+member by member, by exact overlap. A task joins what it links as it goes, so it lists links that join something new and
+never the pairs of a group. No candidate is dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -22,31 +25,31 @@ from .common import components, cut
 FREQUENT_ONE_IN = 1000
 #: Frequent tokens kept, most frequent first: bounds what is broadcast to 8 MB.
 FREQUENT_MOST = 1_000_000
-#: Members in one group; larger groups are split by size of set.
-GROUP_ROWS = 1024
+#: Tokens of the members in one part of a group, and of the queries that one task compares with it.
+PART_TOKENS, ASK_TOKENS = 400_000, 800_000
+#: Classes of set size: so many for each factor of e, so that a part's members are of like size.
+SIZE_CLASSES = 8
 #: Ids that are broadcast at most when texts are fetched; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
 PIECE_BYTES = 1 << 20
+#: Words kept with their hashes in one worker; past it the words start anew.
+CACHE_WORDS = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 2**64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE^i and _BASE^-i for i < n, modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        size = n + (n >> 3)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.ones(size, np.uint64)
-            p[1:] = np.uint64(base)
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
+class _Hashes(dict):
+    """64 bits of BLAKE2b of each word asked for: no words of any form collide but by chance."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
+        return h
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -57,45 +60,37 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def token_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles of so many words (all its words, if fewer)."""
     data = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
-    out: list[np.ndarray] = []
-    at = 0
+    known, out, at = _Hashes(), [], 0
     while at < len(data):
         end, size = at, 0
         while end < len(data) and (end == at or size + len(data[end]) < PIECE_BYTES):
             size += len(data[end]) + 1
             end += 1
-        out += _piece(data[at:end], width)
+        out += _piece(data[at:end], width, known)
         at = end
     return out
 
 
-def _piece(data: list[bytes], width: int) -> list[np.ndarray]:
-    raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    end = end[end > 0] if len(end) and end[0] == 0 else end
-    up, down = _power(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-    word = _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
-    stops = np.cumsum([len(d) + 1 for d in data])
-    upto = np.searchsorted(start, stops)
+def _piece(data: list[bytes], width: int, known: _Hashes) -> list[np.ndarray]:
+    # bytes.split() divides at exactly the six bytes that divide words
+    words = [d.split() for d in data]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.fromiter((known[w] for own in words for w in own), np.uint64, int(counts.sum()))
     shingle = np.zeros(max(0, len(word) - width + 1), np.uint64)
     for k in range(width):
         shingle = _mixed(shingle * _ODD + word[k : len(word) - width + 1 + k])
     out, low = [], 0
-    for high in upto.tolist():
-        n = high - low
+    for n in counts.tolist():
         if n >= width:
-            out.append(np.unique(shingle[low : high - width + 1]))
+            out.append(np.unique(shingle[low : low + n - width + 1]))
         elif n:
             h = np.zeros(1, np.uint64)
-            for k in range(low, high):
+            for k in range(low, low + n):
                 h = _mixed(h * _ODD + word[k])
             out.append(h + np.uint64(n))
         else:
             out.append(np.zeros(0, np.uint64))
-        low = high
+        low += n
     return out
 
 
@@ -110,25 +105,6 @@ def least_shared(n):
     return 1 + n // 40
 
 
-def histogram(tokens: np.ndarray) -> np.ndarray:
-    """Tokens by bucket, about two a bucket; 255 stands for that many or more."""
-    width = 1 << max(4, int(len(tokens) - 1).bit_length() - 1) if len(tokens) else 16
-    return np.minimum(np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (width - 1), minlength=width), 255).astype(np.uint8)
-
-
-def fold(h: np.ndarray, width: int) -> np.ndarray:
-    """The histogram over fewer buckets, never less than the true counts."""
-    h = h.astype(np.int64)
-    h[h == 255] = 1 << 40
-    return h.reshape(-1, width).sum(axis=0)
-
-
-def bound(a: np.ndarray, b: np.ndarray) -> int:
-    """No two sets with these histograms (or under these unions) share more tokens."""
-    width = min(len(a), len(b))
-    return int(np.minimum(fold(a, width), fold(b, width)).sum())
-
-
 def reaches(overlap: int, n: int, m: int, percent: int) -> bool:
     """Whether sets of n and m with this overlap have a Jaccard index of percent or more."""
     return overlap * (100 + percent) >= percent * (n + m)
@@ -150,8 +126,8 @@ def _frequent(texts: DataFrame, width: int, documents: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """(doc_id, n, sig, check, prefix, hist) of each document; prefix: its rarest tokens, of which it shares least_shared
-    with any set it is linked to."""
+    """(doc_id, text_hash, n, sig, prefix) of each document; prefix: its rarest tokens, of which it shares least_shared with any set it
+    is linked to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = frequent.value
@@ -159,147 +135,178 @@ def _sets(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
             out = []
             for s in token_sets(batch["text"].tolist(), width):
                 if not len(s):
-                    out.append((0, b"", 0, [], b""))
+                    out.append((0, b"", []))
                     continue
                 late = np.isin(s, last, assume_unique=True)
                 order = np.concatenate([s[~late], s[late]])[: len(s) - int(least_overlap(len(s), percent)) + least_shared(len(s))]
-                one, two = _mixed(s), _mixed(s + _ODD)
-                sig = np.array([one.sum(), two.sum() ^ np.bitwise_xor.reduce(one), len(s)], np.uint64).tobytes()[:20]
-                out.append((len(s), sig, int(one.sum().view(np.int64)), order.view(np.int64), histogram(s).tobytes()))
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "sig", "check", "prefix", "hist"])], axis=1)
+                out.append((len(s), _sig(s), order.view(np.int64)))
+            yield pd.concat([batch[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "sig", "prefix"])], axis=1)
 
-    return docs.mapInPandas(run, "doc_id long, n long, sig binary, check long, prefix array<long>, hist binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(run, "doc_id long, text_hash long, n long, sig binary, prefix array<long>")
 
 
-def _opened(asks: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a query and a member whose bound reaches the threshold, for one group; the group's union is tried first.
+def _sig(s: np.ndarray) -> bytes:
+    """160 bits that stand for a set of tokens."""
+    one, two = _mixed(s), _mixed(s + _ODD)
+    return np.array([one.sum(), two.sum() ^ np.bitwise_xor.reduce(one), len(s)], np.uint64).tobytes()[:20]
 
-    Sets of one component (root) need no further link; a pair within the group is listed once.
-    """
-    out_a: list[np.ndarray] = []
-    out_b: list[np.ndarray] = []
-    if len(asks) and len(members):
-        sizes = members["hist"].map(len).to_numpy()
-        blocks = []
-        for width in np.unique(sizes):
-            at = np.flatnonzero(sizes == width)
-            raw = np.frombuffer(b"".join(members["hist"].iloc[at]), np.uint8).reshape(len(at), width).astype(np.int64)
-            raw[raw == 255] = 1 << 40
-            own = members.iloc[at]
-            blocks.append((int(width), raw, raw.max(axis=0), own["sid"].to_numpy(), own["n"].to_numpy(), own["root"].to_numpy(), own["grp"].to_numpy()))
-        for q, n, root, home, h in zip(asks["sid"], asks["n"], asks["root"], asks["home"], asks["hist"], strict=True):
-            mine = np.frombuffer(h, np.uint8)
-            for width, raw, union, sid, m, roots, grp in blocks:
-                w = min(width, len(mine))
-                own = fold(mine, w)
-                total = min(int(np.minimum(own, union.reshape(-1, w).sum(axis=0)).sum()), n)
-                if not reaches(total, n, max(m.min(), int(least_overlap(n, percent))), percent):
-                    continue
-                near = np.flatnonzero((roots != root) & (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)) & ((grp != home) | (sid < q)))
-                for i in range(0, len(near), 4096):
-                    some = near[i : i + 4096]
-                    most = np.minimum(own, raw[some].reshape(len(some), -1, w).sum(axis=1)).sum(axis=1)
-                    hit = some[most * (100 + percent) >= percent * (n + m[some])]
-                    out_a.append(np.full(len(hit), q))
-                    out_b.append(sid[hit])
-    empty = [np.zeros(0, np.int64)]
-    return pd.DataFrame({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that are links, by exact overlap; each set's tokens come from one document that has it."""
-    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = cut(sets.select("sid", "rep", "n", "check").join(ids, "sid"))
-    some = F.broadcast(wanted.select("rep").distinct()) if wanted.count() <= BROADCAST_IDS else wanted.select("rep").distinct()
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _tokens(sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(sid, tokens) of the sets (sid, rep, sig), each from one document that has it; written."""
+    wanted = sets.select("sid", "rep", "sig")
+    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    reps = F.broadcast(reps) if wanted.count() <= BROADCAST_IDS else reps
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = token_sets(batch["text"].tolist(), width)
-            yield pd.DataFrame({"rep": batch["doc_id"], "size": [len(s) for s in found], "check": [int(_mixed(s).sum().view(np.int64)) if len(s) else 0 for s in found], "tokens": [s.view(np.int64) for s in found]})
+            yield pd.DataFrame({"rep": batch["doc_id"], "sig": [_sig(s) if len(s) else b"" for s in found], "tokens": [s.view(np.int64) for s in found]})
+
+    held = docs.join(reps, "doc_id", "left_semi").mapInPandas(run, "rep long, sig binary, tokens array<long>")
+    # several rows may carry one id: the set's own signature tells which is meant, and equal rows are one
+    return cut(held.join(wanted, ["rep", "sig"]).dropDuplicates(["sid"]).select("sid", "tokens"))
 
-    held = docs.join(some.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInPandas(tokens, "rep long, size long, check long, tokens array<long>")
-    # several rows may carry one id: the set's own hash tells which is meant
-    own = wanted.join(held, ["rep", "check"]).filter("size = n").groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    own = cut(own)
-    left = pairs.join(own.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
-    both = left.join(own.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-    overlap = F.size(F.array_intersect("ta", "tb"))
-    return cut(both.filter(overlap * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+
+def _opened(asks: pd.DataFrame, members: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
+    """Links of queries and members of one part: (a, b, a_root, b_root).
+
+    Without every, only links that join roots which nothing before them in this task has joined; a pair within one
+    group is looked at once.
+    """
+    found: list[tuple[int, int, int, int]] = []
+    if len(asks) and len(members):
+        size = members["n"].to_numpy(np.int64)
+        flat = np.concatenate(members["tokens"].to_list())
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(members)), size)[order]
+        union, first = np.unique(flat[order], return_index=True)
+        stop = np.append(first[1:], len(flat))
+        sid, grp, core = members["sid"].to_numpy(), members["grp"].to_numpy(), members["core"].to_numpy(bool)
+        roots = np.concatenate([members["root"].to_numpy(), asks["root"].to_numpy()])
+        own, label = np.unique(roots, return_inverse=True)
+        of_member, of_ask = label[: len(members)], label[len(members) :]
+        least = int(size.min())
+        for i, (q, n, home, mine, tokens) in enumerate(zip(asks["sid"], asks["n"], asks["home"], asks["core"], asks["tokens"], strict=True)):
+            near = (np.minimum(n, size) * 100 >= percent * np.maximum(n, size)) & ((grp != home) | (core != mine) | (sid < q))
+            if not every:
+                near &= of_member != of_ask[i]
+            if not near.any():
+                continue
+            at = np.searchsorted(union, tokens)
+            at[at == len(union)] = 0
+            at = at[union[at] == tokens]
+            # the union's overlap bounds that of every member
+            if not reaches(len(at), n, max(least, int(least_overlap(n, percent))), percent):
+                continue
+            many = stop[at] - first[at]
+            places = np.arange(int(many.sum())) + np.repeat(first[at] - (np.cumsum(many) - many), many)
+            shared = np.bincount(owner[places], minlength=len(members))
+            for m in np.flatnonzero(near & (shared * (100 + percent) >= percent * (n + size))).tolist():
+                if every:
+                    found.append((q, sid[m], 0, 0))
+                elif of_member[m] != of_ask[i]:
+                    one, two = of_ask[i], of_member[m]
+                    found.append((q, sid[m], own[one], own[two]))
+                    of_member[of_member == two] = one
+                    of_ask[of_ask == two] = one
+    return pd.DataFrame(found, columns=["a", "b", "a_root", "b_root"]).astype("int64")
+
+
+def _open(asks: DataFrame, members: DataFrame, percent: int, every: bool) -> DataFrame:
+    """_opened over all parts (name); the queries of a part are dealt to tasks of ASK_TOKENS, each with the part's members."""
+    salts = cut(asks.groupBy("name").agg(F.ceil(F.sum("n") / ASK_TOKENS).cast("int").alias("salts")))
+    spread = asks.join(salts, "name").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
+    copies = members.join(salts, "name").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = copies.select("name", "salt", *[F.col(c).alias(f"m_{c}") for c in ("sid", "n", "root", "grp", "core", "tokens")])
+    left = spread.select("name", "salt", "sid", "n", "root", "home", "core", "tokens")
+    run = lambda a, m: _opened(a, m.rename(columns=lambda c: c.removeprefix("m_")), percent, every)
+    return cut(left.groupBy("name", "salt").cogroup(right.groupBy("name", "salt")).applyInPandas(run, "a long, b long, a_root long, b_root long"))
+
+
+def _posted(sets: DataFrame) -> DataFrame:
+    """(token, sid, center) of every rare token that several sets have, center being the least of them; written."""
+    postings = sets.select("sid", F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("sid").alias("center")).filter("df > 1").select("token", "center")
+    return cut(postings.join(shared, "token"))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
-    members: one row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links, itself
-    included), sid. links: pairs of different sets (a, b) that span the components, or with every all pairs of different
+    members: one row per row of docs: doc_id, text_hash, n_shingles, component_id (least doc_id reachable by links,
+    itself included), sid. links: pairs of different sets (a, b) that span the components, or with every all pairs of different
     sets that are linked, each once, which may be many more. Two documents are linked when the
     Jaccard index of their shingle sets is percent or more. Null, empty and blank texts have no shingles and no links;
-    rows without doc_id have no links either and a null component_id. An empty table gives empty results.
+    rows without doc_id have no links either and a null component_id; rows that repeat an id are rows of their own, and
+    ties are linked like any other pair. Texts are taken whole, however long; other columns are not read. An empty
+    table gives empty results.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(texts, width, max(1, texts.count())))
     rows = cut(_sets(texts, width, percent, frequent))
-    distinct = rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("check").alias("check"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
+    distinct = rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     sets = cut(distinct.withColumn("sid", F.monotonically_increasing_id()))
-
-    by_token = Window.partitionBy("token")
-    postings = sets.select("sid", F.explode("prefix").alias("token"))
-    held = postings.withColumns({"df": F.count("*").over(by_token), "center": F.min("sid").over(by_token)})
-    posted = cut(held.filter("df > 1").select("token", "sid", "center"))
+    posted = _posted(sets)
 
     # groups: each set is with the first set it shares most of its tokens with
-    sizes = cut(posted.select("sid").distinct().join(sets.select("sid", "n"), "sid"))
-    most = posted.groupBy("sid", "center").agg(F.count("*").alias("shared")).groupBy("sid").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("grp"))
-    groups = cut(most.join(sizes, "sid"))
-    hist = sets.select("sid", "n", "hist")
-    near = groups.filter("sid <> grp").select(F.col("sid").alias("a"), F.col("grp").alias("b"), F.col("n").alias("na")).join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
-    stars = _verified(near.filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")).select("a", "b"), sets, texts, width, percent)
+    most = posted.groupBy("sid", "center").agg(F.count("*").alias("shared")).groupBy("sid").agg(F.max(F.struct("shared", (-F.col("center")).alias("less"))).alias("top"))
+    groups = cut(most.select("sid", (-F.col("top.less")).alias("grp"), F.col("top.shared").alias("shared")).join(sets.select("sid", "n", "rep", "sig"), "sid"))
+    sizes = groups.select(F.col("sid").alias("grp"), F.col("n").alias("center_n"))
+    near = groups.filter("sid <> grp").join(sizes, "grp").filter((F.least("n", "center_n") * 100 >= percent * F.greatest("n", "center_n")) & (F.col("shared") > F.floor(F.least("n", "center_n") / 40)))
+    near = cut(near.select("sid", "grp", "n"))
+    first = cut(near.select("sid").union(near.select(F.col("grp").alias("sid"))).distinct())
+    held = _tokens(groups.join(first, "sid", "left_semi"), texts, width)
+    none = F.lit(False).alias("core")
+    own = F.col("sid").alias("root")
+    asks = near.select(F.col("grp").alias("name"), "sid", "n", own, F.col("sid").alias("home"), none).join(held, "sid")
+    centers = groups.join(near.select(F.col("grp").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("name"), "sid", "n", own, F.lit(-1).cast("long").alias("grp"), none).join(held, "sid")
+    stars = _open(asks, centers, percent, False).select("a", "b")
     linked = cut(components(stars))
 
-    # the token-group matrix: which groups hold a token, and which sets ask for them
-    own = groups.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.col("sid") if every else F.coalesce("root", "sid"))
-    in_order = Window.partitionBy("grp").orderBy("n", "sid")
-    parts = cut(own.withColumn("part", F.floor((F.row_number().over(in_order) - 1) / GROUP_ROWS).cast("int")))
-    held = posted.select("token", "sid").join(parts, "sid")
-    matrix = held.groupBy("token", "grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = held.select("token", "sid", F.col("n").alias("qn"), F.col("grp").alias("home"))
+    # members that are joined with their group's center make up parts of their own
+    of_center = linked.select(F.col("node").alias("grp"), F.col("root").alias("center_root"))
+    placed = groups.join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").join(of_center, "grp", "left")
+    joined = F.coalesce("root", "sid") == F.coalesce("center_root", "grp")
+    placed = placed.select("sid", "grp", "n", "rep", "sig", (F.col("sid") if every else F.coalesce("root", "sid")).alias("root"), (F.lit(False) if every else joined).alias("core"), F.floor(F.log("n") * SIZE_CLASSES).cast("int").alias("class"))
+    chunks = placed.groupBy("grp", "core", "class").agg(F.ceil(F.sum("n") / PART_TOKENS).cast("int").alias("chunks"))
+    parts = cut(placed.join(chunks, ["grp", "core", "class"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).drop("chunks"))
+
+    # the token-group matrix: which parts hold a token, and which sets ask for them
+    key = ["grp", "core", "class", "part"]
+    held_by = posted.select("token", "sid").join(parts, "sid")
+    matrix = held_by.groupBy("token", *key).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    asked = held_by.select("token", "sid", F.col("n").alias("qn"), F.col("grp").alias("home"), F.col("core").alias("q_core"), F.col("root").alias("q_root"))
     fits = (F.col("home") >= F.col("grp")) & (F.col("qn") * 100 >= percent * F.col("least")) & (F.col("most") * 100 >= percent * F.col("qn"))
-    met = asked.join(matrix, "token").filter(fits).groupBy("sid", "grp", "part").agg(F.count("*").alias("shared"), F.first("qn").alias("qn"), F.min("least").alias("least"))
+    # of a joined and an unjoined member of one group, the unjoined one asks
+    fits &= ~((F.col("home") == F.col("grp")) & F.col("q_core") & ~F.col("core"))
+    fits &= ~((F.col("low") == F.col("q_root")) & (F.col("high") == F.col("q_root")))
+    met = asked.join(matrix, "token").filter(fits).groupBy("sid", *key).agg(F.count("*").alias("shared"), F.first("qn").alias("qn"), F.min("least").alias("least"))
     enough = F.least(F.floor(F.col("qn") / 40), F.floor(F.greatest("least", F.ceil(F.col("qn") * percent / 100)) / 40)) + 1
-    pairs = cut(met.filter(F.col("shared") >= enough).select("sid", "grp", "part"))
-    # a group whose members are all linked already needs opening for other groups' sets only
-    whole = parts.groupBy("grp").agg(F.countDistinct("root").alias("roots")).filter("roots = 1").select("grp")
-    if not every:
-        done = parts.select("sid", "grp").join(whole, "grp")
-        pairs = cut(pairs.join(done, ["sid", "grp"], "left_anti"))
-    name = F.concat_ws("/", F.col("grp").cast("string"), F.col("part").cast("string"))
-    asks = pairs.select("sid", name.alias("name")).join(parts.select("sid", "root", F.col("grp").alias("home")), "sid").join(hist, "sid")
-    members = parts.join(pairs.select("grp", "part").distinct(), ["grp", "part"]).select("sid", "root", "grp", name.alias("name")).join(hist, "sid")
-    found = _verified(_open(asks, members, percent), sets, texts, width, percent)
-    links = stars.unionByName(found).distinct()
+    pairs = cut(met.filter(F.col("shared") >= enough).select("sid", *key))
+    open_parts = cut(pairs.select(*key).distinct())
+    inside = cut(parts.join(open_parts, key, "left_semi"))
+    more = pairs.select("sid").union(inside.select("sid")).distinct().join(first, "sid", "left_anti")
+    held = held.unionByName(_tokens(groups.join(more, "sid", "left_semi"), texts, width))
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in key]).alias("name")
+    asks = pairs.select("sid", name).join(parts.select("sid", "n", "root", F.col("grp").alias("home"), "core"), "sid").join(held, "sid")
+    members = inside.select(name, "sid", "n", "root", "grp", "core").join(held, "sid")
+    found = _open(asks, members, percent, every)
+    links = found.select("a", "b").distinct() if every else stars.unionByName(found.select("a", "b"))
 
     # groups are already joined within; what is left joins their roots
-    rooted = parts.drop("root").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")) if every else parts
-    root_of = lambda c: rooted.select(F.col("sid").alias(c), F.col("root").alias(f"{c}_root"))
-    between = found.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    if every:
+        root_of = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    else:
+        between = found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
     above = cut(components(between))
     named = sets.select("sid", "sig", "rep").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = named.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_set = cut(named.join(least, "root").select("sig", "sid", "component_id"))
-    out = rows.select("doc_id", "n", "sig").join(of_set, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "sid"), links
-
-
-def _open(asks: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Query-member pairs of each group under the bounds; a group's queries are split so that none meets more than a block of them."""
-    salts = cut(asks.groupBy("name").agg(F.ceil(F.count("*") / 2000).cast("int").alias("salts")))
-    spread = asks.join(salts, "name").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
-    copies = members.join(salts, "name").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    right = copies.select("name", "salt", *[F.col(c).alias(f"m_{c}") for c in ("sid", "n", "root", "grp", "hist")])
-    return spread.select("name", "salt", "sid", "n", "root", "home", "hist").groupBy("name", "salt").cogroup(right.groupBy("name", "salt")).applyInPandas(lambda a, m: _opened(a, m.rename(columns=lambda c: c.removeprefix("m_")), percent), "a long, b long")
+    out = rows.select("doc_id", "text_hash", "n", "sig").join(of_set, "sig", "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "sid"), links
 
 
 def digest(members: DataFrame) -> DataFrame:
@@ -307,7 +314,22 @@ def digest(members: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one of least doc_id, with docs' own columns; of rows that repeat an id all stay."""
+    """One row of each component, one of least doc_id (of several rows with that id the one whose text hashes least), with docs' own columns.
+
+    Rows are told apart by doc_id and text, so ids may repeat; rows without doc_id and texts without shingles all stay.
+    An empty table stays empty.
+    """
     members, _ = link(docs, width, percent)
-    gone = cut(members.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    rows = cut(members.filter("sid is not null and doc_id is not null").select("doc_id", "text_hash", "component_id", "sid"))
+    place = F.struct("doc_id", "text_hash")
+    least = rows.groupBy("component_id").agg(F.min(place).alias("first"))
+    marked = rows.join(least, "component_id")
+    gone = cut(marked.filter(place != F.col("first")).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct())
+    few = F.broadcast if gone.count() <= BROADCAST_IDS else lambda df: df
+    same = lambda df: (F.col("doc_id").cast("long") == df["id_"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == df["hash_"])
+    left = docs.join(few(gone), same(gone), "left_anti")
+    again = cut(marked.filter(place == F.col("first")).groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.count("*").alias("n_")).filter("n_ > 1").select("id_", "hash_"))
+    if again.isEmpty():
+        return left
+    once = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same(again), "left_anti").unionByName(once)

@@ -61,7 +61,8 @@ def test_components_match_brute_force(spark):
 
 
 def test_other_parameters(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP_ROWS", 3)
+    monkeypatch.setattr(jaccard, "PART_TOKENS", 300)
+    monkeypatch.setattr(jaccard, "ASK_TOKENS", 400)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     rows = make(90, 2)
     assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
@@ -86,3 +87,30 @@ def test_every_link(spark):
     got = [frozenset((sets[of_sid[r.a]], sets[of_sid[r.b]])) for r in links.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) >= 66
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.digest(members).collect()) == brute(rows, 4, 85)
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    one = two = "a"
+    for _ in range(11):
+        one, two = one + one.translate({97: 98, 98: 97}), two + two.translate({97: 98, 98: 97})
+    two = one.translate({97: 98, 98: 97})
+    assert run(spark, [(1, one), (2, two), (3, one)], 4, 85) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_a_large_group_of_near_copies_is_linked_by_a_forest(spark):
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(i, " ".join(w if rng.random() > 0.012 else f"x{i}y{k}" for k, w in enumerate(base))) for i in range(400)]
+    members, links = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.digest(members).collect()) == brute(rows, 4, 85)
+    assert links.count() < 2 * len(rows)
+
+
+def test_representatives_by_row_not_by_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a, 0), (7, a + " more", 1), (7, b, 2), (7, b, 3), (8, b + " more", 4), (None, a, 5), (9, None, 6), (9, "", 7), (9, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sid int").repartition(3)
+    got = jaccard.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or -1), (r.text or "")[:2]) for r in got.collect()) == [(-1, "a0"), (1, "a0"), (7, "b0"), (9, ""), (9, ""), (9, "")]
+    assert jaccard.representatives(docs.limit(0)).count() == 0
