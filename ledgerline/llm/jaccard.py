@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,10 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class _Hashes(dict):
-    """64 bits of BLAKE2b of each word asked for: no words of any form collide but by chance."""
+    """64 bits of each word asked for (XXH3, and BLAKE2b of long words): no words of any form collide but by chance."""
 
     def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        h = xxhash.xxh3_64_intdigest(word) if len(word) <= 64 else int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -75,7 +77,7 @@ def _piece(data: list[bytes], width: int, known: _Hashes) -> list[np.ndarray]:
     # bytes.split() divides at exactly the six bytes that divide words
     words = [d.split() for d in data]
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    word = np.fromiter((known[w] for own in words for w in own), np.uint64, int(counts.sum()))
+    word = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
     shingle = np.zeros(max(0, len(word) - width + 1), np.uint64)
     for k in range(width):
         shingle = _mixed(shingle * _ODD + word[k : len(word) - width + 1 + k])
@@ -167,60 +169,74 @@ def _tokens(sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return cut(held.join(wanted, ["rep", "sig"]).dropDuplicates(["sid"]).select("sid", "tokens"))
 
 
-def _opened(asks: pd.DataFrame, members: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
+def _opened(asks: dict[str, np.ndarray], members: dict[str, np.ndarray], percent: int, every: bool) -> Iterator[tuple[int, int, int, int]]:
     """Links of queries and members of one part: (a, b, a_root, b_root).
 
-    Without every, only links that join roots which nothing before them in this task has joined; a pair within one
+    Without every, only links that join roots which nothing before them in this part has joined; a pair within one
     group is looked at once.
     """
-    found: list[tuple[int, int, int, int]] = []
-    if len(asks) and len(members):
-        size = members["n"].to_numpy(np.int64)
-        flat = np.concatenate(members["tokens"].to_list())
-        order = np.argsort(flat, kind="stable")
-        owner = np.repeat(np.arange(len(members)), size)[order]
-        union, first = np.unique(flat[order], return_index=True)
-        stop = np.append(first[1:], len(flat))
-        sid, grp, core = members["sid"].to_numpy(), members["grp"].to_numpy(), members["core"].to_numpy(bool)
-        roots = np.concatenate([members["root"].to_numpy(), asks["root"].to_numpy()])
-        own, label = np.unique(roots, return_inverse=True)
-        of_member, of_ask = label[: len(members)], label[len(members) :]
-        least = int(size.min())
-        for i, (q, n, home, mine, tokens) in enumerate(zip(asks["sid"], asks["n"], asks["home"], asks["core"], asks["tokens"], strict=True)):
-            near = (np.minimum(n, size) * 100 >= percent * np.maximum(n, size)) & ((grp != home) | (core != mine) | (sid < q))
-            if not every:
-                near &= of_member != of_ask[i]
-            if not near.any():
-                continue
-            at = np.searchsorted(union, tokens)
-            at[at == len(union)] = 0
-            at = at[union[at] == tokens]
-            # the union's overlap bounds that of every member
-            if not reaches(len(at), n, max(least, int(least_overlap(n, percent))), percent):
-                continue
-            many = stop[at] - first[at]
-            places = np.arange(int(many.sum())) + np.repeat(first[at] - (np.cumsum(many) - many), many)
-            shared = np.bincount(owner[places], minlength=len(members))
-            for m in np.flatnonzero(near & (shared * (100 + percent) >= percent * (n + size))).tolist():
-                if every:
-                    found.append((q, sid[m], 0, 0))
-                elif of_member[m] != of_ask[i]:
-                    one, two = of_ask[i], of_member[m]
-                    found.append((q, sid[m], own[one], own[two]))
-                    of_member[of_member == two] = one
-                    of_ask[of_ask == two] = one
-    return pd.DataFrame(found, columns=["a", "b", "a_root", "b_root"]).astype("int64")
+    size, sid, grp, core = members["n"], members["sid"], members["grp"], members["core"]
+    flat = np.concatenate(members["tokens"])
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(size)), size)[order]
+    union, first = np.unique(flat[order], return_index=True)
+    stop = np.append(first[1:], len(flat))
+    own, label = np.unique(np.concatenate([members["root"], asks["root"]]), return_inverse=True)
+    of_member, of_ask = label[: len(size)], label[len(size) :]
+    least = int(size.min())
+    for i, (q, n, home, mine, tokens) in enumerate(zip(asks["sid"], asks["n"], asks["home"], asks["core"], asks["tokens"], strict=True)):
+        near = (np.minimum(n, size) * 100 >= percent * np.maximum(n, size)) & ((grp != home) | (core != mine) | (sid < q))
+        if not every:
+            near &= of_member != of_ask[i]
+        if not near.any():
+            continue
+        at = np.searchsorted(union, tokens)
+        at[at == len(union)] = 0
+        at = at[union[at] == tokens]
+        # the union's overlap bounds that of every member
+        if not reaches(len(at), n, max(least, int(least_overlap(n, percent))), percent):
+            continue
+        many = stop[at] - first[at]
+        places = np.arange(int(many.sum())) + np.repeat(first[at] - (np.cumsum(many) - many), many)
+        shared = np.bincount(owner[places], minlength=len(size))
+        for m in np.flatnonzero(near & (shared * (100 + percent) >= percent * (n + size))).tolist():
+            if every:
+                yield q, sid[m], 0, 0
+            elif of_member[m] != of_ask[i]:
+                one, two = of_ask[i], of_member[m]
+                yield q, sid[m], own[one], own[two]
+                of_member[of_member == two] = one
+                of_ask[of_ask == two] = one
+
+
+def _by_name(rows: pd.DataFrame) -> dict[str, dict[str, np.ndarray]]:
+    """Columns of the rows of each name."""
+    rows = rows.sort_values("name", kind="stable")
+    columns = {c: rows[c].to_numpy() for c in rows.columns}
+    names, first = np.unique(columns["name"].astype(str), return_index=True)
+    ends = [*first[1:].tolist(), len(rows)][: len(names)]
+    return {k: {c: v[low:high] for c, v in columns.items()} for k, low, high in zip(names.tolist(), first.tolist(), ends, strict=True)}
 
 
 def _open(asks: DataFrame, members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """_opened over all parts (name); the queries of a part are dealt to tasks of ASK_TOKENS, each with the part's members."""
-    salts = cut(asks.groupBy("name").agg(F.ceil(F.sum("n") / ASK_TOKENS).cast("int").alias("salts")))
-    spread = asks.join(salts, "name").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
-    copies = members.join(salts, "name").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    right = copies.select("name", "salt", *[F.col(c).alias(f"m_{c}") for c in ("sid", "n", "root", "grp", "core", "tokens")])
-    left = spread.select("name", "salt", "sid", "n", "root", "home", "core", "tokens")
-    run = lambda a, m: _opened(a, m.rename(columns=lambda c: c.removeprefix("m_")), percent, every)
-    return cut(left.groupBy("name", "salt").cogroup(right.groupBy("name", "salt")).applyInPandas(run, "a long, b long, a_root long, b_root long"))
+    """_opened over all parts (name). A part's queries are dealt to shares of ASK_TOKENS, each with the part's members; small parts share a task."""
+    salts = asks.groupBy("name").agg(F.sum("n").alias("asked"), F.ceil(F.sum("n") / ASK_TOKENS).cast("int").alias("salts"))
+    salts = cut(salts.join(members.groupBy("name").agg(F.sum("n").alias("held")), "name"))
+    total = salts.agg(F.sum(F.col("asked") + F.col("held") * F.col("salts")).alias("t")).first()["t"] or 0
+    tasks = max(1, -(-int(total) // (PART_TOKENS + ASK_TOKENS)))
+    spread = asks.join(salts.select("name", "salts"), "name").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
+    copies = members.join(salts.select("name", "salts"), "name").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    share = F.concat_ws("/", "name", F.col("salt").cast("string")).alias("name")
+    task = F.pmod(F.xxhash64("name", "salt"), F.lit(tasks)).cast("int").alias("task")
+    left = spread.select(task, share, "sid", "n", "root", "home", "core", "tokens")
+    right = copies.select(task, share, "sid", "n", "root", "grp", "core", "tokens").select(*[F.col(c).alias(f"m_{c}") for c in ("task", "name", "sid", "n", "root", "grp", "core", "tokens")])
+
+    def run(asks: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        held = _by_name(members.rename(columns=lambda c: c.removeprefix("m_")))
+        found = [link for name, own in _by_name(asks).items() if name in held for link in _opened(own, held[name], percent, every)]
+        return pd.DataFrame(found, columns=["a", "b", "a_root", "b_root"]).astype("int64")
+
+    return cut(left.groupBy("task").cogroup(right.groupBy("m_task")).applyInPandas(run, "a long, b long, a_root long, b_root long"))
 
 
 def _posted(sets: DataFrame) -> DataFrame:
