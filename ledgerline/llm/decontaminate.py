@@ -9,24 +9,27 @@ pivot. What is retrieved is verified: enough of the question's and of the answer
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, numbered
+
 K1, B = 1.2, 0.75
 #: Share of its score against itself that an item must get from a passage.
 SHARE = 0.6
 #: Word runs of so many words, and the share of them that must be found.
 RUN, OVERLAP = 5, 0.8
-#: Items held by one index; larger benchmarks are searched index by index, which bounds what is broadcast.
-ITEMS_AT_ONCE = 1024
+#: Items held by one index, and indexes searched by one function: storage alone, scores do not depend on them.
+ITEMS_AT_ONCE, INDEXES_AT_ONCE = 1024, 16
 BLOCK_ITEMS = 4
 LEAST_PASSAGE = 64
 WORD = re.compile(r"[^\W_]+")
@@ -64,26 +67,21 @@ class Index:
     longest: int
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]]) -> Index:
+    def build(cls, items: list[tuple[int, str]], df: dict[str, int], n: int, average: float, longest: int) -> Index:
+        """An index of some items; df, n, average and longest are those of all items of the benchmark."""
         items = [(i, t, w) for i, t, w in ((i, t, words(t or "")) for i, t in items) if w]
-        n = len(items)
-        average = sum(len(w) for *_, w in items) / max(1, n)
-        counts = [pd.Series(w).value_counts(sort=False).to_dict() for *_, w in items]
-        df: dict[str, int] = {}
-        for c in counts:
-            for t in c:
-                df[t] = df.get(t, 0) + 1
-        vocab = {t: k for k, t in enumerate(sorted(df))}
+        counts = [Counter(w) for *_, w in items]
+        vocab = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
         postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in vocab]
-        bounds = np.zeros((len(vocab) + 1, max(1, -(-n // BLOCK_ITEMS))), np.float32)
+        bounds = np.zeros((len(vocab) + 1, max(1, -(-len(items) // BLOCK_ITEMS))), np.float32)
         for j, (c, (*_, w)) in enumerate(zip(counts, items, strict=True)):
-            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / average)) for t, f in c.items()}
+            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / average)) for t, f in sorted(c.items())}
             need = SHARE * sum(impact.values())
             for t, x in impact.items():
                 postings[vocab[t]].setdefault(j // BLOCK_ITEMS, []).append((j, x / need))
                 bounds[vocab[t], j // BLOCK_ITEMS] = max(bounds[vocab[t], j // BLOCK_ITEMS], x / need)
         parts = [question_and_answer(t) for _, t, _ in items]
-        return cls(np.array([i for i, *_ in items], np.int64), vocab, bounds, postings, [runs(q) for q, _ in parts], [runs(a) if a else set() for _, a in parts], max([1, *(len(w) for *_, w in items)]))
+        return cls(np.array([i for i, *_ in items], np.int64), vocab, bounds, postings, [runs(q) for q, _ in parts], [runs(a) if a else set() for _, a in parts], longest)
 
     def wand(self, terms: list[int], block: int) -> list[tuple[int, float]]:
         """Items of one block that the terms score 1 or more, by moving cursors to the pivot."""
@@ -120,9 +118,8 @@ class Index:
             cursors = moved
         return found
 
-    def search(self, text: str) -> list[tuple[int, float, float, float]]:
-        """(item_id, best score, question overlap, answer overlap) of items that the text holds, by item_id."""
-        w = words(text)
+    def search(self, w: list[str]) -> list[tuple[int, float, float, float]]:
+        """(item_id, best score, question overlap, answer overlap) of items that a text of these words holds, by item_id."""
         none = len(self.vocab)
         get = self.vocab.get
         own = np.array([get(x, none) for x in w], np.int32)
@@ -158,46 +155,84 @@ class Index:
         return near | {tuple(w[i : i + n]) for n in short for i in range(len(w) - n + 1)}
 
 
-@lru_cache(maxsize=4)
-def _index(packed: bytes) -> Index:
-    return pickle.loads(packed)
+@lru_cache(maxsize=1)
+def _indexes(packed: tuple[bytes, ...]) -> list[Index]:
+    return [pickle.loads(p) for p in packed]
+
+
+def _built(items: DataFrame) -> DataFrame:
+    """(packed): the indexes of ITEMS_AT_ONCE items or so each, built by tasks from the statistics of all items."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [words(t) for t in batch["text"]]
+            yield batch.assign(size=[len(w) for w in own], terms=[sorted(set(w)) for w in own])
+
+    rows = numbered(items.mapInPandas(counted, "id long, text string, size long, terms array<string>").filter("size > 0"))
+    n, total, longest = rows.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    if not n:
+        return items.sparkSession.createDataFrame([], "packed binary")
+    df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    known = rows.select("rid", F.explode("terms").alias("term")).join(df, "term").groupBy("rid").agg(F.collect_list(F.struct("term", "df")).alias("known"))
+    blocks = -(-n // ITEMS_AT_ONCE)
+
+    def build(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values(["id", "text"])
+        held = {x["term"]: x["df"] for own in some["known"] for x in own}
+        return pd.DataFrame({"packed": [pickle.dumps(Index.build(list(zip(some["id"], some["text"], strict=True)), held, n, total / n, longest))]})
+
+    placed = rows.select("rid", "id", "text").join(known, "rid").withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+    return cut(placed.groupBy("block").applyInPandas(build, "packed binary"))
 
 
 def hits(items: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text") -> Column:
-    """Array of the benchmark items that a text holds: (item_id, score as a share of the item's own, question and answer overlap).
+    """Array of the benchmark items that a text holds: (item_id, score as a share of the item's own, question and answer overlap), by item_id.
 
     Null or empty texts and items match nothing; equal items are each reported, items without an id are not used.
-    Every passage of the whole text is a query. The benchmark is read in blocks of ITEMS_AT_ONCE items by id.
+    Every passage of the whole text is a query. Indexes are built by tasks and broadcast; INDEXES_AT_ONCE of them, some
+    ten MB, are what one function holds, and a larger benchmark has more functions.
     """
     spark = items.sparkSession
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").orderBy("id", "text")
-    found = F.expr(f"cast(array() as {HITS})")
-    block: list[tuple[int, str]] = []
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    found = []
 
-    def searched(some: list[tuple[int, str]]) -> Column:
-        held = spark.sparkContext.broadcast(pickle.dumps(Index.build(some)))
+    def searched(some: list[bytes]) -> Column:
+        held = spark.sparkContext.broadcast(tuple(some))
 
         @F.pandas_udf(HITS)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = _index(held.value)
+            indexes = _indexes(held.value)
             for batch in batches:
-                yield pd.Series([[dict(zip(("item_id", "score", "question", "answer"), h, strict=True)) for h in index.search(t)] for t in batch])
+                out = []
+                for t in batch:
+                    w = words(t)
+                    out.append([dict(zip(("item_id", "score", "question", "answer"), h, strict=True)) for index in indexes for h in index.search(w)])
+                yield pd.Series(out)
+            # workers live on: the indexes are not kept for other stages
+            _indexes.cache_clear()
 
         return run(F.coalesce(text, F.lit("")))
 
-    for r in rows.toLocalIterator():
-        block.append((r.id, r.text))
-        if len(block) == ITEMS_AT_ONCE:
-            found, block = F.concat(found, searched(block)), []
-    return F.concat(found, searched(block)) if block else found
+    some: list[bytes] = []
+    for r in _built(rows).toLocalIterator():
+        some.append(bytes(r.packed))
+        if len(some) == INDEXES_AT_ONCE:
+            found, some = [*found, searched(some)], []
+    if some:
+        found.append(searched(some))
+    return F.array_sort(F.concat(F.expr(f"cast(array() as {HITS})"), *found))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each pair of document and item found in it: doc_id, item_id, score, question_overlap, answer_overlap."""
+    """One row for each pair of document and item found in it: doc_id, item_id, score, question_overlap, answer_overlap.
+
+    Rows that repeat a doc_id, and rows without one, are documents of their own; null and empty texts hold nothing, very
+    long ones are searched whole; other columns are not read. Empty tables give an empty result.
+    """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hits(items, F.col("text")).alias("found"))
     return found.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.item_id", F.round("x.score", 9).alias("score"), F.col("x.question").alias("question_overlap"), F.col("x.answer").alias("answer_overlap"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with their own columns."""
+    """The rows of docs that hold no item, with their own columns, whatever their names; null and empty texts stay."""
     return docs.filter(F.size(hits(items, F.col("text"))) == 0)

@@ -1,12 +1,15 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters records over memory-sized buckets by a seeded hash. Pass two takes one bucket at a time,
-orders it by Fisher-Yates (Spark's shuffle function) and writes it. Buckets laid end to end are one uniform
-permutation; dealing it out in turn gives every shard the same number of records, at most one apart.
+Pass one scatters records over memory-sized buckets by a seeded hash. Pass two takes one bucket at a time, draws a
+seeded number for each record and orders the bucket by it: as in Fisher-Yates every order is equally likely, but the
+draw of a record depends on seed, bucket and record alone, not on which partition or attempt the bucket falls into.
+Buckets laid end to end are one uniform permutation; dealing it out in turn gives every shard the same number of
+records, at most one apart.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -19,28 +22,45 @@ BUCKET_BYTES = 16 << 20
 BROADCAST_BUCKETS = 100_000
 
 
-def shard(docs: DataFrame, n_shards: int = 16, seed: int = 20240, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
+def _record_bytes(docs: DataFrame):
+    """About what a record takes: its strings and binaries, and 16 bytes for each other column."""
+    sized = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if t in ("string", "binary") else F.lit(16) for c, t in docs.dtypes]
+    return sum(sized, F.lit(48))
+
+
+def _steady(docs: DataFrame) -> DataFrame:
+    """docs, written once unless it is a plain scan, whose tasks read the same rows in the same order at each attempt."""
+    nodes = re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    return docs if set(nodes) <= {"Relation", "Project", "Filter"} else cut(docs)
+
+
+def shard(docs: DataFrame, n_shards: int = 16, seed: int = 20240, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of docs, with shard (0 to n_shards - 1) and slot (0, 1, ... within the shard).
 
     Law `rows`: counts of two shards differ by one at most. An empty table gives an empty result; null ids,
-    null texts and repeated rows are records like any other. Input columns named shard or slot are replaced.
+    null texts, very long texts and repeated rows are records like any other. Input columns named shard or slot are replaced.
     The scatter hashes each record's place in its input split with the seed, so a key that holds a third of all
-    rows spreads like any other; a bucket holds about bucket_bytes of text whatever the table's size.
+    rows spreads like any other; a bucket holds about bucket_bytes of records whatever the table's size. The same
+    files in the same splits give the same result, whatever the number of shuffle partitions.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(64)).alias("b")).first()["b"] or 0
+    docs = _steady(docs.select(*[F.col(f"`{c}`") for c in kept]))
+    total = docs.agg(F.sum(_record_bytes(docs)).alias("b")).first()["b"] or 0
     n = max(1, -(-int(total) // bucket_bytes))
     place = F.monotonically_increasing_id()
     records = docs.select(F.struct(place.alias("place"), *[F.col(f"`{c}`") for c in kept]).alias("rec"))
-    buckets = records.groupBy(F.pmod(F.xxhash64(F.lit(seed), "rec.place"), F.lit(n)).alias("bucket")).agg(F.collect_list("rec").alias("recs"))
-    in_order = F.array_sort("recs", lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
-    mixed = cut(buckets.select("bucket", F.posexplode(F.shuffle(in_order, F.lit(seed))).alias("at", "rec")))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "rec.place"), F.lit(n))
+    drawn = records.select(bucket.alias("bucket"), F.struct(F.xxhash64(F.lit(seed), bucket, "rec.place", F.lit("order")).alias("draw"), F.col("rec")).alias("drawn"))
+    buckets = drawn.groupBy("bucket").agg(F.collect_list("drawn").alias("recs"))
+    before = lambda a, b, c: F.when(a[c] < b[c], -1).when(a[c] > b[c], 1)
+    in_order = F.array_sort("recs", lambda a, b: F.coalesce(before(a, b, "draw"), before(a["rec"], b["rec"], "place"), F.lit(0)))
+    mixed = cut(buckets.select("bucket", F.posexplode(in_order).alias("at", "drawn")).select("bucket", "at", "drawn.rec"))
     sizes = mixed.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    ahead = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("ahead"))
     if n <= BROADCAST_BUCKETS:
-        before = F.broadcast(before)
-    rank = F.col("before") + F.col("at")
-    return mixed.join(before, "bucket").select(
+        ahead = F.broadcast(ahead)
+    rank = F.col("ahead") + F.col("at")
+    return mixed.join(ahead, "bucket").select(
         *[F.col(f"rec.`{c}`").alias(c) for c in kept],
         F.pmod(rank, F.lit(n_shards)).cast("int").alias("shard"),
         F.floor(rank / n_shards).cast("long").alias("slot"),

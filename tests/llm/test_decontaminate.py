@@ -50,3 +50,14 @@ def test_matches_brute_force(spark):
     assert got == want and len(want) > 10
     assert dc.clean(docs, bench).count() == len(texts) + 1 - len(want) - (5 in want)
     assert dc.contaminated(docs, bench.limit(0)).count() == 0 and dc.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_scores_do_not_depend_on_how_items_are_stored(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    seen = []
+    for at_once, indexes in ((1024, 16), (8, 3)):
+        monkeypatch.setattr(dc, "ITEMS_AT_ONCE", at_once)
+        monkeypatch.setattr(dc, "INDEXES_AT_ONCE", indexes)
+        seen.append(sorted(map(tuple, dc.contaminated(docs, bench).collect())))
+    assert seen[0] == seen[1] and seen[0]

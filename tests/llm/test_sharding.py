@@ -27,3 +27,19 @@ def test_order_is_mixed_and_written(spark, tmp_path):
 
 def test_empty(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_other_numbers_of_shuffle_partitions_give_the_same_result(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen = []
+    for n in ("4", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted(map(tuple, sharding.shard(docs, 16, bucket_bytes=30_000).select("doc_id", "shard", "slot").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] and len(seen[0]) > 100
+
+
+def test_computed_input_and_hot_rows(spark):
+    docs = spark.range(3000).selectExpr("id % 3 as doc_id", "'same' as text").groupBy("doc_id", "text").count().selectExpr("doc_id", "text", "explode(sequence(1, 900)) as slot")
+    out = sharding.digest(sharding.shard(docs, 8, bucket_bytes=2000)).toPandas()
+    assert len(out) == 2700 and out.groupby("shard").size().max() - out.groupby("shard").size().min() <= 1
