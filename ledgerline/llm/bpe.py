@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Fixed value: the word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = (1 << 16) - 1
@@ -214,8 +216,10 @@ def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, diges
                         out.append((np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32), said))
                 yield pd.concat([batch[["doc_id"]].iloc[at:end].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
                 at = end
-        # workers live on: what this task has learned is not kept for other stages
-        bpe.cache.clear()
+        # workers live on: the vocabulary and what this task has learned are not kept for other stages
+        del bpe
+        _bpe.cache_clear()
+        tidy()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"

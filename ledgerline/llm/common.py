@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ledgerline-checkpoints"
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset only a run on one machine has a folder to fall back to."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+    return found or "/tmp/ledgerline-checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,3 +65,13 @@ def numbered(df: DataFrame) -> DataFrame:
     An id made anew by each scan would depend on how the files are split, which follows the cores alive at that time.
     """
     return cut(df.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers outlive tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, numbered, tidy
 
 K1, B = 1.2, 0.75
 #: Share of its score against itself that an item must get from a passage.
@@ -209,7 +209,9 @@ def hits(items: DataFrame, text: Column, id_col: str = "item_id", text_col: str
                     out.append([dict(zip(("item_id", "score", "question", "answer"), h, strict=True)) for index in indexes for h in index.search(w)])
                 yield pd.Series(out)
             # workers live on: the indexes are not kept for other stages
+            del indexes
             _indexes.cache_clear()
+            tidy()
 
         return run(F.coalesce(text, F.lit("")))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, tidy
 
 #: A token in more than one of so many documents counts as frequent and is tried last. This is an order, not a filter.
 FREQUENT_ONE_IN = 1000
@@ -121,6 +121,7 @@ def _frequent(texts: DataFrame, width: int, documents: int) -> np.ndarray:
             tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             keep = n >= max(4, len(sets) // (2 * FREQUENT_ONE_IN))
             yield pd.DataFrame({"token": tokens[keep].view(np.int64), "n": n[keep]})
+        tidy()
 
     counted = texts.select("text").mapInPandas(often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") * FREQUENT_ONE_IN >= documents)
     rows = counted.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").toPandas()
@@ -143,6 +144,7 @@ def _sets(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                 order = np.concatenate([s[~late], s[late]])[: len(s) - int(least_overlap(len(s), percent)) + least_shared(len(s))]
                 out.append((len(s), _sig(s), order.view(np.int64)))
             yield pd.concat([batch[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "sig", "prefix"])], axis=1)
+        tidy()
 
     return docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(run, "doc_id long, text_hash long, n long, sig binary, prefix array<long>")
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, numbered, tidy
 
 #: A run counts if it has so many words.
 LEAST_WORDS = 10
@@ -41,6 +41,7 @@ def _positions(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataF
                 out = []
         if out:
             yield pd.concat(out)
+    tidy()
 
 
 def _repeated(ranks: DataFrame) -> DataFrame:

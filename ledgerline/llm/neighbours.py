@@ -101,7 +101,7 @@ def fit(sample: np.ndarray, k: int, degree: int, seed: int = 7, rounds: int = 10
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of rows that take part: id set, all components finite, not all zero, as long as most vectors are."""
-    v = F.col(vector_col).cast("array<float>")
+    v = F.col(vector_col).cast("array<double>")
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = raw.filter(finite & F.exists("v", lambda x: x != 0))
@@ -116,12 +116,13 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def stack(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float32) for x in col]) if len(col) else np.zeros((0, 1), np.float32)
+    return np.stack([np.asarray(x, np.float64) for x in col]) if len(col) else np.zeros((0, 1))
 
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosine of row pairs in double precision, the same whatever stands in other rows."""
-    q, v = q.astype(np.float64), v.astype(np.float64)
+    # powers of two change no digit and keep squares within range
+    q, v = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (q.astype(np.float64), v.astype(np.float64)))
     return (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
 
 
@@ -155,7 +156,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: Params =
                 out.insert(0, "list", ids[hit, which])
                 yield out
 
-    held = cut(base.mapInPandas(lambda it: deal(it, 4 * params.replicas, params.replicas, params.closure), "list int, v array<float>, ids array<long>"))
+    held = cut(base.mapInPandas(lambda it: deal(it, 4 * params.replicas, params.replicas, params.closure), "list int, v array<double>, ids array<long>"))
     sizes = held.groupBy("list").agg(F.ceil(F.count("*") / params.chunk_rows).cast("int").alias("chunks"))
     held = held.join(F.broadcast(sizes), "list").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
 
@@ -163,7 +164,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: Params =
     points = asked.groupBy("q").agg(F.min("query_id").alias("point"))
     probes = (
         points.select("point", F.col("q").alias("v"))
-        .mapInPandas(lambda it: deal(it, params.beam, params.probes, params.reach), "list int, point long, v array<float>")
+        .mapInPandas(lambda it: deal(it, params.beam, params.probes, params.reach), "list int, point long, v array<double>")
         .join(F.broadcast(sizes), "list")
         .select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "point", F.col("v").alias("q"))
     )

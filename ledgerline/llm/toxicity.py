@@ -11,6 +11,7 @@ of a document save how many bytes is weighed by a logistic curve, calibrated on
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Bounds of the sample the classifier is fitted on: labelled rows of each class, by least hash of doc_id.
 ROWS = {1: 2200, 0: 5100}
 #: Bytes of plain text that both dictionaries share, and bytes that each is trained to beside it.
@@ -76,17 +79,19 @@ def typical(toxic: list[str], ordinary: list[str]) -> tuple[bytes, ...]:
     """Words and word starts surely commoner in toxic rows, surest first; none starts another."""
     own, other = _contexts(toxic), _contexts(ordinary)
     n, m = max(1, sum(own.values())), max(1, sum(other.values()))
-    counts: dict[bytes, list[int]] = {}
+    counts: Counter[bytes] = Counter()
     for w, x in own.items():
         for u in _starts(w):
-            counts.setdefault(u, [0, 0])[0] += x
-    counts = {u: c for u, c in counts.items() if c[0] >= CONTEXTS and len(u) >= 4}
+            counts[u] += x
+    counts = Counter({u: x for u, x in counts.items() if x >= CONTEXTS and len(u) >= 4})
+    against: Counter[bytes] = Counter()
     for w, y in other.items():
         for u in _starts(w):
             if u in counts:
-                counts[u][1] += y
+                against[u] += y
     found = []
-    for u, (x, y) in counts.items():
+    for u, x in counts.items():
+        y = against[u]
         log = math.log((x + 0.5) / n * m / (y + 0.5))
         sure = math.sqrt(2 * sum(k * math.log(k * (n + m) / ((x + y) * size)) for k, size in ((x, n), (y, m)) if k))
         if log >= RATIO and sure >= SURE:
@@ -248,7 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     share = shares[1] / (shares[0] + shares[1])
     weight = np.where(y == 1, share * n / y.sum(), (1 - share) * n / (n - y.sum()))
     w, mean, scale = calibrate(x, y, weight)
-    return Model(*train(texts[1], texts[0]), tuple(w), tuple(mean), tuple(scale))
+    found = Model(*train(texts[1], texts[0]), tuple(w), tuple(mean), tuple(scale))
+    del rows, texts, halves, parts
+    tidy()
+    return found
 
 
 @lru_cache(maxsize=2)
@@ -275,7 +283,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             z = (own.features(batch.tolist()) - mean) / scale
             yield pd.Series(1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30))))
         # workers live on: what this task has learned of words is not kept for other stages
-        own.cache.clear()
+        del own
+        _scorer.cache_clear()
+        tidy()
 
     return docs.withColumn("score", scored(F.coalesce("text", F.lit(""))))
 
