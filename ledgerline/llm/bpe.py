@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import small_batches, tidy
 
 #: Fixed value: the word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,6 +195,7 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 
 def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, digests: bool, decode: bool = True) -> DataFrame:
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(spec_of(tokenizer_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset only a run on one machine has a folder to fall back to."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
     return found or "/tmp/ledgerline-checkpoints"
 
@@ -75,3 +75,14 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:
         pass  # another C library
+
+
+#: Rows of text in one batch between the JVM and Python: the default of 10,000 rows of some KB each costs both sides several times 30 MB a task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS unless the user has set a number of their own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))

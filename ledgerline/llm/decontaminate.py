@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, tidy
+from .common import cut, numbered, small_batches, tidy
 
 K1, B = 1.2, 0.75
 #: Share of its score against itself that an item must get from a passage.
@@ -193,6 +193,7 @@ def hits(items: DataFrame, text: Column, id_col: str = "item_id", text_col: str
     ten MB, are what one function holds, and a larger benchmark has more functions.
     """
     spark = items.sparkSession
+    small_batches(spark)
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     found = []
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, tidy
+from .common import components, cut, small_batches, tidy
 
 #: A token in more than one of so many documents counts as frequent and is tried last. This is an order, not a filter.
 FREQUENT_ONE_IN = 1000
@@ -34,6 +34,8 @@ SIZE_CLASSES = 8
 #: Ids that are broadcast at most when texts are fetched; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
 PIECE_BYTES = 1 << 20
+#: Tokens that a task counts at a time.
+COUNTED_TOKENS = 4_000_000
 #: Words kept with their hashes in one worker; past it the words start anew.
 CACHE_WORDS = 200_000
 
@@ -59,10 +61,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def token_sets(texts: list[str], width: int) -> list[np.ndarray]:
+def token_sets(texts: list[str], width: int, known: _Hashes | None = None) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles of so many words (all its words, if fewer)."""
     data = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
-    known, out, at = _Hashes(), [], 0
+    known, out, at = _Hashes() if known is None else known, [], 0
     while at < len(data):
         end, size = at, 0
         while end < len(data) and (end == at or size + len(data[end]) < PIECE_BYTES):
@@ -113,14 +115,25 @@ def reaches(overlap: int, n: int, m: int, percent: int) -> bool:
 
 
 def _frequent(texts: DataFrame, width: int, documents: int) -> np.ndarray:
-    """Tokens that stand in many documents: those often seen within a batch, by their summed counts."""
+    """Tokens that stand in many documents: those often seen among COUNTED_TOKENS of a task, by their summed counts."""
 
     def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = token_sets(batch["text"].tolist(), width)
+        known, sets, size = _Hashes(), [], 0
+
+        def counted() -> pd.DataFrame:
             tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             keep = n >= max(4, len(sets) // (2 * FREQUENT_ONE_IN))
-            yield pd.DataFrame({"token": tokens[keep].view(np.int64), "n": n[keep]})
+            sets.clear()
+            return pd.DataFrame({"token": tokens[keep].view(np.int64), "n": n[keep]})
+
+        for batch in batches:
+            new = token_sets(batch["text"].tolist(), width, known)
+            sets += new
+            size += sum(map(len, new))
+            if size >= COUNTED_TOKENS:
+                yield counted()
+                size = 0
+        yield counted()
         tidy()
 
     counted = texts.select("text").mapInPandas(often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") * FREQUENT_ONE_IN >= documents)
@@ -133,10 +146,10 @@ def _sets(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
     is linked to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = frequent.value
+        last, known = frequent.value, _Hashes()
         for batch in batches:
             out = []
-            for s in token_sets(batch["text"].tolist(), width):
+            for s in token_sets(batch["text"].tolist(), width, known):
                 if not len(s):
                     out.append((0, b"", []))
                     continue
@@ -260,6 +273,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     table gives empty results.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(texts, width, max(1, texts.count())))
     rows = cut(_sets(texts, width, percent, frequent))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, tidy
+from .common import cut, numbered, small_batches, tidy
 
 #: A run counts if it has so many words.
 LEAST_WORDS = 10
@@ -92,6 +92,7 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, text_col: str = "text
     is deleted; the first stays. Null text stays null with no lines; an empty text is one empty line and stays. Rows are
     known by an id that is written with them.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     rows = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")))
     plain = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "rid", F.col(f"row.`{text_col}`").alias("text")).filter("text is not null")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from os.path import commonprefix
@@ -23,12 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import small_batches, tidy
 
 #: Bounds of the sample the classifier is fitted on: labelled rows of each class, by least hash of doc_id.
 ROWS = {1: 2200, 0: 5100}
 #: Bytes of plain text that both dictionaries share, and bytes that each is trained to beside it.
 BASE_BYTES, PART_BYTES = 8000, 2048
+#: Bytes of windows of one class that the trainer is given.
+TRAIN_BYTES = 4 << 20
 #: The trainer's segments and the strings it counts.
 SEGMENT, GRAM = 16, 6
 #: A word start is typical if it has so many distinct contexts, such a log ratio of rates and such a root of the likelihood ratio.
@@ -103,9 +105,11 @@ def typical(toxic: list[str], ordinary: list[str]) -> tuple[bytes, ...]:
     return tuple(kept)
 
 
-def _trained(rows: list[list[bytes]]) -> bytes:
-    """A zstandard dictionary of PART_BYTES at most trained on the windows of each row; few windows are the dictionary themselves."""
+def _trained(rows: Iterable[list[bytes]]) -> bytes:
+    """A zstandard dictionary of PART_BYTES at most trained on the windows of each row; few windows are the dictionary
+    themselves. The trainer takes some 16 times its samples in memory, so it is given every so many rows, TRAIN_BYTES of them."""
     samples = [x for x in (b"".join(b" " + w + b" " for w in dict.fromkeys(r)) for r in rows) if len(x) >= 8]
+    samples = samples[:: -(-sum(map(len, samples)) // TRAIN_BYTES) or 1]
     size = min(PART_BYTES, sum(map(len, samples)) // 4)
     if size < 256 or len(samples) < 8:
         return b"".join(samples)[:PART_BYTES]
@@ -115,8 +119,8 @@ def _trained(rows: list[list[bytes]]) -> bytes:
 def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Content of the two dictionaries, of equal length."""
     found = typical(toxic, ordinary)
-    own = _trained([[w for w in words(t) if w.startswith(found)] for t in toxic]) if found else b""
-    other = _trained([words(t) for t in ordinary])
+    own = _trained([w for w in words(t) if w.startswith(found)] for t in toxic) if found else b""
+    other = _trained(words(t) for t in ordinary)
     base = b""
     for t in ordinary:
         if len(base) >= BASE_BYTES:
@@ -272,6 +276,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     stays empty.
     """
     docs = docs.drop("score")
+    small_batches(docs.sparkSession)
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
 
