@@ -30,7 +30,7 @@ ROWS = {1: 2200, 0: 5100}
 #: Bytes of plain text that both dictionaries share, and bytes that each is trained to beside it.
 BASE_BYTES, PART_BYTES = 8000, 2048
 #: Bytes of windows of one class that the trainer is given.
-TRAIN_BYTES = 4 << 20
+TRAIN_BYTES = 8 << 20
 #: The trainer's segments and the strings it counts.
 SEGMENT, GRAM = 16, 6
 #: A word start is typical if it has so many distinct contexts, such a log ratio of rates and such a root of the likelihood ratio.
