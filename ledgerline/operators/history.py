@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import finding
 from ..functions.values import compared
 from ..sources.tables import settle
 from .identity import RECORD, TABLE_KEY, table_keys
@@ -109,6 +110,55 @@ def undecodable_images(cells: DataFrame) -> DataFrame:
     return cells.filter("durable and (old.kind = 'undecodable' or new.kind = 'undecodable')").select(*RECORD, "column", "source_file", "log_position", "row_index")
 
 
+def history_findings(of_record: DataFrame, history: History, catalog: DataFrame, gaps: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(case_id, rule_id, subject, context): the earliest state of each record (R-HIST-002), committed images that lack columns (007),
+    contradict the state they met (008) or hold undecodable values (010), gaps (009) and earlier keys (011)."""
+    name = F.concat("table", F.lit(":"), "pk")
+    place = {"source_file": F.col("source_file"), "log_position": F.col("log_position")}
+    event = [*RECORD, "source_file", "log_position", "row_index"]
+    first = of_record.groupBy(*RECORD).agg(F.min_by(F.struct("source_file", "log_position"), "ord").alias("x")).select(*RECORD, "x.*")
+    columns = table_keys(catalog).select(*TABLE_KEY, "columns")
+    lacking = of_record.filter("durable and event_type <> 'DELETE' and after is not null").join(columns, TABLE_KEY).withColumn("absent", F.array_sort(F.array_except("columns", F.map_keys("after")))).filter("size(absent) > 0")
+    seeds = seed_cells(first_events(of_record))
+    differing = contradictions(history.cells, seeds).groupBy(*event).agg(F.array_join(F.array_sort(F.collect_set("column")), ", ").alias("columns"))
+    gap = {"source_file": F.col("after_file"), "log_position": F.col("after_position")}
+    return (
+        finding(first, "R-HIST-002", name, record=name, **place)
+        .unionByName(finding(lacking, "R-HIST-007", name, record=name, columns=F.array_join("absent", ", ")))
+        .unionByName(finding(differing, "R-HIST-008", name, record=name, columns=F.col("columns"), **place))
+        .unionByName(finding(gap_steps(history.records, gaps), "R-HIST-009", name, record=name, **gap))
+        .unionByName(finding(undecodable_images(history.cells), "R-HIST-010", name, record=name, column=F.col("column"), **place))
+        .unionByName(finding(aliases.withColumns({"old": F.col("pk"), "pk": F.col("canonical")}), "R-HIST-011", name, record=name, previous_key=F.concat("table", F.lit(":"), "old"), source_file=F.lit(""), log_position=F.lit("")))
+    )
+
+
+#: Order of a record's steps: its earliest state, its events, its earlier keys, the gaps of its case, the row of the snapshot.
+PHASES = {"earliest_observed": 0, "event": 1, "identity_change": 2, "coverage_gap": 3, "physical_state": 4}
+
+
+def all_steps(of_record: DataFrame, records: DataFrame, aliases: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(record, step, kind, rule_id, detail): every step of a record's history under a stable index from 0.
+
+    records: the correlated records, with snapshot_ord of the row chosen. detail says which event, key, gap or row.
+    """
+    logged = of_record.select(*RECORD).distinct()
+
+    def phase(rows: DataFrame, kind: str, rule, detail) -> DataFrame:
+        return rows.select(*RECORD, F.lit(PHASES[kind]).alias("phase"), F.col("ord") if "ord" in rows.columns else F.lit(None).cast(of_record.schema["ord"].dataType).alias("ord"), F.lit(kind).alias("kind"), rule.alias("rule_id"), detail.cast("string").alias("detail"))
+
+    place = F.concat_ws("", "source_file", F.lit(":"), F.col("log_position").cast("string"), F.lit("#"), F.col("row_index").cast("string"))
+    first = of_record.groupBy(*RECORD).agg(F.min_by(F.struct("source_file", "log_position", "row_index"), "ord").alias("x")).select(*RECORD, "x.*")
+    every = (
+        phase(first, "earliest_observed", F.lit("R-HIST-002"), place)
+        .unionByName(phase(steps(of_record).drop("kind"), "event", F.col("rule_id"), place))
+        .unionByName(phase(aliases.withColumns({"old": F.col("pk"), "pk": F.col("canonical")}), "identity_change", F.lit("R-HIST-011"), F.col("old")))
+        .unionByName(phase(gap_steps(logged, gaps), "coverage_gap", F.lit("R-HIST-009"), F.coalesce("missing_file", "after_file", F.lit(""))))
+        .unionByName(phase(records.filter("snapshot_ord is not null").join(logged, RECORD, "left_semi"), "physical_state", F.lit("R-HIST-012"), F.col("snapshot_ord")))
+    )
+    order = Window.partitionBy(*RECORD).orderBy("phase", "ord", "detail")
+    return every.select(*RECORD, (F.row_number().over(order) - 1).alias("step"), "kind", "rule_id", "detail")
+
+
 def reconstruct(of_record: DataFrame, catalog: DataFrame, gaps: DataFrame) -> History:
     """of_record: record events with durable. gap_touched of a record: its case has a gap, or its log contradicts itself."""
     cells = settle(image_cells(of_record))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import SEVERAL_CONTINUATIONS, finding
 from ..functions.values import basename, record_pk, render_key, separator_collides
 from ..sources.tables import settle
 from .transactions import REF
@@ -87,7 +88,7 @@ def continuity(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
 @dataclass(frozen=True)
 class Correlation:
     """records: RECORD, method, snapshot_ord and is_deleted of the chosen row, live, candidates. record_events: events of each
-    record. aliases: (pk, canonical). findings: (case_id, rule_id, subject). unsupported, uncertain: tables."""
+    record. aliases: (pk, canonical). findings: (case_id, rule_id, subject, context). unsupported, uncertain: tables."""
 
     records: DataFrame
     record_events: DataFrame
@@ -142,27 +143,44 @@ def correlate(events: DataFrame, snapshot: DataFrame, catalog: DataFrame) -> Cor
     alone = rows.join(gate, TABLE_KEY, "left_anti").join(logged, RECORD, "left_anti").select(*RECORD, F.when(F.col("live") > 1, "ambiguous").otherwise("physical_only").alias("method"), "snapshot_ord", "is_deleted", "candidates", "live", F.lit(0).cast("long").alias("n_events"), F.expr("cast(array() as array<string>)").alias("tx_ids"), F.expr("cast(array() as array<string>)").alias("previous"))
     records = settle(from_log.unionByName(alone))
     name = F.concat("table", F.lit(":"), "pk")
+    qualified = F.concat_ws(".", "database", "table")
     event_name = F.concat_ws("", "source_file", F.lit(":"), F.col("log_position").cast("string"), F.lit("#"), F.col("row_index").cast("string"))
-    said = lambda df, rule, subject=name: df.select("case_id", F.lit(rule).alias("rule_id"), subject.alias("subject"))
+    place = {"source_file": F.col("source_file"), "log_position": F.col("log_position"), "row_index": F.col("row_index")}
+    unkeyed = keyed.join(gate, TABLE_KEY, "left_anti").filter("key is null")
     findings = (
-        gate.select("case_id", "rule_id", F.concat_ws(".", "database", "table").alias("subject"))
-        .unionByName(said(keyed.join(gate, TABLE_KEY, "left_anti").filter("key is null"), "R-CORR-003", event_name))
-        .unionByName(said(records.withColumn("old", F.explode("previous")), "R-CORR-010"))
-        .unionByName(said(refused, "R-CORR-011"))
-        .unionByName(said(reused_after_delete(of_record), "R-CORR-012"))
-        .unionByName(said(records.filter("live > 1"), "R-CORR-022"))
-        .unionByName(said(records.filter("live = 1 and candidates > 1"), "R-CORR-023"))
-        .unionByName(said(of_record.select(*TABLE_KEY).distinct().join(supplied, TABLE_KEY, "left_anti"), "R-CORR-030", F.concat_ws(".", "database", "table")))
-        .unionByName(said(records.filter("n_events = 0"), "R-CORR-031"))
-        .unionByName(said(records.filter(separator_collides(F.array("pk")) & (F.lit(False))), "R-ID-002"))
+        finding(gate, F.col("rule_id"), qualified, table=qualified)
+        .unionByName(finding(unkeyed, "R-CORR-003", event_name, **place, reason=unusable()))
+        .unionByName(finding(records.withColumn("old", F.explode("previous")), "R-CORR-010", name, record=name, previous_key=F.concat("table", F.lit(":"), "old")))
+        .unionByName(finding(refused, "R-CORR-011", name, key=name, reason=F.lit(SEVERAL_CONTINUATIONS)))
+        .unionByName(finding(reused_after_delete(of_record), "R-CORR-012", name, record=name))
+        .unionByName(finding(records.filter("live > 1"), "R-CORR-022", name, record=name, count=F.col("live")))
+        .unionByName(finding(records.filter("live = 1 and candidates > 1"), "R-CORR-023", name, record=name, count=F.col("candidates") - F.col("live")))
+        .unionByName(finding(of_record.select(*TABLE_KEY).distinct().join(supplied, TABLE_KEY, "left_anti"), "R-CORR-030", qualified, table=qualified))
+        .unionByName(finding(records.filter("n_events = 0"), "R-CORR-031", name, record=name))
+        .unionByName(finding(colliding(keyed), "R-ID-002", name, record=name, separator=F.lit("|")))
+        .unionByName(finding(shared_table_names(records), "R-ID-003", F.col("table"), table=F.col("table"), databases=F.array_join("names", ", ")))
     )
     uncertain = keyed.filter("key is null").select(*TABLE_KEY).distinct()
     return Correlation(records, of_record, aliases, findings, gate, uncertain)
 
 
+def unusable() -> Column:
+    """The first key column whose value cannot be a key, and why."""
+    image = F.when(F.col("event_type") == "DELETE", F.col("before")).otherwise(F.coalesce("after", "before"))
+    held = lambda c: F.coalesce(image[c], F.when(F.col("event_type") == "UPDATE", F.col("before")[c]))
+    why = lambda c: F.when(held(c).isNull(), "not observed").when(held(c)["kind"] == "null", "NULL").otherwise(held(c)["kind"])
+    bad = F.filter("pk_columns", lambda c: render_key(held(c)).isNull())
+    return F.try_element_at(F.transform(bad, lambda c: F.concat(c, F.lit(": "), why(c))), F.lit(1))
+
+
+def colliding(keyed: DataFrame) -> DataFrame:
+    """(case, pk) of each event whose key has a part that holds the separator (R-ID-002), before the parts are joined."""
+    return keyed.filter("key is not null").filter(separator_collides(F.col("key"))).select("case_id", "table", record_pk(F.col("key")).alias("pk"))
+
+
 def shared_table_names(tables: DataFrame) -> DataFrame:
-    """Short table names that stand in several databases (R-ID-003)."""
-    return tables.groupBy("case_id", "table").agg(F.countDistinct("database").alias("databases")).filter("databases > 1")
+    """Short table names that stand in several databases (R-ID-003), with the databases' names."""
+    return tables.groupBy("case_id", "table").agg(F.array_sort(F.collect_set("database")).alias("names")).filter("size(names) > 1")
 
 
 def edges(of_record: DataFrame) -> DataFrame:

@@ -10,12 +10,9 @@ from .identity import RECORD
 from .reconcile import SEVERITY
 
 
-def distinct_findings(findings: DataFrame) -> DataFrame:
-    return findings.dropDuplicates(["case_id", "rule_id", "subject"])
-
-
 def finding_groups(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("case_id", "rule_id").agg(F.count("*").alias("occurrences"), F.countDistinct("subject").alias("subjects"))
+    """Described findings by rule: how severe, how often, about how many subjects."""
+    return findings.groupBy("case_id", "rule_id", "severity").agg(F.count("*").alias("occurrences"), F.countDistinct("subject").alias("subjects"))
 
 
 def exception_groups(field_verdicts: DataFrame) -> DataFrame:

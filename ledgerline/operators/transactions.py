@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import file_sequence, with_order
+from ..functions.rules import finding
 from ..functions.values import basename, suffix
 from ..sources.tables import settle
 
@@ -90,22 +91,22 @@ def session_key() -> Column:
 
 
 def provisional_id() -> Column:
-    """TX-<sequence of the gtid>, else TX-<file suffix>@<start>."""
-    return F.when(F.coalesce(F.col("gtid"), F.lit("")) != "", F.concat(F.lit("TX-"), F.substring_index("gtid", ":", -1))).otherwise(F.concat(F.lit("TX-"), suffix(F.col("source_file")), F.lit("@"), F.col("start_position").cast("string")))
+    """TX-<sequence of the gtid>, else (no gtid, or one without a sequence) TX-<file suffix>@<start>."""
+    return F.when(F.contains("gtid", F.lit(":")), F.concat(F.lit("TX-"), F.substring_index("gtid", ":", -1))).otherwise(F.concat(F.lit("TX-"), suffix(F.col("source_file")), F.lit("@"), F.col("start_position").cast("string")))
 
 
 def named(markers: DataFrame) -> DataFrame:
-    """markers with tx_id; where a case has several server ids, eight characters of the marker's own go before (R-TXID-001)."""
-    server = F.when(F.contains("gtid", F.lit(":")), F.substring_index("gtid", ":", 1))
+    """markers with tx_id and the number of the case's server ids; where there are several, eight characters of the marker's own go before (R-TXID-001)."""
+    server = F.when(F.contains("gtid", F.lit(":")), F.regexp_extract("gtid", "^(.*):", 1))
     servers = markers.groupBy("case_id").agg(F.countDistinct(server).alias("servers"))
     own = markers.join(servers, "case_id").withColumn("server", server)
     several = (F.col("servers") > 1) & F.col("server").isNotNull()
-    return own.withColumn("tx_id", F.when(several, F.concat(F.lit("TX-"), F.substring("server", 1, 8), F.lit("-"), F.substring_index("gtid", ":", -1))).otherwise(provisional_id())).drop("server", "servers")
+    return own.withColumn("tx_id", F.when(several, F.concat(F.lit("TX-"), F.substring("server", 1, 8), F.lit("-"), F.substring_index("gtid", ":", -1))).otherwise(provisional_id())).drop("server")
 
 
 @dataclass(frozen=True)
 class Grouping:
-    """transactions: one row each. tx_events: (case_id, tx_id, event reference, event_order, durable). findings: (case_id, rule_id, subject)."""
+    """transactions: one row each. tx_events: (case_id, tx_id, event reference, event_order, durable). findings: (case_id, rule_id, subject, context)."""
 
     transactions: DataFrame
     tx_events: DataFrame
@@ -115,10 +116,14 @@ class Grouping:
 
 
 def missing_later(markers: DataFrame, log_files: DataFrame) -> DataFrame:
-    """markers with later_missing: whether the list names a missing file after the marker's own."""
-    last = log_files.filter("not present").groupBy("case_id").agg(F.max("seq").alias("last_missing"))
-    placed = markers.withColumn("file", basename(F.col("source_file"))).join(file_sequence(log_files), ["case_id", "file"], "left").join(last, "case_id", "left")
-    return placed.withColumn("later_missing", F.coalesce(F.col("last_missing") > F.col("file_seq"), F.lit(False))).drop("file", "last_missing")
+    """markers with later_missing, whether the list names a missing file after the marker's own, and missing_files, their names.
+
+    The list of files is bounded by what a server keeps.
+    """
+    lost = log_files.filter("not present").groupBy("case_id").agg(F.array_sort(F.collect_set(F.struct("seq", basename(F.col("file")).alias("file")))).alias("lost"))
+    placed = markers.withColumn("file", basename(F.col("source_file"))).join(file_sequence(log_files), ["case_id", "file"], "left").join(lost, "case_id", "left")
+    later = F.coalesce(F.transform(F.filter("lost", lambda x: x["seq"] > F.col("file_seq")), lambda x: x["file"]), F.expr("cast(array() as array<string>)"))
+    return placed.withColumn("missing_files", F.array_join(later, ", ")).withColumn("later_missing", F.size(later) > 0).drop("file", "lost")
 
 
 def group(events: DataFrame, markers: DataFrame, log_files: DataFrame) -> Grouping:
@@ -158,19 +163,24 @@ def group(events: DataFrame, markers: DataFrame, log_files: DataFrame) -> Groupi
         F.col("first_ev.log_position").alias("start_position"), "end_position", F.concat("first_ev.source_file", F.lit(":synthesised")).alias("session_key"), F.lit(0).alias("file_seq"), F.lit(None).cast("long").alias("commit_position"), F.lit(None).cast("timestamp").alias("commit_ts"), F.lit(True).alias("synthesised"), "n_events", "n_insert", "n_update", "n_delete",
     )
     synthetic_events = leading.join(starts.select("case_id", "tx_id", F.col("first_ev.log_position").alias("start_position")), "case_id").select(*REF, "tx_id", "start_position", "ord", (F.row_number().over(head) - 1).alias("event_order"), F.lit(False).alias("durable"), F.lit("incomplete").alias("status"), "event_type", "ts")
+    tx = F.col("tx_id")
+    where = {"source_file": F.col("source_file"), "log_position": F.col("log_position")}
     event_name = F.concat_ws("", "source_file", F.lit(":"), F.col("log_position").cast("string"), F.lit("#"), F.col("row_index").cast("string"))
     sessions = transactions.groupBy("case_id").agg(F.countDistinct("session_key").alias("sessions")).filter("sessions > 1")
     everything = transactions.unionByName(synthetic)
-    marker_name = marked.select(*MARKER, "tx_id")
+    told = transactions.join(marked.select("case_id", "tx_id", "source_file", "start_position", "gtid", "xid", "missing_files"), ["case_id", "tx_id", "source_file", "start_position"])
+    marker_name = marked.select(*MARKER, "tx_id").distinct()
     findings = (
-        everything.select("case_id", "rule_id", F.col("tx_id").alias("subject"))
-        .unionByName(repeated.select("case_id", "rule_id", event_name.alias("subject")))
-        .unionByName(missing_positions(kept, markers).join(marker_name, MARKER).select("case_id", "rule_id", F.col("tx_id").alias("subject")))
-        .unionByName(unlisted_in_range(kept, markers).select("case_id", "rule_id", event_name.alias("subject")))
-        .unionByName(refused.join(marker_name, MARKER).select("case_id", "rule_id", F.col("tx_id").alias("subject")))
-        .unionByName(orphans.select("case_id", F.lit("R-GRP-011").alias("rule_id"), event_name.alias("subject")))
-        .unionByName(transactions.join(sessions, "case_id", "left_semi").select("case_id", F.lit("R-GRP-007").alias("rule_id"), F.col("tx_id").alias("subject")))
-        .unionByName(duplicate_ids(transactions).select("case_id", F.lit("R-GRP-012").alias("rule_id"), F.col("tx_id").alias("subject")))
+        finding(told, F.col("rule_id"), tx, transaction=tx, gtid=F.col("gtid"), xid=F.col("xid"), source_file=F.col("source_file"), missing_files=F.col("missing_files"))
+        .unionByName(finding(synthetic, F.col("rule_id"), tx, count=F.col("n_events"), source_file=F.col("source_file")))
+        .unionByName(finding(repeated, "R-GRP-013", event_name, **where, row_index=F.col("row_index")))
+        .unionByName(finding(missing_positions(kept, markers).join(marker_name, MARKER), "R-GRP-009", tx, transaction=tx, **where))
+        .unionByName(finding(unlisted_in_range(kept, markers).join(marker_name, MARKER), "R-GRP-010", event_name, transaction=tx, **where, row_index=F.col("row_index")))
+        .unionByName(finding(refused.join(marker_name, MARKER), "R-GRP-008", tx, transaction=tx, count=F.col("refused")))
+        .unionByName(finding(orphans, "R-GRP-011", event_name, **where, row_index=F.col("row_index")))
+        .unionByName(finding(transactions.join(sessions, "case_id", "left_semi"), "R-GRP-007", tx, transaction=tx, session_key=F.col("session_key")))
+        .unionByName(finding(repeated_gtids(marked), "R-GRP-012", tx, gtid=F.col("gtid"), count=F.col("n")))
+        .unionByName(finding(marked.filter("servers > 1").filter(F.contains("gtid", F.lit(":"))), "R-TXID-001", tx, transaction=tx, gtid=F.col("gtid")))
     )
     return Grouping(everything, tx_events.unionByName(synthetic_events), orphans, ordered, findings)
 
@@ -180,6 +190,13 @@ def duplicate_ids(transactions: DataFrame) -> DataFrame:
     return transactions.filter("not synthesised").groupBy("case_id", "tx_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def repeated_gtids(named_markers: DataFrame) -> DataFrame:
+    """(case_id, tx_id, gtid, n): ids taken from a gtid that several transactions carry (R-GRP-012), in cases of one server at most."""
+    first = F.min_by(F.struct("gtid"), F.struct("source_file", "start_position"))
+    ids = named_markers.filter("servers <= 1").groupBy("case_id", "tx_id").agg(F.count("*").alias("n"), first["gtid"].alias("gtid"))
+    return ids.filter("n > 1 and gtid <> ''")
+
+
 def transaction_of(tx_events: DataFrame) -> DataFrame:
     """Each event's transaction; of several claims the last transaction's."""
     return tx_events.groupBy(*REF).agg(F.max_by(F.struct("tx_id", "durable", "status"), F.struct("start_position", "tx_id")).alias("tx")).select(*REF, "tx.*")
@@ -198,6 +215,19 @@ def coverage_gaps(log_files: DataFrame, markers: DataFrame) -> DataFrame:
     return lost.unionByName(cut_off).unionByName(bare)
 
 
+def coverage_findings(log_files: DataFrame, markers: DataFrame) -> DataFrame:
+    """Findings of the gaps: no list (R-COV-001), a missing file (002), a log that ends inside a transaction (003)."""
+    file = basename(F.col("source_file"))
+    cut_off = missing_later(named(markers).filter("status = 'incomplete'"), log_files).filter("not later_missing")
+    bare = markers.select("case_id").distinct().join(log_files, "case_id", "left_anti")
+    lost = log_files.filter("not present").withColumn("source_file", basename(F.col("file")))
+    return (
+        finding(lost, "R-COV-002", F.col("source_file"), source_file=F.col("source_file"))
+        .unionByName(finding(cut_off, "R-COV-003", file, source_file=file, transaction=provisional_id()))
+        .unionByName(finding(bare, "R-COV-001", F.lit("binlog-index")))
+    )
+
+
 def coverage(cases: DataFrame, gaps: DataFrame) -> DataFrame:
     """(case_id, complete): one row per case; complete means a list of files and no gap."""
     return cases.select("case_id").distinct().join(gaps.groupBy("case_id").agg(F.count("*").alias("gaps")), "case_id", "left").select("case_id", F.col("gaps").isNull().alias("complete"), F.coalesce("gaps", F.lit(0)).alias("gaps"))

@@ -1,5 +1,6 @@
 """The analysis restated in SQL over the driver's tables, from its own copy of the change log."""
 
+from .functions.rules import RULES, SEVERAL_CONTINUATIONS
 from .plans.change_log import SQL
 
 CHAIN = (
@@ -53,3 +54,51 @@ rolled AS (SELECT *, CASE rule WHEN 'R-ROLL-001' THEN 'Conflicting' WHEN 'R-ROLL
 
 def chain(select: str) -> str:
     return CHAIN + select
+
+
+_PLACE = "'log.00000' || CAST(f AS VARCHAR) || ':' || CAST(pos AS VARCHAR)"
+_EVENT = _PLACE + " || '#' || CAST(ri AS VARCHAR)"
+_NAME = "'orders:' || CAST({} AS VARCHAR)"
+_KEY = _NAME.format("key")
+_GTID = "uuid || ':' || CAST(f * 100000 + t AS VARCHAR)"
+
+#: Every finding of the analysis as (case_id, rule_id, subject, text).
+FOUND = f"""
+SELECT case_id, 'R-GRP-001' AS rule_id, tx AS subject, tx || ' bounded by GTID ' || {_GTID} AS text FROM mkn WHERE st = 'committed'
+UNION ALL SELECT case_id, 'R-GRP-003', tx, tx || ' was rolled back' FROM mkn WHERE st = 'rolled_back'
+UNION ALL SELECT m.case_id, CASE WHEN c.n IS NULL THEN 'R-GRP-006' ELSE 'R-GRP-014' END, m.tx, CASE WHEN c.n IS NULL THEN m.tx || ' refers to events that were not decoded' ELSE m.tx || ' is still open where ' || m.file || ' ends, and log.000007 is missing' END
+  FROM mkn m LEFT JOIN (SELECT case_id, mh, count(*) AS n FROM cl GROUP BY ALL) c ON c.case_id = m.case_id AND c.mh = m.h WHERE m.st = 'incomplete'
+UNION ALL SELECT case_id, 'R-GRP-005', 'TX-SYNTH-00000' || CAST(f AS VARCHAR) || '@' || CAST(s AS VARCHAR), CAST(n AS VARCHAR) || ' event(s) precede the first marker in log.00000' || CAST(f AS VARCHAR) FROM syn
+UNION ALL SELECT case_id, 'R-GRP-007', tx, tx || ' belongs to session ' || {_GTID} FROM mkn
+UNION ALL SELECT case_id, 'R-GRP-008', tx, tx || ' overlaps ' || CAST(n AS VARCHAR) || ' event(s) with no session identifier' FROM ref
+UNION ALL SELECT case_id, 'R-GRP-011', {_EVENT}, 'Event at ' || {_PLACE} || ' belongs to no observed transaction' FROM loose WHERE NOT ldg
+UNION ALL SELECT case_id, 'R-GRP-013', {_EVENT}, 'Duplicate row at ' || {_EVENT} FROM ev1 WHERE cp = 1
+UNION ALL SELECT case_id, 'R-TXID-001', tx, tx || ' derived from GTID ' || {_GTID} FROM mkn WHERE case_id IN (SELECT case_id FROM mkn GROUP BY case_id HAVING count(DISTINCT uuid) > 1)
+UNION ALL SELECT 'B', 'R-COV-002', 'log.000007', 'log.000007 is listed in the index but absent from the evidence set'
+UNION ALL SELECT 'B', 'R-COV-005', 'B', 'Acquisition time of the tablespace relative to the last log event is unknown'
+UNION ALL SELECT case_id, 'R-CORR-010', {_NAME.format("ak")}, {_NAME.format("ak")} || ' was previously ' || {_NAME.format("bk")} FROM ali
+UNION ALL SELECT case_id, 'R-CORR-011', {_KEY}, 'Key continuity for ' || {_KEY} || ' is ambiguous: {SEVERAL_CONTINUATIONS}' FROM amb
+UNION ALL SELECT case_id, 'R-CORR-022', {_KEY}, {_KEY} || ' matches ' || CAST(live AS VARCHAR) || ' live physical records' FROM rm WHERE live > 1
+UNION ALL SELECT case_id, 'R-CORR-023', {_KEY}, {_KEY} || ' has ' || CAST(cands - live AS VARCHAR) || ' deleted remnant(s) at the same key' FROM rm WHERE live = 1 AND cands > 1
+UNION ALL SELECT case_id, 'R-CORR-031', {_KEY}, {_KEY} || ' exists physically with no observed events' FROM rm WHERE NOT logged
+UNION ALL SELECT case_id, 'R-HIST-002', {_KEY}, {_KEY} || ': earliest observed state at ' || {_PLACE} FROM (SELECT case_id, key, arg_min(f, ord) AS f, arg_min(pos, ord) AS pos FROM rev GROUP BY ALL)
+UNION ALL SELECT case_id, 'R-HIST-007', {_KEY}, {_KEY} || ': o_custkey, o_orderpriority, o_orderstatus not present in the row image' FROM rev WHERE part = 1 AND ty <> 'DELETE' AND dur
+UNION ALL SELECT case_id, 'R-HIST-008', {_KEY}, {_KEY} || ': before-image at ' || {_PLACE} || ' differs on ' || columns FROM (
+  SELECT p.case_id, p.key, p.ord // 1000000000000 AS f, p.ord % 1000000000000 // 100 AS pos, concat_ws(', ', CASE WHEN coalesce(p.kv, CASE WHEN rl.t0 <> 'INSERT' THEN rl.k0 END) <> p.bk THEN 'o_orderkey' END, CASE WHEN coalesce(p.pv, CASE WHEN rl.t0 <> 'INSERT' THEN rl.p0 END) <> p.bp THEN 'price_cents' END) AS columns
+  FROM prior p JOIN rl ON rl.case_id = p.case_id AND rl.key = p.key WHERE p.dur AND p.bp IS NOT NULL) WHERE columns <> ''
+UNION ALL SELECT case_id, 'R-HIST-009', {_KEY}, {_KEY} || ': coverage gap after log.000006:' FROM rl WHERE case_id = 'B'
+UNION ALL SELECT case_id, 'R-HIST-011', {_NAME.format("ak")}, {_NAME.format("ak")} || ': key changed from ' || {_NAME.format("bk")} || ' at :' FROM ali
+"""
+
+#: (id, severity, title) of the catalogue.
+CATALOGUE = "(VALUES " + ", ".join(f"('{i}', '{severity}', '{title}')" for i, severity, title, _ in RULES) + ") c(id, severity, title)"
+
+#: Every step of every record's history.
+STEPS = f"""
+SELECT case_id, pk, row_number() OVER (PARTITION BY case_id, pk ORDER BY phase, ord, detail) - 1 AS step, kind, rule_id, detail FROM (
+SELECT case_id, CAST(key AS VARCHAR) AS pk, 0 AS phase, 0 AS ord, 'earliest_observed' AS kind, 'R-HIST-002' AS rule_id, {_EVENT} AS detail FROM (SELECT case_id, key, arg_min(f, ord) AS f, arg_min(pos, ord) AS pos, arg_min(ri, ord) AS ri FROM rev GROUP BY ALL)
+UNION ALL SELECT case_id, CAST(key AS VARCHAR), 1, ord, 'event', CASE WHEN st IS NULL OR st = 'incomplete' THEN 'R-HIST-006' WHEN st = 'rolled_back' THEN 'R-HIST-005' WHEN ty = 'DELETE' THEN 'R-HIST-004' ELSE 'R-HIST-003' END, {_EVENT} FROM rev
+UNION ALL SELECT case_id, CAST(ak AS VARCHAR), 2, 0, 'identity_change', 'R-HIST-011', CAST(bk AS VARCHAR) FROM ali
+UNION ALL SELECT case_id, CAST(key AS VARCHAR), 3, 0, 'coverage_gap', 'R-HIST-009', 'log.000007' FROM rl WHERE case_id = 'B'
+UNION ALL SELECT case_id, CAST(key AS VARCHAR), 4, 0, 'physical_state', 'R-HIST-012', CAST(so AS VARCHAR) FROM rm WHERE logged AND so IS NOT NULL)
+"""

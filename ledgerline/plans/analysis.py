@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.rules import finding
 from ..operators import history, identity, reconcile, transactions
 from ..sources.tables import settle
 from .change_log import Case
@@ -21,6 +24,8 @@ class Analysis:
     field_verdicts: DataFrame
     record_verdicts: DataFrame
     explanations: DataFrame
+    #: (case_id, rule_id, subject, context) of every stage.
+    findings: DataFrame
 
 
 def analyse(case: Case) -> Analysis:
@@ -33,4 +38,6 @@ def analyse(case: Case) -> Analysis:
     found = identity.correlate(events, case.snapshot, case.catalog)
     told = history.reconstruct(found.record_events, case.catalog, gaps)
     fields, records, why = reconcile.reconcile(found, told, case.catalog, case.snapshot, case.health, case.extractions, case.creations, covered)
-    return Analysis(grouping, found, told, gaps, covered, fields, records, why)
+    unbacked = finding(covered.filter("not complete"), "R-COV-005", F.col("case_id"))
+    findings = reduce(DataFrame.unionByName, [grouping.findings, transactions.coverage_findings(case.log_files, case.markers), found.findings, history.history_findings(found.record_events, told, case.catalog, gaps, found.aliases), unbacked])
+    return Analysis(grouping, found, told, gaps, covered, fields, records, why, findings)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ordering, values
+from .functions import ordering, rules, values
 from .operators import history, identity, quality, reconcile, reports, scope, serving, transactions
-from .oracle import chain
+from .oracle import CATALOGUE, FOUND, STEPS, chain
 from .plans.analysis import Analysis, analyse
 from .plans.change_log import Case, derive
 from .sources import text
@@ -216,6 +216,7 @@ query("h10_presence_steps", chain("SELECT case_id, pk, count(*) FILTER (WHERE wa
     lambda a: history.steps(a.correlation.record_events).groupBy("case_id", "pk").agg(F.count_if(F.col("presence_before") != F.col("presence_after")).alias("changes"))
 )
 query("h11_gap_steps", chain("SELECT " + REC + ", 'log.000007' AS missing_file FROM rl WHERE case_id = 'B'"))(lambda a: rec(history.gap_steps(a.history.records, a.gaps), "missing_file"))
+query("h11_all_steps", chain(STEPS))(lambda a: rec(history.all_steps(a.correlation.record_events, a.correlation.records, a.correlation.aliases, a.gaps), F.col("step").cast("long").alias("step"), "kind", "rule_id", "detail"))
 query("h12_lineage", chain("SELECT " + REC + ", CAST(max(ord) FILTER (WHERE dur AND ty <> 'DELETE') AS BIGINT) AS set_at FROM rev GROUP BY ALL HAVING count(*) FILTER (WHERE dur AND ty <> 'DELETE') > 0"))(
     lambda a: rec(a.history.states.filter("column = 'price_cents' and set_by is not null"), (F.substring("set_by.source_file", -1, 1).cast("long") * 10**12 + F.col("set_by.log_position") * 100 + F.col("set_by.row_index")).alias("set_at"))
 )
@@ -244,12 +245,14 @@ query("r13_incomplete_coverage", "SELECT 'B' AS case_id, 'R-COV-005' AS rule_id"
 
 # --- findings, reports ------------------------------------------------------------------------------------------------
 
-FOUND = "SELECT case_id, 'R-GRP-001' AS rule_id, tx AS subject FROM mkn WHERE st = 'committed' UNION ALL SELECT case_id, 'R-GRP-003', tx FROM mkn WHERE st = 'rolled_back' UNION ALL SELECT case_id, 'R-GRP-007', tx FROM mkn UNION ALL SELECT case_id, 'R-GRP-011', 'log.00000' || CAST(f AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || '#' || CAST(ri AS VARCHAR) FROM loose WHERE NOT ldg"
-query("g03_finding_groups", chain("SELECT case_id, rule_id, count(*) AS occurrences, count(DISTINCT subject) AS subjects FROM (" + FOUND + ") GROUP BY ALL"))(
-    lambda a: reports.finding_groups(a.grouping.findings).filter("rule_id in ('R-GRP-001', 'R-GRP-003', 'R-GRP-007', 'R-GRP-011')").select("case_id", "rule_id", "occurrences", "subjects")
+query("g01_finding_texts", chain("SELECT case_id, rule_id, subject, severity, title, text FROM (" + FOUND + ") JOIN " + CATALOGUE + " ON id = rule_id"))(
+    lambda a: rules.described(a.findings).select("case_id", "rule_id", "subject", "severity", "title", "text")
+)
+query("g03_finding_groups", chain("SELECT case_id, rule_id, severity, count(*) AS occurrences, count(DISTINCT subject) AS subjects FROM (" + FOUND + ") JOIN " + CATALOGUE + " ON id = rule_id GROUP BY ALL"))(
+    lambda a: reports.finding_groups(rules.described(a.findings))
 )
 query("g02_distinct_findings", chain("SELECT case_id, rule_id, count(*) AS n FROM (SELECT DISTINCT * FROM (" + FOUND + ")) GROUP BY ALL"))(
-    lambda a: reports.distinct_findings(a.grouping.findings.unionByName(a.grouping.findings)).filter("rule_id in ('R-GRP-001', 'R-GRP-003', 'R-GRP-007', 'R-GRP-011')").groupBy("case_id", "rule_id").agg(F.count("*").alias("n"))
+    lambda a: rules.distinct_findings(a.findings.unionByName(a.findings)).groupBy("case_id", "rule_id").agg(F.count("*").alias("n"))
 )
 query("g05_exception_groups", chain("SELECT case_id, col AS field, res AS result, rule AS rule_id, count(*) AS occurrences, count(DISTINCT key) AS records FROM vr WHERE res <> 'Exact' GROUP BY ALL"))(lambda a: reports.exception_groups(a.field_verdicts))
 query("g06_source_ranges", chain("SELECT case_id, 'log.00000' || CAST(f AS VARCHAR) AS source_file, count(*) AS located, min(pos) AS first_position, max(pos) AS last_position FROM ev GROUP BY case_id, f"))(lambda a: reports.source_ranges(a.grouping.events))

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ledgerline-checkpoints"
+    """The folder that driver and executors share. Where it is unset only a run on one machine has a folder to fall back to."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+    return found or "/tmp/ledgerline-checkpoints"
 
 
 def settle(df: DataFrame) -> DataFrame:
