@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
 from .values import basename
 
 KEY_WIDTH = 65
@@ -40,5 +41,17 @@ def key_order(pk: Column) -> Column:
 
 
 def ranked(df: DataFrame, by: list[Column], into: str = "ordinal", within: str = "case_id") -> DataFrame:
-    """df with a gapless ordinal from 0 per case."""
-    return df.withColumn(into, (F.row_number().over(Window.partitionBy(within).orderBy(*by)) - 1).cast("long"))
+    """df with a gapless ordinal from 0 per case.
+
+    Rows are dealt to ranges of (case, order) and sorted there; an ordinal is the place within the range plus the sizes of
+    the ranges before it, so a case is never one task. The sorted rows are written once: a range's bounds are drawn from a
+    sample and would not be the same the second time.
+    """
+    names = [f"by{n}_" for n in range(len(by))]
+    spread = df.select("*", *[c.alias(n) for c, n in zip(by, names, strict=True)]).repartitionByRange(within, *names).sortWithinPartitions(within, *names)
+    placed = settle(spread.drop(*names).withColumn("at_", F.monotonically_increasing_id()))
+    part = F.shiftright("at_", 33).alias("part_")
+    sizes = placed.groupBy(within, part).agg(F.min("at_").alias("first_"), F.count("*").alias("size_"))
+    earlier = Window.partitionBy(within).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(within, "part_", (F.coalesce(F.sum("size_").over(earlier), F.lit(0)) - F.col("first_")).alias("offset_"))
+    return placed.select("*", part).join(offsets, [within, "part_"]).withColumn(into, (F.col("at_") + F.col("offset_")).cast("long")).drop("at_", "part_", "offset_")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import file_sequence, with_order
+from ..functions.ordering import file_sequence, ranked, with_order
 from ..functions.rules import finding
 from ..functions.values import basename, suffix
 from ..sources.tables import settle
@@ -35,6 +35,12 @@ def claim_by_position(events: DataFrame, markers: DataFrame) -> DataFrame:
     return events.select(*REF).join(listed_positions(markers).drop("end_position"), ["case_id", "source_file", "log_position"]).select(*MARKER, "gtid", "log_position", "row_index")
 
 
+def marker_links(events: DataFrame, markers: DataFrame) -> DataFrame:
+    """Claims by position with event_order, the place of the position in the marker's list: all rows at a position share it."""
+    placed = markers.select(*MARKER, "gtid", F.posexplode("event_positions").alias("event_order", "log_position"))
+    return events.select(*REF).join(placed, ["case_id", "source_file", "log_position"]).select(*MARKER, "gtid", "log_position", "row_index", "event_order")
+
+
 def missing_positions(events: DataFrame, markers: DataFrame) -> DataFrame:
     """Listed positions at which there is no event (R-GRP-009)."""
     return listed_positions(markers).join(events, ["case_id", "source_file", "log_position"], "left_anti").withColumn("rule_id", F.lit("R-GRP-009"))
@@ -73,16 +79,25 @@ def _fold(group: pd.DataFrame) -> pd.DataFrame:
 
 def claim_by_session(events: DataFrame, markers: DataFrame, by_position: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(claims, refusals) of markers that list no positions: events in range and of their thread that no earlier marker
-    claimed. If any thread is unknown the marker claims nothing (R-GRP-008). Overlapping markers are folded in order,
-    island by island."""
+    claimed. If any thread is unknown the marker claims nothing (R-GRP-008). A marker that overlaps no other is an
+    aggregate and a join on the thread; only overlapping ones are folded in order, island by island."""
     session = markers.filter(F.size("event_positions") == 0).select(*MARKER, "end_position", "gtid", "thread_id")
     order = Window.partitionBy("case_id", "source_file").orderBy("start_position", "end_position")
     reach = F.max("end_position").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = session.withColumn("new_", (F.col("start_position") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("island", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+    sizes = islands.groupBy("case_id", "source_file", "island").agg((F.count("*") == 1).alias("alone"))
     taken = by_position.groupBy(*REF).agg(F.min("start_position").alias("taken_at"))
-    near = in_range(events, islands).join(taken, REF, "left").filter(F.col("taken_at").isNull() | (F.col("taken_at") >= F.col("start_position")))
-    folded = near.groupBy("case_id", "source_file", "island").applyInPandas(_fold, "case_id string, source_file string, start_position long, gtid string, log_position long, row_index int, refused long")
-    return folded.filter("refused is null").drop("refused"), folded.filter("refused is not null").select(*MARKER, "refused", F.lit("R-GRP-008").alias("rule_id"))
+    near = in_range(events, islands.join(sizes, ["case_id", "source_file", "island"])).join(taken, REF, "left").filter(F.col("taken_at").isNull() | (F.col("taken_at") >= F.col("start_position")))
+    near = settle(near.drop("taken_at"))
+    alone = near.filter("alone")
+    unknown = F.bool_or(F.col("thread_id").isNull() | F.col("event_thread").isNull())
+    judged = alone.groupBy(*MARKER).agg(F.count("*").alias("refused"), unknown.alias("unknown"))
+    own = alone.filter("event_thread = thread_id").join(judged.filter("not unknown").select(*MARKER), MARKER, "left_semi")
+    folded = near.filter("not alone").groupBy("case_id", "source_file", "island").applyInPandas(_fold, "case_id string, source_file string, start_position long, gtid string, log_position long, row_index int, refused long")
+    claim = [*MARKER, "gtid", "log_position", "row_index"]
+    claims = folded.filter("refused is null").select(*claim).unionByName(own.select(*claim))
+    refusals = folded.filter("refused is not null").select(*MARKER, "refused").unionByName(judged.filter("unknown").select(*MARKER, "refused"))
+    return claims, refusals.withColumn("rule_id", F.lit("R-GRP-008"))
 
 
 def session_key() -> Column:
@@ -155,14 +170,14 @@ def group(events: DataFrame, markers: DataFrame, log_files: DataFrame) -> Groupi
     split = loose.join(first, "case_id", "left").withColumn("leading", F.col("first_").isNull() | (place < F.col("first_")))
     orphans = split.filter("not leading").drop("first_", "leading")
     leading = split.filter("leading")
-    head = Window.partitionBy("case_id").orderBy("ord")
     synthetic_id = F.concat(F.lit("TX-SYNTH-"), suffix(F.col("first_ev.source_file")), F.lit("@"), F.col("first_ev.log_position").cast("string"))
     starts = leading.groupBy("case_id").agg(F.min_by(F.struct("source_file", "log_position"), "ord").alias("first_ev"), F.max_by("log_position", "ord").alias("end_position"), F.count("*").alias("n_events"), *[F.count_if(F.col("event_type") == t).alias(f"n_{t.lower()}") for t in ("INSERT", "UPDATE", "DELETE")]).withColumn("tx_id", synthetic_id)
     synthetic = starts.select(
         "case_id", "tx_id", F.lit("incomplete").alias("status"), F.lit("events_without_begin").alias("reason"), F.lit("R-GRP-005").alias("rule_id"), F.col("first_ev.source_file").alias("source_file"),
         F.col("first_ev.log_position").alias("start_position"), "end_position", F.concat("first_ev.source_file", F.lit(":synthesised")).alias("session_key"), F.lit(0).alias("file_seq"), F.lit(None).cast("long").alias("commit_position"), F.lit(None).cast("timestamp").alias("commit_ts"), F.lit(True).alias("synthesised"), "n_events", "n_insert", "n_update", "n_delete",
     )
-    synthetic_events = leading.join(starts.select("case_id", "tx_id", F.col("first_ev.log_position").alias("start_position")), "case_id").select(*REF, "tx_id", "start_position", "ord", (F.row_number().over(head) - 1).alias("event_order"), F.lit(False).alias("durable"), F.lit("incomplete").alias("status"), "event_type", "ts")
+    headed = ranked(leading, [F.col("ord")], "event_order")
+    synthetic_events = headed.join(starts.select("case_id", "tx_id", F.col("first_ev.log_position").alias("start_position")), "case_id").select(*REF, "tx_id", "start_position", "ord", F.col("event_order").cast("int").alias("event_order"), F.lit(False).alias("durable"), F.lit("incomplete").alias("status"), "event_type", "ts")
     tx = F.col("tx_id")
     where = {"source_file": F.col("source_file"), "log_position": F.col("log_position")}
     event_name = F.concat_ws("", "source_file", F.lit(":"), F.col("log_position").cast("string"), F.lit("#"), F.col("row_index").cast("string"))

@@ -63,8 +63,8 @@ query("s14_log_inventory", "SELECT 'B' AS case_id, 'log.000007' AS file", "case"
 query("s18_repeated_references", chain("SELECT case_id, 'log.00000' || CAST(f AS VARCHAR) AS source_file, pos AS log_position, ri AS row_index, count(*) AS n FROM ev1 GROUP BY ALL HAVING count(*) > 1"), "case")(
     lambda c: ref(quality.repeated_references(c.events), "n")
 )
-query("s19_marker_event_links", chain("SELECT e.case_id, m.tx AS tx_id, e.pos AS log_position, e.ri AS row_index FROM mkn m JOIN ev e ON e.case_id = m.case_id AND e.h = m.h WHERE NOT m.ses"), "case")(
-    lambda c: transactions.claim_by_position(transactions.deduplicate(c.events)[0], transactions.named(c.markers)).join(transactions.named(c.markers).select(*transactions.MARKER, "tx_id"), transactions.MARKER).select("case_id", "tx_id", "log_position", F.col("row_index").cast("long").alias("row_index"))
+query("s19_marker_event_links", chain("SELECT e.case_id, m.tx AS tx_id, e.pos AS log_position, e.ri AS row_index, dense_rank() OVER (PARTITION BY e.case_id, m.tx ORDER BY e.pos) - 1 AS event_order FROM mkn m JOIN ev e ON e.case_id = m.case_id AND e.h = m.h WHERE NOT m.ses"), "case")(
+    lambda c: transactions.marker_links(transactions.deduplicate(c.events)[0], transactions.named(c.markers)).join(transactions.named(c.markers).select(*transactions.MARKER, "tx_id"), transactions.MARKER).select("case_id", "tx_id", "log_position", F.col("row_index").cast("long").alias("row_index"), F.col("event_order").cast("long").alias("event_order"))
 )
 
 
