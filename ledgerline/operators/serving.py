@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import key_order, ranked
 from ..sources.tables import settle
 from .identity import RECORD
 
@@ -69,3 +70,31 @@ def fresh(later: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
 def json_members(df: DataFrame, column: str, schema: str) -> DataFrame:
     """A JSON column's members as columns."""
     return df.withColumn("j_", F.from_json(column, schema)).select("*", "j_.*").drop("j_")
+
+
+def screen_items(rows: DataFrame, stage: str, kind: str, order: Column | list[Column], identity: Column, bucket: Column, summary: dict[str, Column], **detail: Column) -> DataFrame:
+    """(case_id, stage, kind, ordinal, identity, bucket, summary, detail): one item of a screen for each row.
+
+    order: a stored place within the bucket, or what to number the case's rows by. detail: what the full view adds to the summary.
+    """
+    placed = ranked(rows, order) if isinstance(order, list) else rows.withColumn("ordinal", order)
+    as_json = lambda members: F.to_json(F.struct(*[c.alias(n) for n, c in members.items()]), {"ignoreNullFields": "false"})
+    return placed.select("case_id", F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), F.col("ordinal").cast("long").alias("ordinal"), identity.cast("string").alias("identity"), bucket.alias("bucket"), as_json(summary).alias("summary"), as_json(summary | detail).alias("detail"))
+
+
+def screen_index(transactions: DataFrame, steps: DataFrame, field_verdicts: DataFrame, record_verdicts: DataFrame) -> DataFrame:
+    """Items of every screen, to be written by case, stage and kind: transactions in replay order, steps of each history,
+    compared fields and records in order of their keys."""
+    name = F.concat("table", F.lit(":"), "pk")
+    by_key = [F.col("database"), F.col("table"), key_order(F.col("pk"))]
+    tx = {"id": F.col("tx_id"), "status": F.col("status"), "source_file": F.col("source_file"), "start_position": F.col("start_position"), "event_count": F.col("n_events")}
+    step = {"kind": F.col("kind"), "rule_id": F.col("rule_id"), "detail": F.col("detail")}
+    field = {"record_id": name, "field": F.col("column"), "result": F.col("result"), "rule_id": F.col("rule_id")}
+    record = {"record_id": name, "result": F.col("result"), "rule_id": F.col("rule_id"), "field_count": F.col("fields")}
+    items = [
+        screen_items(transactions, "grouping", "transactions", [F.col("file_seq"), F.col("start_position")], F.col("tx_id"), F.col("status"), tx, end_position=F.col("end_position"), reason=F.col("reason")),
+        screen_items(steps, "reconstruction", "history_steps", F.col("step"), F.col("step"), F.to_json(F.array("table", name)), step),
+        screen_items(field_verdicts, "reconciliation", "comparisons", [*by_key, F.col("column")], name, F.col("column"), field, log=F.col("log_display"), physical=F.col("phys_display")),
+        screen_items(record_verdicts, "reconciliation", "reconciliation", by_key, name, F.col("result"), record, label=F.col("label")),
+    ]
+    return reduce(DataFrame.unionByName, items)

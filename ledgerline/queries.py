@@ -303,6 +303,16 @@ query("v08_stage_summaries", chain("SELECT 'events' AS stage, count(*) AS n FROM
     lambda a: serving.stage_sizes({"events": a.grouping.events, "records": a.correlation.records, "verdicts": a.record_verdicts})
 )
 
+SCREEN = (
+    "SELECT case_id, 'grouping' AS stage, 'transactions' AS kind, row_number() OVER (PARTITION BY case_id ORDER BY o, s) - 1 AS ordinal, tx AS identity, st AS bucket, CAST(json_object('id', tx, 'status', st, 'source_file', file, 'start_position', s, 'event_count', n) AS VARCHAR) AS summary FROM (SELECT m.case_id, m.tx, m.st, m.file, m.s, m.f AS o, count(c.pos) AS n FROM mkn m LEFT JOIN cl c ON c.case_id = m.case_id AND c.mh = m.h GROUP BY ALL UNION ALL SELECT case_id, 'TX-SYNTH-00000' || CAST(f AS VARCHAR) || '@' || CAST(s AS VARCHAR), 'incomplete', 'log.00000' || CAST(f AS VARCHAR), s, 0, n FROM syn)"
+    " UNION ALL SELECT case_id, 'reconstruction', 'history_steps', step, CAST(step AS VARCHAR), CAST(json_array('orders', 'orders:' || pk) AS VARCHAR), CAST(json_object('kind', kind, 'rule_id', rule_id, 'detail', detail) AS VARCHAR) FROM (" + STEPS + ")"
+    " UNION ALL SELECT case_id, 'reconciliation', 'comparisons', row_number() OVER (PARTITION BY case_id ORDER BY key, col) - 1, 'orders:' || CAST(key AS VARCHAR), col, CAST(json_object('record_id', 'orders:' || CAST(key AS VARCHAR), 'field', col, 'result', res, 'rule_id', rule) AS VARCHAR) FROM vr"
+    " UNION ALL SELECT case_id, 'reconciliation', 'reconciliation', row_number() OVER (PARTITION BY case_id ORDER BY key) - 1, 'orders:' || CAST(key AS VARCHAR), res, CAST(json_object('record_id', 'orders:' || CAST(key AS VARCHAR), 'result', res, 'rule_id', rule, 'field_count', n) AS VARCHAR) FROM rolled"
+)
+query("v01_screen_index", chain(SCREEN))(
+    lambda a: serving.screen_index(a.grouping.transactions, history.all_steps(a.correlation.record_events, a.correlation.records, a.correlation.aliases, a.gaps), a.field_verdicts, a.record_verdicts).drop("detail")
+)
+
 # --- quality ----------------------------------------------------------------------------------------------------------
 
 query("q01_multiset_match", "SELECT (SELECT count(*) FROM (SELECT l_suppkey FROM lineitem INTERSECT ALL SELECT l_partkey FROM lineitem)) AS matched", "tables")(
@@ -435,3 +445,19 @@ query("g11_log_inventory_counts_whole", LISTS + "SELECT case_id, count(*) AS lis
 )
 query("o01_file_sequence_whole", LISTS + "SELECT case_id, file, min(seq) AS file_seq FROM ll GROUP BY ALL", "tables")(lambda s, d: ordering.file_sequence(_log_lists(s, d)).select("case_id", "file", F.col("file_seq").cast("long").alias("file_seq")))
 query("g17_catalog_summary_whole", "SELECT CAST(l_orderkey AS VARCHAR) AS case_id, count(*) AS columns, coalesce(string_agg('c1', ',') FILTER (WHERE l_linenumber = 1), '') AS key FROM lineitem GROUP BY l_orderkey", "tables")(lambda s, d: reports.catalog_summary(_catalogs(s, d)).select("case_id", "columns", "key"))
+
+
+# --- situations that the derived log does not hold by itself -----------------------------------------------------------
+
+query("t04_unlisted_in_range_shortened", chain("SELECT m.case_id, m.file AS source_file, m.s AS start_position, e.pos AS log_position, e.ri AS row_index FROM mkn m JOIN ev e ON e.case_id = m.case_id AND e.f = m.f AND e.pos BETWEEN m.s AND m.e WHERE NOT m.ses AND (e.h <> m.h OR e.pos % 700 = 0) AND EXISTS (SELECT 1 FROM ev x WHERE x.case_id = m.case_id AND x.h = m.h AND x.pos % 700 <> 0)"), "case")(
+    lambda c: transactions.unlisted_in_range(transactions.deduplicate(c.events)[0], c.markers.withColumn("event_positions", F.filter("event_positions", lambda p: p % 700 != 0))).select("case_id", "source_file", "start_position", "log_position", F.col("row_index").cast("long").alias("row_index"))
+)
+query("c08_reused_after_delete_again", chain("SELECT DISTINCT " + REC + " FROM rev WHERE ty = 'DELETE' AND pos % 200 = 0"))(
+    lambda a: rec(identity.reused_after_delete(a.correlation.record_events.unionByName(_inserted_again(a.correlation.record_events))))
+)
+
+
+def _inserted_again(of_record: DataFrame) -> DataFrame:
+    """An INSERT after each deletion at an even hundred, and one before each other deletion."""
+    later = F.when(F.col("log_position") % 200 == 0, 1).otherwise(-1)
+    return of_record.filter("event_type = 'DELETE'").withColumn("ord", F.struct(F.col("ord.seq").alias("seq"), F.col("ord.name").alias("name"), (F.col("ord.position") + later).alias("position"), F.col("ord.row").alias("row"))).withColumn("event_type", F.lit("INSERT"))
