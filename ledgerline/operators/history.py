@@ -15,7 +15,7 @@ from .identity import RECORD, TABLE_KEY, table_keys
 
 @dataclass(frozen=True)
 class History:
-    """states: RECORD, column, seed, durable, speculative (VALUEs), produced. records: RECORD, presence, seed_presence,
+    """states: RECORD, column, seed, durable, speculative (VALUEs), set_by. records: RECORD, presence, seed_presence,
     contradicted, partial. cells: the exploded images."""
 
     states: DataFrame
@@ -48,17 +48,21 @@ def presence(of_record: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def final_states(cells: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Per record and column: seed, durable and speculative VALUE, the event that set the durable one, and all values logged."""
+    """Per record and column: seed, durable and speculative VALUE, and the event that set the durable one."""
     carried = (F.col("event_type") != "DELETE") & F.col("new").isNotNull()
     sets = carried & F.col("durable")
     ref = F.struct("source_file", "log_position", "row_index")
     last = cells.groupBy(*RECORD, "column").agg(
         F.max_by(F.when(sets, F.struct("new", ref.alias("ref"))), F.when(sets, F.col("ord"))).alias("kept"),
         F.max_by(F.when(carried, F.col("new")), F.when(carried, F.col("ord"))).alias("guess"),
-        F.collect_set(F.when(carried, F.col("new"))).alias("produced"),
     )
     whole = last.join(seeds, [*RECORD, "column"], "full_outer")
-    return whole.select(*RECORD, "column", "seed", F.coalesce("kept.new", "seed").alias("durable"), F.coalesce("guess", "seed").alias("speculative"), F.coalesce("produced", F.expr("cast(array() as array<struct<kind:string,text:string>>)")).alias("produced"), F.col("kept.ref").alias("set_by"))
+    return whole.select(*RECORD, "column", "seed", F.coalesce("kept.new", "seed").alias("durable"), F.coalesce("guess", "seed").alias("speculative"), F.col("kept.ref").alias("set_by"))
+
+
+def logged_values(cells: DataFrame) -> DataFrame:
+    """(record, column, new) of every value that an INSERT or UPDATE carried, committed or not."""
+    return cells.filter("event_type <> 'DELETE' and new is not null").select(*RECORD, "column", "new")
 
 
 def with_prior(cells: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import compare, compared, is_supported, render
 from ..sources.tables import settle
 from .identity import RECORD, TABLE_KEY, Correlation
-from .history import History
+from .history import History, logged_values
 
 # Verdicts from the least to the most severe.
 SEVERITY = ("Exact", "Strong", "Partial", "Unsupported", "Unresolved", "Conflicting")
@@ -26,7 +26,7 @@ def grid(correlation: Correlation, history: History, catalog: DataFrame, snapsho
     """Every record by every column of its table, with the log's and the snapshot's VALUE (null: not observed)."""
     fields = correlation.records.join(catalog.select(*TABLE_KEY, "column", "position", "data_type"), TABLE_KEY)
     shown = snapshot.select(*TABLE_KEY, "snapshot_ord", F.explode("values").alias("column", "phys"))
-    logged = history.states.select(*RECORD, "column", F.col("durable").alias("log"), "speculative", "produced", "set_by")
+    logged = history.states.select(*RECORD, "column", F.col("durable").alias("log"), "speculative", "set_by")
     touched = history.records.select(*RECORD, "gap_touched", "partial")
     return (
         fields.join(logged, [*RECORD, "column"], "left").join(shown, [*TABLE_KEY, "snapshot_ord", "column"], "left").join(touched, RECORD, "left")
@@ -60,12 +60,18 @@ def judge(cells: DataFrame) -> DataFrame:
     return compared(cells, "log", "phys", "data_type").withColumn("v_", rung).select("*", "v_.result", "v_.rule_id").drop("v_", "c")
 
 
-def explain_conflicts(judged: DataFrame) -> DataFrame:
-    """Conflicts that equal a value never committed (R-RECON-030) or no value ever logged (R-RECON-031)."""
+def explain_conflicts(judged: DataFrame, cells: DataFrame) -> DataFrame:
+    """Conflicts that equal a value never committed (R-RECON-030) or no value ever logged (R-RECON-031).
+
+    Only conflicts meet the values logged, one at a time: a field's values are never gathered.
+    """
+    place = [*RECORD, "column"]
     guess = compare(F.col("speculative"), F.col("phys"), F.col("data_type"))
-    same = F.exists("produced", lambda v: F.coalesce(compare(v, F.col("phys"), F.col("data_type"))["equal"], F.lit(False)))
-    rule = F.when(F.coalesce(guess["comparable"] & guess["equal"], F.lit(False)), "R-RECON-030").when((F.size("produced") > 0) & ~same, "R-RECON-031")
-    return judged.filter("result = 'Conflicting' and column <> 'presence'").withColumn("why", rule).filter("why is not null").select(*RECORD, "column", F.col("why").alias("rule_id"))
+    conflicts = judged.filter("result = 'Conflicting' and column <> 'presence'").select(*place, "phys", "data_type", F.coalesce(guess["comparable"] & guess["equal"], F.lit(False)).alias("guessed"))
+    met = compared(conflicts.join(logged_values(cells), place, "left"), "new", "phys", "data_type")
+    told = met.groupBy(*place).agg(F.bool_or("guessed").alias("guessed"), F.count("new").alias("logged"), F.bool_or(F.coalesce(F.col("c.equal"), F.lit(False))).alias("known"))
+    rule = F.when(F.col("guessed"), "R-RECON-030").when((F.col("logged") > 0) & ~F.col("known"), "R-RECON-031")
+    return told.withColumn("rule_id", rule).filter("rule_id is not null").select(*place, "rule_id")
 
 
 def judge_presence(correlation: Correlation, history: History, health: DataFrame, extractions: DataFrame, creations: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -129,4 +135,4 @@ def reconcile(correlation: Correlation, history: History, catalog: DataFrame, sn
     fields = judged.select(*RECORD, "column", "position", render(F.col("log")).alias("log_display"), render(F.col("phys")).alias("phys_display"), "result", "rule_id")
     asked = judge_presence(correlation, history, health, extractions, creations, coverage)
     verdicts = settle(fields.unionByName(asked).unionByName(unsupported_tables(correlation.unsupported)))
-    return verdicts, settle(roll_up(verdicts)), explain_conflicts(judged)
+    return verdicts, settle(roll_up(verdicts)), explain_conflicts(judged, history.cells)

@@ -203,7 +203,7 @@ query("h02_durable_price", chain("SELECT " + REC + ", CAST(pd AS VARCHAR) AS pri
 )
 query("h03_presence", chain("SELECT " + REC + ", lp AS presence FROM pre WHERE logged"))(lambda a: rec(a.history.records, "presence"))
 query("h04_speculative_price", chain("SELECT " + REC + ", CAST(psp AS VARCHAR) AS price FROM rec WHERE logged AND psp IS NOT NULL"))(lambda a: rec(a.history.states.filter("column = 'price_cents' and speculative is not null"), F.col("speculative.text").alias("price")))
-query("h05_values_logged", chain("SELECT " + REC + ", count(DISTINCT ap) AS n FROM rev WHERE ty <> 'DELETE' GROUP BY ALL"))(lambda a: rec(a.history.states.filter("column = 'price_cents' and size(produced) > 0"), F.size("produced").cast("long").alias("n")))
+query("h05_values_logged", chain("SELECT " + REC + ", count(DISTINCT ap) AS n FROM rev WHERE ty <> 'DELETE' GROUP BY ALL"))(lambda a: history.logged_values(a.history.cells).filter("column = 'price_cents'").groupBy("case_id", "pk").agg(F.countDistinct("new").alias("n")))
 query("h06_partial_columns", chain("SELECT " + REC + ", 'o_custkey,o_orderpriority,o_orderstatus' AS partial FROM rl WHERE part"))(lambda a: rec(a.history.records.filter("size(partial) > 0"), F.array_join("partial", ",").alias("partial")))
 query("h07_contradictions", chain("SELECT " + REC + " FROM con"))(lambda a: rec(a.history.records.filter("contradicted")))
 query("h08_step_kinds", chain("SELECT " + REC + ", row_number() OVER (PARTITION BY case_id, key ORDER BY ord) - 1 AS step, CASE WHEN st IS NULL OR st = 'incomplete' THEN 'R-HIST-006' WHEN st = 'rolled_back' THEN 'R-HIST-005' WHEN ty = 'DELETE' THEN 'R-HIST-004' ELSE 'R-HIST-003' END AS rule_id FROM rev"))(
