@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, lines, neighbours, secrets, sharding, suffixes, toxicity
+from . import bpe, chat, decontaminate, fingerprints, jaccard, lines, neighbours, oracle, secrets, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(fingerprints.changed(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_balanced_lists": op1_balanced_lists,
     "op2_secret_ledger": op2_secret_ledger,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle": oracle.OP11}
