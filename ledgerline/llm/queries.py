@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, fingerprints, jaccard, lines, neighbours, oracle, secrets, sharding, suffixes, toxicity
+from . import bpe, centroids, chat, decontaminate, fingerprints, hard_negatives, jaccard, lines, neighbours, oracle, secrets, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -64,6 +64,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(fingerprints.changed(table(spark, sf_dir, "documents")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = hard_negatives.prepare(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(coded, coded.rows.filter("vec_id % 50 = 0"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_balanced_lists": op1_balanced_lists,
     "op2_secret_ledger": op2_secret_ledger,
@@ -76,6 +85,8 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_merkle": oracle.OP11}
+ORACLE_SQL: dict[str, str] = {"op11_merkle": oracle.OP11, "op12_hard_negatives": oracle.OP12, "op13_centroids": oracle.OP13}
