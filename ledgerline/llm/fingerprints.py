@@ -107,18 +107,18 @@ def changed(docs: DataFrame) -> DataFrame:
     Only ids and sizes are sorted. Texts meet their successor's start by two joins over one shuffle of the texts; what
     travels beside it is a fingerprint and the half text that is needed.
     """
-    rows = fingerprints(docs).select("*", F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"))
-    sizes = texts(docs).select(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), F.length("text").alias("n"))
-    each = sizes.groupBy("unnamed", "k", "h").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
-    placed = ranked(each.withColumn("all_", F.lit(0)), [F.col("unnamed"), F.bitwise_not("k"), F.col("h")], within="all_").drop("all_", "unnamed")
+    named = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h")]
+    each = texts(docs).select("doc_id", *named, F.length("text").alias("n")).groupBy("doc_id", "k", "h").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    placed = ranked(each.withColumn("all_", F.lit(0)), [F.col("doc_id").isNull(), F.bitwise_not("k"), F.col("h")], within="all_").drop("all_")
     total = placed.agg(F.count("*").alias("n"), F.max("copies").alias("copies")).first()
     following = F.when(F.col("ordinal") + 1 < total["n"], F.col("ordinal") + 1).otherwise(F.lit(0))
-    wanted = placed.select(following.alias("ordinal"), F.col("k").alias("for_k"), F.col("h").alias("for_h"), F.floor(F.col("n") / 2).cast("int").alias("need"))
+    wanted = placed.select(following.alias("ordinal"), "doc_id", F.col("k").alias("for_k"), F.col("h").alias("for_h"), F.floor(F.col("n") / 2).cast("int").alias("need"))
     pairs = placed.select("ordinal", "k", "h").join(wanted, "ordinal").drop("ordinal")
-    spread = rows.repartition("k", "h")
-    starts = spread.join(pairs, ["k", "h"]).select(F.col("for_k").alias("k"), F.col("for_h").alias("h"), F.expr("substring(text, 1, need)").alias("start"), F.col("fingerprint").alias("next_fingerprint"))
+    # both joins read the same columns of it, so its shuffle is written once
+    spread = fingerprints(docs).select(*named, "text", "fingerprint").repartition("k", "h")
+    starts = spread.join(pairs, ["k", "h"]).select("doc_id", F.col("for_k").alias("k"), F.col("for_h").alias("h"), F.expr("substring(text, 1, need)").alias("start"), F.col("fingerprint").alias("next_fingerprint"))
     if total["copies"] and total["copies"] > 1:
-        starts = starts.groupBy("k", "h").agg(F.first("start").alias("start"), F.first("next_fingerprint").alias("next_fingerprint"))
+        starts = starts.groupBy("doc_id", "k", "h").agg(F.first("start").alias("start"), F.first("next_fingerprint").alias("next_fingerprint"))
     n = F.length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("start"))
     met = spread.join(starts, ["k", "h"]).select("doc_id", "text", "fingerprint", edited.alias("edited"), "next_fingerprint")
