@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import key_order, ranked
-from ..sources.tables import settle
+from . import groups
 from .identity import RECORD
 
 
@@ -38,20 +38,9 @@ def stage_sizes(stages: dict[str, DataFrame]) -> DataFrame:
 
 
 def flagged_groups(record_events: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(case_id, record, group_id): flagged records joined by shared transactions, each under its group's least pk.
-
-    Labels pass from records to transactions and back, taking the least each time, until none changes; each round is
-    a written table, so lineage stays short.
-    """
-    touched = settle(record_events.filter("tx_id is not null").join(flagged.select(*RECORD).distinct(), RECORD, "left_semi").select(*RECORD, "tx_id").distinct())
-    labels = settle(touched.select(*RECORD).distinct().withColumn("group_id", F.col("pk")))
-    while True:
-        by_tx = touched.join(labels, RECORD).groupBy("case_id", "tx_id").agg(F.min("group_id").alias("least"))
-        near = touched.join(by_tx, ["case_id", "tx_id"]).groupBy(*RECORD).agg(F.min("least").alias("new_"))
-        moved = settle(labels.join(near, RECORD).select(*RECORD, F.least("group_id", "new_").alias("group_id"), (F.col("new_") < F.col("group_id")).alias("changed")))
-        if moved.filter("changed").isEmpty():
-            return moved.drop("changed")
-        labels = moved.drop("changed")
+    """(case_id, record, group_id): flagged records joined by shared transactions, each under its group's least pk."""
+    touched = record_events.filter("tx_id is not null").select(*RECORD, "tx_id").distinct()
+    return groups.members(touched, flagged).withColumn("group_id", F.substring_index("root", groups.SEPARATOR, -1)).drop("root")
 
 
 def detail(rows: DataFrame, keys: list[str]) -> DataFrame:
