@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,43 +59,26 @@ def unlisted_in_range(events: DataFrame, markers: DataFrame) -> DataFrame:
     return near.filter(~F.array_contains("event_positions", F.col("log_position"))).select(*MARKER, "log_position", "row_index", F.lit("R-GRP-010").alias("rule_id"))
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    """One island of overlapping session markers, in order: what an earlier one claims, a later one no longer sees."""
-    claimed: set = set()
-    out = []
-    for (start, gtid), rows in group.sort_values(["start_position", "gtid", "log_position", "row_index"]).groupby(["start_position", "gtid"], sort=True, dropna=False):
-        rows = rows[[p not in claimed for p in zip(rows.log_position, rows.row_index, strict=True)]]
-        if not len(rows):
-            continue
-        if rows.thread_id.isna().any() or rows.event_thread.isna().any():
-            out.append((group.case_id.iloc[0], group.source_file.iloc[0], start, gtid, None, None, len(rows)))
-            continue
-        for r in rows[rows.event_thread == rows.thread_id].itertuples():
-            claimed.add((r.log_position, r.row_index))
-            out.append((r.case_id, r.source_file, start, gtid, r.log_position, r.row_index, None))
-    return pd.DataFrame(out, columns=["case_id", "source_file", "start_position", "gtid", "log_position", "row_index", "refused"]).astype({"log_position": "Int64", "row_index": "Int32", "refused": "Int64"})
-
-
 def claim_by_session(events: DataFrame, markers: DataFrame, by_position: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims, refusals) of markers that list no positions: events in range and of their thread that no earlier marker
-    claimed. If any thread is unknown the marker claims nothing (R-GRP-008). A marker that overlaps no other is an
-    aggregate and a join on the thread; only overlapping ones are folded in order, island by island."""
+    """(claims, refusals) of markers that list no positions: events in range and of their thread that no earlier marker claimed.
+
+    A marker that sees an event in range without a thread, or that has none itself, claims nothing (R-GRP-008). An event without a
+    thread is never claimed, so whether a marker refuses does not depend on other markers' claims, and an event goes to
+    the first marker in order of (start, gtid) that does not refuse and has its thread: an aggregate over pairs in
+    range, however markers overlap. A refusal counts the events that no earlier marker took.
+    """
     session = markers.filter(F.size("event_positions") == 0).select(*MARKER, "end_position", "gtid", "thread_id")
-    order = Window.partitionBy("case_id", "source_file").orderBy("start_position", "end_position")
-    reach = F.max("end_position").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = session.withColumn("new_", (F.col("start_position") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("island", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
-    sizes = islands.groupBy("case_id", "source_file", "island").agg((F.count("*") == 1).alias("alone"))
     taken = by_position.groupBy(*REF).agg(F.min("start_position").alias("taken_at"))
-    near = in_range(events, islands.join(sizes, ["case_id", "source_file", "island"])).join(taken, REF, "left").filter(F.col("taken_at").isNull() | (F.col("taken_at") >= F.col("start_position")))
-    near = settle(near.drop("taken_at"))
-    alone = near.filter("alone")
-    unknown = F.bool_or(F.col("thread_id").isNull() | F.col("event_thread").isNull())
-    judged = alone.groupBy(*MARKER).agg(F.count("*").alias("refused"), unknown.alias("unknown"))
-    own = alone.filter("event_thread = thread_id").join(judged.filter("not unknown").select(*MARKER), MARKER, "left_semi")
-    folded = near.filter("not alone").groupBy("case_id", "source_file", "island").applyInPandas(_fold, "case_id string, source_file string, start_position long, gtid string, log_position long, row_index int, refused long")
-    claim = [*MARKER, "gtid", "log_position", "row_index"]
-    claims = folded.filter("refused is null").select(*claim).unionByName(own.select(*claim))
-    refusals = folded.filter("refused is not null").select(*MARKER, "refused").unionByName(judged.filter("unknown").select(*MARKER, "refused"))
+    seen = in_range(events, session).join(taken, REF, "left").filter(F.col("taken_at").isNull() | (F.col("taken_at") >= F.col("start_position")))
+    turn = F.struct(F.col("start_position").alias("at"), F.col("gtid").isNull().alias("bare"), F.coalesce("gtid", F.lit("")).alias("gtid"))
+    near = settle(seen.select(*REF, "start_position", "end_position", "gtid", "event_thread", "thread_id", turn.alias("turn")))
+    own = ["case_id", "source_file", "turn"]
+    refusing = settle(near.groupBy(*own).agg(F.bool_or(F.col("thread_id").isNull() | F.col("event_thread").isNull()).alias("refuses")).filter("refuses").select(*own))
+    able = near.filter("event_thread = thread_id").join(refusing, own, "left_anti")
+    owners = settle(able.groupBy(*REF).agg(F.min("turn").alias("owner")))
+    claims = owners.select("case_id", "source_file", F.col("owner.at").alias("start_position"), F.when(~F.col("owner.bare"), F.col("owner.gtid")).alias("gtid"), "log_position", "row_index")
+    left = near.join(refusing, own, "left_semi").join(owners, REF, "left").filter("owner is null or owner >= turn")
+    refusals = left.groupBy(*MARKER, "turn").agg(F.countDistinct("log_position", "row_index").alias("refused")).drop("turn")
     return claims, refusals.withColumn("rule_id", F.lit("R-GRP-008"))
 
 
