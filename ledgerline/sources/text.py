@@ -12,50 +12,84 @@ LIST_ITEM = r"""\s*('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|[^,]+?)\s*(?:,|$)"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): lines of text files, numbered in each file by block and by place in the block."""
-    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id_"))
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("block", "id_")).alias("line_no"), "line")
-
-
-def _seen(column: Column, upto) -> Column:
-    return F.last(column, True).over(upto)
+    """(file, chunk, line_no, line): lines of text files. A chunk is a split of a file, so one file of any size is read by many tasks.
+
+    Lines are numbered within their chunk; how many lines stand before a chunk is the sum over the chunks before it.
+    """
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("chunk"), F.monotonically_increasing_id().alias("id_"))
+    earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("file", "chunk").agg(F.count("*").alias("n_")).select("file", "chunk", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("ahead_"))
+    placed = rows.withColumn("at_", F.row_number().over(Window.partitionBy("file", "chunk").orderBy("id_")))
+    return placed.join(ahead, ["file", "chunk"]).select("file", "chunk", (F.col("at_") + F.col("ahead_")).alias("line_no"), "line")
+
+
+def carried(lines: DataFrame, last: dict[str, Column], first: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+    """lines with what holds where each stands in its file: the last or the first value seen so far, or the sum so far.
+
+    A prefix scan in two levels. Each chunk is summed up by an aggregate that Spark combines before it shuffles; the
+    summaries, one row for each chunk, are scanned in order of the file; each chunk starts from what the scan brings it and
+    goes through its own lines alone.
+    """
+    seen = lambda c: F.when(c.isNotNull(), F.col("line_no"))
+    told = lines.groupBy("file", "chunk").agg(
+        *[F.max_by(c, seen(c)).alias(f"{n}_in") for n, c in last.items()], *[F.min_by(c, seen(c)).alias(f"{n}_in") for n, c in first.items()], *[F.sum(c).alias(f"{n}_in") for n, c in sums.items()]
+    )
+    earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    brought = told.select(
+        "file", "chunk",
+        *[F.last(f"{n}_in", True).over(earlier).alias(f"{n}_in") for n in last], *[F.first(f"{n}_in", True).over(earlier).alias(f"{n}_in") for n in first], *[F.coalesce(F.sum(f"{n}_in").over(earlier), F.lit(0)).alias(f"{n}_in") for n in sums],
+    )
+    running = Window.partitionBy("file", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    here = lines.select("*", *[F.last(c, True).over(running).alias(f"{n}_at") for n, c in last.items()], *[F.first(c, True).over(running).alias(f"{n}_at") for n, c in first.items()], *[F.sum(c).over(running).alias(f"{n}_at") for n, c in sums.items()])
+    both = here.join(brought, ["file", "chunk"])
+    return both.select(
+        *lines.columns, *[F.coalesce(f"{n}_at", f"{n}_in").alias(n) for n in last], *[F.coalesce(f"{n}_in", f"{n}_at").alias(n) for n in first], *[(F.col(f"{n}_in") + F.col(f"{n}_at")).alias(n) for n in sums]
+    )
 
 
 def _match(pattern: str, group: int = 1) -> Column:
     return F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, group))
 
 
-def source_time(lines: DataFrame) -> DataFrame:
-    """lines with raw_ts and ts. Times are local to the server; its offset is known from the first commit comment of the
-    file on, and lines before that are read as UTC."""
-    upto = Window.partitionBy("file").orderBy("line_no")
-    raw = _match(r"^#(\d{6} +\d{1,2}:\d{2}:\d{2}) server id")
+def annotated(lines: DataFrame) -> DataFrame:
+    """Every line with what holds where it stands: position, time, GTID, thread, default database, transaction and row islands.
+
+    Times are local to the server; its offset is known from the first commit comment of the file on, and lines before that
+    are read as UTC.
+    """
+    row_start = F.col("line").rlike(r"^### (INSERT INTO|UPDATE|DELETE FROM) ")
     utc = _match(r"^# original_commit_timestamp=(\d+)")
     shown = F.when(utc.isNotNull(), F.regexp_extract("line", r"\((\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1))
-    offset = F.when(utc.isNotNull(), F.unix_timestamp(F.to_timestamp(shown)) - F.floor(utc.cast("long") / 1_000_000))
-    told = lines.withColumn("raw_here", raw).withColumn("offset_here", offset)
-    told = told.withColumn("raw_ts", _seen(F.col("raw_here"), upto)).withColumn("offset", F.coalesce(F.first("offset_here", True).over(upto.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    out = carried(
+        lines,
+        {
+            "raw_ts": _match(r"^#(\d{6} +\d{1,2}:\d{2}:\d{2}) server id"),
+            "log_position": _match(r"^# at (\d+)").cast("long"),
+            "end_position": _match(r"end_log_pos (\d+)").cast("long"),
+            "gtid": _match(r"GTID_NEXT= *'([^']+)'"),
+            "thread_id": _match(r"thread_id=(\d+)").cast("long"),
+            # a row begins outside of both of its images
+            "section": F.when(row_start, F.lit("")).otherwise(_match(r"^### (WHERE|SET)\s*$")),
+            "used": _match(r"^use `([^`]+)`"),
+        },
+        {"offset": F.when(utc.isNotNull(), F.unix_timestamp(F.to_timestamp(shown)) - F.floor(utc.cast("long") / 1_000_000))},
+        {"row_island": row_start.cast("int"), "tx_island": F.col("line").rlike(r"^BEGIN\b").cast("int")},
+    )
     local = F.to_timestamp(F.concat(F.lit("20"), F.regexp_replace("raw_ts", r" +", " ")), "yyyyMMdd H:mm:ss")
-    return told.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(local) - F.col("offset"))).drop("raw_here", "offset_here", "offset")
+    ts = F.timestamp_seconds(F.unix_timestamp(local) - F.coalesce("offset", F.lit(0)))
+    return out.withColumns({"ts": ts, "is_row": row_start, "section": F.when(F.col("section") != "", F.col("section"))}).drop("offset")
 
 
-def annotated(lines: DataFrame) -> DataFrame:
-    """Every line with what holds where it stands: position, time, GTID, thread, transaction and row islands."""
-    upto = Window.partitionBy("file").orderBy("line_no")
-    running = upto.rowsBetween(Window.unboundedPreceding, 0)
-    row_start = F.col("line").rlike(r"^### (INSERT INTO|UPDATE|DELETE FROM) ")
-    begin = F.col("line").rlike(r"^BEGIN\b")
-    out = source_time(lines).withColumns({
-        "log_position": _seen(_match(r"^# at (\d+)").cast("long"), upto),
-        "end_position": _seen(_match(r"end_log_pos (\d+)").cast("long"), upto),
-        "gtid": _seen(_match(r"GTID_NEXT= *'([^']+)'"), upto),
-        "thread_id": _seen(_match(r"thread_id=(\d+)").cast("long"), upto),
-        "row_island": F.sum(row_start.cast("int")).over(running),
-        "tx_island": F.sum(begin.cast("int")).over(running),
-        "is_row": row_start,
-    })
-    section = _match(r"^### (WHERE|SET)\s*$")
-    return out.withColumn("section", F.last(section, True).over(Window.partitionBy("file", "row_island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+def cell(line: Column) -> Column:
+    """struct(n, text) of a line `### @n=value /* type */` of a row image, null for any other line: what stands behind the
+    first = without the comment that ends the line."""
+    body = F.trim(F.substring(line, 4, 1 << 30))
+    name = F.substring_index(body, "=", 1)
+    said = F.trim(F.substr(body, F.length(name) + 2))
+    comment = F.length(F.substring_index(said, "/*", -1)) + 2
+    value_ = F.when(F.endswith(said, F.lit("*/")) & F.contains(said, F.lit("/*")), F.trim(F.substr(said, F.lit(1), F.length(said) - comment))).otherwise(said)
+    n = F.substring(name, 2, 1 << 30).try_cast("int")
+    return F.when(F.startswith(line, F.lit("###")) & F.startswith(body, F.lit("@")) & F.contains(body, F.lit("=")) & n.isNotNull(), F.struct(n.alias("n"), value_.alias("text")))
 
 
 def change_log_events(notes: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
@@ -68,8 +102,7 @@ def change_log_events(notes: DataFrame, catalog: DataFrame | None = None) -> Dat
         F.element_at(F.create_map(*[F.lit(x) for kv in kind.items() for x in kv]), verb).alias("event_type"), _match(r"`([^`]+)`\.`([^`]+)`", 1).alias("database"), _match(r"`([^`]+)`\.`([^`]+)`", 2).alias("table"),
     )
     indexed = starts.withColumn("row_index", (F.row_number().over(Window.partitionBy("source_file", "log_position").orderBy("line_no")) - 1).cast("int"))
-    cell = r"^###\s+@(\d+)=(.*?)(?:\s*/\*.*\*/)?\s*$"
-    cells = notes.filter(F.col("line").rlike(cell)).select(F.col("file").alias("source_file"), "row_island", "section", F.regexp_extract("line", cell, 1).cast("int").alias("n"), literal(F.regexp_extract("line", cell, 2), "log").alias("v"))
+    cells = notes.withColumn("cell", cell(F.col("line"))).filter("cell is not null").select(F.col("file").alias("source_file"), "row_island", "section", "cell.n", literal(F.col("cell.text"), "log").alias("v"))
     named = cells.join(indexed.select("source_file", "row_island", "database", "table"), ["source_file", "row_island"])
     if catalog is not None:
         named = named.join(catalog.select("database", "table", F.col("position").alias("n"), F.col("column")), ["database", "table", "n"], "left")
@@ -87,7 +120,7 @@ def transaction_markers(notes: DataFrame, events: DataFrame) -> DataFrame:
     ends = F.when(F.col("line").rlike(r"^(COMMIT\b|.*\bXid = \d+)"), "committed").when(F.col("line").rlike(r"^ROLLBACK\b") & ~F.col("line").rlike("added by"), "rolled_back")
     spans = notes.filter("tx_island > 0").withColumn("ends", ends)
     last = F.min_by(F.when(F.col("ends").isNotNull(), F.struct("ends", "end_position")), F.when(F.col("ends").isNotNull(), F.col("line_no")))
-    marked = spans.groupBy(F.col("file").alias("source_file"), "tx_island").agg(F.min("log_position").alias("start_position"), last.alias("end_"), F.max("end_position").alias("last_position"), F.first("gtid", True).alias("gtid"), F.first("thread_id", True).alias("thread_id"), F.max(_match(r"Xid = (\d+)").cast("long")).alias("xid"))
+    marked = spans.groupBy(F.col("file").alias("source_file"), "tx_island").agg(F.min("log_position").alias("start_position"), last.alias("end_"), F.max("end_position").alias("last_position"), F.min_by("gtid", F.when(F.col("gtid").isNotNull(), F.col("line_no"))).alias("gtid"), F.min_by("thread_id", F.when(F.col("thread_id").isNotNull(), F.col("line_no"))).alias("thread_id"), F.max(_match(r"Xid = (\d+)").cast("long")).alias("xid"))
     listed = events.filter("tx_island > 0").groupBy("source_file", "tx_island").agg(F.array_sort(F.collect_set("log_position")).alias("event_positions"))
     positions = F.coalesce("event_positions", F.expr("cast(array() as array<bigint>)"))
     return marked.join(listed, ["source_file", "tx_island"], "left").select("source_file", "start_position", F.coalesce("end_.end_position", "last_position").alias("end_position"), F.coalesce("end_.ends", F.lit("incomplete")).alias("status"), positions.alias("event_positions"), "gtid", "xid", "thread_id")
@@ -95,9 +128,8 @@ def transaction_markers(notes: DataFrame, events: DataFrame) -> DataFrame:
 
 def table_creations(notes: DataFrame) -> DataFrame:
     """CREATE TABLE statements seen (not IF NOT EXISTS), with the default database in force."""
-    used = F.last(_match(r"^use `([^`]+)`"), True).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     pattern = r"(?i)^CREATE TABLE (?!IF NOT EXISTS)(?:`?([\w$]+)`?\.)?`?([\w$]+)`?"
-    seen = notes.withColumn("used", used).filter(F.col("line").rlike(pattern))
+    seen = notes.filter(F.col("line").rlike(pattern))
     own = F.regexp_extract("line", pattern, 1)
     return seen.select(F.when(own != "", own).otherwise(F.col("used")).alias("database"), F.regexp_extract("line", pattern, 2).alias("table"), F.col("file").alias("source_file"), "log_position")
 
