@@ -461,3 +461,6 @@ def _inserted_again(of_record: DataFrame) -> DataFrame:
     """An INSERT after each deletion at an even hundred, and one before each other deletion."""
     later = F.when(F.col("log_position") % 200 == 0, 1).otherwise(-1)
     return of_record.filter("event_type = 'DELETE'").withColumn("ord", F.struct(F.col("ord.seq").alias("seq"), F.col("ord.name").alias("name"), (F.col("ord.position") + later).alias("position"), F.col("ord.row").alias("row"))).withColumn("event_type", F.lit("INSERT"))
+
+
+from . import review_queries  # noqa: E402, F401  registers its queries
