@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import export, groups, identity, summary
+from .functions import values
+from .operators import export, groups, identity, redaction, summary
 from .oracle import CATALOGUE, FOUND, chain
 from .plans.analysis import Analysis
 from .plans.change_log import Case
@@ -132,3 +133,40 @@ query("g16_selected_events", chain(SELECTED + "SELECT case_id, " + FILE.format("
     lambda c, a: _selection(c, a).events.filter("status = 'included'").select("case_id", "source_file", "log_position", F.col("row_index").cast("long").alias("row_index"), "reason")
 )
 query("g16_selected_snapshot_rows", chain(SELECTED + "SELECT case_id, CAST(sk AS VARCHAR) AS pk, so AS snapshot_ord FROM sro WHERE why IS NOT NULL"), "both")(lambda c, a: _selection(c, a).snapshot_rows.filter("status = 'included'").select("case_id", "pk", "snapshot_ord"))
+
+# --- G18: redaction ---------------------------------------------------------------------------------------------------
+
+
+def _shown_snapshot(c: Case):
+    """The snapshot with NULLs, columns that were not observed and a free text beside the undecodable values that it has."""
+    k = F.floor(F.col("snapshot_ord") / 10)
+    image = F.map_filter("values", lambda name, _: ~((name == "o_orderpriority") & (k % 19 == 0)))
+    image = F.transform_values(image, lambda name, v: F.when((name == "o_custkey") & (k % 17 == 0), values.value("null", F.lit(None))).otherwise(v))
+    return c.snapshot.select("case_id", "snapshot_ord", "table", F.when(k % 23 == 0, "Unknown").otherwise(F.col("database")).alias("database"), "is_deleted", image.alias("image"), F.when(k % 3 == 0, F.concat(F.lit("seen at "), k.cast("string"))).alias("note"))
+
+
+def _redacted(c: Case):
+    rules = {"case_id": redaction.KEEP, "snapshot_ord": redaction.KEEP, "table": "TABLE", "database": "DATABASE", "is_deleted": redaction.KEEP, "image": redaction.IMAGE, "note": redaction.WITHHOLD}
+    return redaction.redact({"snapshot": _shown_snapshot(c)}, {"snapshot": rules})[0]["snapshot"]
+
+
+_ALIAS = "'[{0}-' || CASE WHEN length(CAST(n AS VARCHAR)) < 3 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END || ']'"
+query(
+    "g18_redacted_snapshot",
+    chain(
+        """,
+sx AS (SELECT *, so // 10 AS kk FROM sn),
+vals AS (SELECT case_id, so, kk, del, 'o_orderkey' AS field, 'int' AS kind, CAST(sk AS VARCHAR) AS text FROM sx UNION ALL SELECT case_id, so, kk, del, 'o_custkey', CASE WHEN kk % 17 = 0 THEN 'null' ELSE 'int' END, CASE WHEN kk % 17 <> 0 THEN CAST(custkey AS VARCHAR) END FROM sx
+  UNION ALL SELECT case_id, so, kk, del, 'o_orderstatus', CASE WHEN broken THEN 'undecodable' ELSE 'str' END, CASE WHEN broken THEN 'bad length' ELSE status END FROM sx UNION ALL SELECT case_id, so, kk, del, 'price_cents', 'int', CAST(price AS VARCHAR) FROM sx
+  UNION ALL SELECT case_id, so, kk, del, 'o_orderpriority', 'str', prio FROM sx WHERE kk % 19 <> 0),
+va AS (SELECT text, """
+        + _ALIAS.format("VALUE")
+        + """ AS alias FROM (SELECT text, row_number() OVER (ORDER BY text) AS n FROM (SELECT DISTINCT text FROM vals WHERE kind NOT IN ('null', 'undecodable')))),
+fa AS (SELECT field, """
+        + _ALIAS.format("FIELD")
+        + """ AS alias FROM (SELECT field, row_number() OVER (ORDER BY field) AS n FROM (SELECT DISTINCT field FROM vals)))
+SELECT v.case_id, v.so AS snapshot_ord, '[TABLE-001]' AS "table", CASE WHEN v.kk % 23 = 0 THEN 'Unknown' ELSE '[DATABASE-001]' END AS "database", v.del AS is_deleted, CASE WHEN v.kk % 3 = 0 THEN '[REDACTED]' END AS note, fa.alias AS field,
+  CASE WHEN v.kind IN ('null', 'undecodable') THEN v.kind ELSE 'alias' END AS kind, CASE WHEN v.kind = 'undecodable' THEN '[REDACTED]' ELSE va.alias END AS text FROM vals v JOIN fa ON fa.field = v.field LEFT JOIN va ON va.text = v.text AND v.kind NOT IN ('null', 'undecodable')"""
+    ),
+    "case",
+)(lambda c: _redacted(c).select("case_id", "snapshot_ord", "table", "database", "is_deleted", "note", F.explode("image").alias("field", "v")).select("*", "v.kind", "v.text").drop("v"))
