@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import finding
-from ..operators import history, identity, reconcile, transactions
+from ..operators import history, identity, provenance, reconcile, transactions
 from ..sources.tables import settle
 from .change_log import Case
 
@@ -40,4 +40,6 @@ def analyse(case: Case) -> Analysis:
     fields, records, why = reconcile.reconcile(found, told, case.catalog, case.snapshot, case.health, case.extractions, case.creations, covered)
     unbacked = finding(covered.filter("not complete"), "R-COV-005", F.col("case_id"))
     findings = reduce(DataFrame.unionByName, [grouping.findings, transactions.coverage_findings(case.log_files, case.markers), found.findings, history.history_findings(found.record_events, told, case.catalog, gaps, found.aliases), unbacked])
+    if case.runs is not None:
+        findings = findings.unionByName(provenance.missing_runs(grouping.events, case.runs))
     return Analysis(grouping, found, told, gaps, covered, fields, records, why, findings)

@@ -17,7 +17,7 @@ UUIDS = ("3e11fa47-71ca-11e1-9e33-c80aa9429562", "4f22ab58-71ca-11e1-9e33-c80aa9
 
 @dataclass(frozen=True)
 class Case:
-    """The input frames of an analysis, all keyed by case_id."""
+    """The input frames of an analysis, all keyed by case_id. runs, where they are recorded: which tool run decoded what."""
 
     events: DataFrame
     markers: DataFrame
@@ -27,6 +27,7 @@ class Case:
     health: DataFrame
     extractions: DataFrame
     creations: DataFrame
+    runs: DataFrame | None = None
 
 
 def _image(key: Column, price: Column, partial: Column | None = None) -> Column:

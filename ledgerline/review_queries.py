@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import fields, replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import values
-from .operators import export, groups, identity, redaction, summary
+from .functions import rules, values
+from .operators import export, groups, identity, provenance, redaction, summary
 from .oracle import CATALOGUE, FOUND, chain
-from .plans.analysis import Analysis
+from .plans import stale
+from .plans.analysis import Analysis, analyse
 from .plans.change_log import Case
 from .queries import FILE, query, rec
 
@@ -170,3 +175,80 @@ SELECT v.case_id, v.so AS snapshot_ord, '[TABLE-001]' AS "table", CASE WHEN v.kk
     ),
     "case",
 )(lambda c: _redacted(c).select("case_id", "snapshot_ord", "table", "database", "is_deleted", "note", F.explode("image").alias("field", "v")).select("*", "v.kind", "v.text").drop("v"))
+
+# --- R12, T15: the run behind each value -------------------------------------------------------------------------------
+
+
+def _runs(c: Case):
+    """Runs derived from the log: every file but the third was decoded, the second again from 5,000 on, the fifth also in vain."""
+    files = c.events.groupBy("case_id", "source_file").agg(F.min("log_position").alias("at")).withColumn("n", F.substring("source_file", -1, 1))
+    run = lambda cond, name, position, started, status: files.filter(cond).select("case_id", F.concat(F.lit(name), "n").alias("run_id"), F.concat(F.lit("/work/"), "source_file").alias("source_file"), F.lit(position).cast("long").alias("from_position"), F.lit(started).alias("started"), F.lit(status).alias("status"))
+    return run("n <> '3'", "first-", 0, 1, "ok").unionByName(run("n = '2'", "again-", 5000, 2, "ok")).unionByName(run("n = '5'", "broken-", 0, 3, "failed"))
+
+
+RUN = "CASE WHEN {0} = 3 THEN NULL WHEN {0} = 2 AND {1} >= 5000 THEN 'again-2' ELSE 'first-' || CAST({0} AS VARCHAR) END"
+query(
+    "r12_field_runs",
+    chain(
+        PROVENANCE
+        + """, fst AS (SELECT case_id, key, arg_min(f, ord) AS ff, arg_min(pos, ord) AS fp, arg_min(ri, ord) AS fr FROM rev GROUP BY ALL),
+fp AS (SELECT d.case_id, d.key, d.col, coalesce(p.pf, t.ff) AS f, coalesce(p.pp, t.fp) AS pos, coalesce(p.pr, t.fr) AS ri, CASE WHEN p.pf IS NULL THEN 'before_image' ELSE 'set_by_event' END AS basis FROM fld d JOIN prov p ON p.case_id = d.case_id AND p.key = d.key AND p.col = d.col JOIN fst t ON t.case_id = d.case_id AND t.key = d.key WHERE d.has_log)
+SELECT case_id, CAST(key AS VARCHAR) AS pk, col AS field, """
+        + FILE.format("f")
+        + " AS source_file, pos AS log_position, CAST(ri AS BIGINT) AS row_index, "
+        + RUN.format("f", "pos")
+        + " AS run_id, basis FROM fp"
+    ),
+    "both",
+)(lambda c, a: rec(provenance.field_provenance(a.history.states, a.correlation.record_events, a.grouping.events, _runs(c)), F.col("column").alias("field"), "source_file", "log_position", F.col("row_index").cast("long").alias("row_index"), "run_id", "basis"))
+query("t15_event_runs", chain("SELECT case_id, " + RUN.format("f", "pos") + " AS run_id, " + FILE.format("f") + " AS source_file, CASE WHEN f <> 3 THEN 'recorded' END AS run_basis, count(*) AS events FROM ev GROUP BY ALL"), "both")(
+    lambda c, a: provenance.event_runs(a.grouping.events, _runs(c)).groupBy("case_id", "run_id", "source_file", "run_basis").agg(F.count("*").alias("events"))
+)
+query("t15_provenance_findings", chain("SELECT DISTINCT case_id, 'R-PROV-001' AS rule_id, " + FILE.format("f") + " AS subject, 'warning' AS severity, 'No tool run recorded for ' || " + FILE.format("f") + " AS text FROM ev WHERE f = 3"), "case")(
+    lambda c: rules.described(provenance.missing_runs(c.events, _runs(c))).select("case_id", "rule_id", "subject", "severity", "text")
+)
+
+# --- Q04, V09, P04: two analyses, stale results, counts ----------------------------------------------------------------
+
+
+def _shuffled(c: Case) -> Case:
+    return replace(c, **{f.name: getattr(c, f.name).repartition(5) for f in fields(c) if getattr(c, f.name) is not None})
+
+
+def _results(a: Analysis) -> dict:
+    return {"transactions": a.grouping.transactions, "tx_events": a.grouping.tx_events, "records": a.correlation.records, "states": a.history.states, "field_verdicts": a.field_verdicts, "record_verdicts": a.record_verdicts, "findings": a.findings}
+
+
+query(
+    "q04_two_analyses",
+    chain(
+        "SELECT result, case_id, count(*) AS rows, true AS same FROM (SELECT 'transactions' AS result, case_id FROM mkn UNION ALL SELECT 'transactions', case_id FROM syn UNION ALL SELECT 'tx_events', case_id FROM tev UNION ALL SELECT 'records', case_id FROM rm UNION ALL SELECT 'field_verdicts', case_id FROM vr UNION ALL SELECT 'record_verdicts', case_id FROM rolled"
+        " UNION ALL SELECT 'findings', case_id FROM (" + FOUND + ") UNION ALL SELECT 'states', case_id FROM (SELECT DISTINCT case_id, key, col FROM fld WHERE logged AND (col IN ('o_orderkey', 'price_cents') OR t0 <> 'INSERT' OR EXISTS (SELECT 1 FROM rev r WHERE r.case_id = fld.case_id AND r.key = fld.key AND r.part = 0)))) GROUP BY ALL"
+    ),
+    "both",
+)(lambda c, a: stale.same_results(_results(a), _results(analyse(_shuffled(c)))))
+
+
+def _changed(c: Case) -> Case:
+    """Case A without some rows of its snapshot, case B with one column of its markers moved."""
+    gone = (F.col("case_id") == "A") & (F.col("snapshot_ord") % 7 == 0)
+    return replace(c, snapshot=c.snapshot.filter(~gone), markers=c.markers.withColumn("end_position", F.col("end_position") + F.when((F.col("case_id") == "B") & (F.col("end_position") % 3 == 0), 1).otherwise(0)))
+
+
+CHANGED = "sc AS (SELECT DISTINCT case_id, 'snapshot' AS input FROM sn WHERE case_id = 'A' AND so % 7 = 0 UNION SELECT DISTINCT case_id, 'markers' FROM mk WHERE case_id = 'B' AND e % 3 = 0)"
+NEEDS = "(VALUES ('grouping', 'markers'), ('correlation', 'markers'), ('correlation', 'snapshot'), ('reconstruction', 'markers'), ('reconstruction', 'snapshot'), ('reconciliation', 'markers'), ('reconciliation', 'snapshot')) n(stage, input)"
+query("v09_stale_stages", chain(", " + CHANGED + " SELECT case_id, stage, string_agg(input, ', ' ORDER BY input) AS changed FROM sc JOIN " + NEEDS + " USING (input) GROUP BY ALL"), "case")(lambda c: stale.stale(stale.inputs(c), stale.inputs(_changed(c))))
+
+
+def _still_fresh(c: Case, a: Analysis):
+    then, now = stale.made_from(stale.inputs(c)), stale.made_from(stale.inputs(_changed(c)))
+    kept = {"grouping": a.grouping.transactions, "reconciliation": a.record_verdicts}
+    return reduce(DataFrame.unionByName, [stale.fresh(stale.stamped(df.select("case_id"), s, then), s, now).groupBy("case_id", F.lit(s).alias("stage")).agg(F.count("*").alias("rows")) for s, df in kept.items()])
+
+
+query("v09_fresh_rows", chain(", " + CHANGED + " SELECT case_id, stage, count(*) AS rows FROM (SELECT case_id, 'grouping' AS stage FROM mkn UNION ALL SELECT case_id, 'grouping' FROM syn UNION ALL SELECT case_id, 'reconciliation' FROM rolled) r WHERE NOT EXISTS (SELECT 1 FROM sc JOIN " + NEEDS + " USING (input) WHERE sc.case_id = r.case_id AND n.stage = r.stage) GROUP BY ALL"), "both")(_still_fresh)
+query(
+    "p04_scope_counts",
+    chain("SELECT s.case_id, s.kind, coalesce(i.n, 0) AS in_scope, s.n AS stored FROM (SELECT case_id, kind, count(*) AS n FROM (SELECT case_id, 'events' AS kind FROM ev1 UNION ALL SELECT case_id, 'markers' FROM mk UNION ALL SELECT case_id, 'physical_records' FROM sn UNION ALL SELECT DISTINCT case_id, 'schemas' FROM ev1) GROUP BY ALL) s LEFT JOIN (SELECT case_id, kind, count(*) AS n FROM (SELECT case_id, 'events' AS kind FROM ev1 WHERE f <= 4 UNION ALL SELECT case_id, 'markers' FROM mk WHERE f <= 4 UNION ALL SELECT case_id, 'physical_records' FROM sn UNION ALL SELECT DISTINCT case_id, 'schemas' FROM ev1) GROUP BY ALL) i ON i.case_id = s.case_id AND i.kind = s.kind"),
+    "case",
+)(lambda c: stale.scope_counts(replace(c, events=c.events.filter("source_file <= 'log.000004'"), markers=c.markers.filter("source_file <= 'log.000004'")), c))

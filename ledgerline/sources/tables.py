@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +37,41 @@ def read_case(spark: SparkSession, path: str, case_id: str | None = None) -> Dat
 def repeated_references(events: DataFrame, ref: tuple[str, ...] = ("case_id", "source_file", "log_position", "row_index")) -> DataFrame:
     """References that more than one row carries; a write of events should refuse to go on if there is any."""
     return events.groupBy(*ref).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def publish_decode(events: DataFrame, path: str, case_id: str, file: str) -> str:
+    """Write one decode of a log under its registered name and publish it; returns the decode's id.
+
+    A decode that holds another case, or more than one source file, was put together wrongly; it is refused, and nothing of
+    it can be read. The check reads what was written, so it holds for the very rows that are published; a decode becomes
+    readable by one small row in the manifest, written last. A job that dies before that leaves files that no reader takes.
+    """
+    spark, decode = events.sparkSession, uuid.uuid4().hex
+    staged = f"{path}/decodes/decode={decode}"
+    events.withColumn("read_as", F.col("source_file")).withColumn("source_file", F.lit(file)).write.parquet(staged)
+    found = spark.read.parquet(staged).agg(F.countDistinct("read_as").alias("files"), F.array_sort(F.collect_set(F.when(F.col("case_id") != case_id, F.col("case_id")))).alias("others"), F.min("read_as").alias("a"), F.max("read_as").alias("b")).first()
+    if found.files > 1:
+        raise ValueError(f"one decode holds events from {found.files} files, {found.a} and {found.b} among them")
+    if found.others:
+        raise ValueError(f"a decode of case {case_id} holds rows of another")
+    known = published(spark, path)
+    last = 0 if known is None else known.filter((F.col("case_id") == case_id) & (F.col("file") == file)).agg(F.max("seq")).first()[0] or 0
+    spark.createDataFrame([(case_id, file, decode, last + 1)], "case_id string, file string, decode string, seq long").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return decode
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """(case_id, file, decode, seq): the last published decode of each file, None where nothing was published."""
+    try:
+        manifest = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = F.max_by(F.struct("decode", "seq"), F.struct("seq", "decode"))
+    return manifest.groupBy("case_id", "file").agg(last.alias("x")).select("case_id", "file", "x.*")
+
+
+def read_decodes(spark: SparkSession, path: str) -> DataFrame:
+    """Events of the last published decode of each file; Spark reads only the folders that the manifest names."""
+    return spark.read.parquet(f"{path}/decodes").join(published(spark, path).select("decode"), "decode", "left_semi").drop("decode", "read_as")
