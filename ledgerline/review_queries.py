@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import fields, replace
 from functools import reduce
 
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import rules, values
-from .operators import export, groups, identity, provenance, redaction, summary
+from .operators import export, groups, identity, provenance, redaction, summary, transactions
 from .oracle import CATALOGUE, FOUND, chain
 from .plans import stale
 from .plans.analysis import Analysis, analyse
-from .plans.change_log import Case
+from .plans.change_log import Case, derive
 from .queries import FILE, query, rec
+from .sources import render, text
+from .sources.tables import shared_dir
 
 # --- V06: flagged records that share transactions ---------------------------------------------------------------------
 
@@ -252,3 +255,58 @@ query(
     chain("SELECT s.case_id, s.kind, coalesce(i.n, 0) AS in_scope, s.n AS stored FROM (SELECT case_id, kind, count(*) AS n FROM (SELECT case_id, 'events' AS kind FROM ev1 UNION ALL SELECT case_id, 'markers' FROM mk UNION ALL SELECT case_id, 'physical_records' FROM sn UNION ALL SELECT DISTINCT case_id, 'schemas' FROM ev1) GROUP BY ALL) s LEFT JOIN (SELECT case_id, kind, count(*) AS n FROM (SELECT case_id, 'events' AS kind FROM ev1 WHERE f <= 4 UNION ALL SELECT case_id, 'markers' FROM mk WHERE f <= 4 UNION ALL SELECT case_id, 'physical_records' FROM sn UNION ALL SELECT DISTINCT case_id, 'schemas' FROM ev1) GROUP BY ALL) i ON i.case_id = s.case_id AND i.kind = s.kind"),
     "case",
 )(lambda c: stale.scope_counts(replace(c, events=c.events.filter("source_file <= 'log.000004'"), markers=c.markers.filter("source_file <= 'log.000004'")), c))
+
+# --- S01 to S09: logs and dumps written as text and read again -----------------------------------------------------------
+
+
+def _log_markers(c: Case) -> DataFrame:
+    """A transaction around the events of each file and time of the derived log."""
+    h = F.floor(F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2026-08-15 19:06:25").cast("timestamp")))
+    status = F.when(F.col("h") % 11 == 3, "rolled_back").when(F.col("h") % 17 == 5, "incomplete").otherwise("committed")
+    spans = c.events.withColumn("h", h).groupBy("case_id", "source_file", "h").agg((F.min("log_position") - 2).alias("start_position"), (F.max("log_position") + 8).alias("end_position"), F.min("ts").alias("ts"))
+    return spans.select("case_id", "source_file", "start_position", "end_position", status.alias("status"), F.concat(F.lit("aa-bb:"), F.col("h").cast("string")).alias("gtid"), F.col("h").alias("xid"), (13 + F.col("h") % 5).alias("thread_id"), "ts")
+
+
+def _read_back(s, d: str):
+    """(notes, events) of the derived log, each event once, written as text in pieces and read by the log reader."""
+    c = derive(s, d)
+    path = f"{shared_dir(s)}/ledgerline/{uuid.uuid4().hex}"
+    lines = render.change_log(transactions.deduplicate(c.events)[0], _log_markers(c), c.catalog)
+    render.write_pieces(lines.withColumn("log", F.concat_ws("-", "case_id", "source_file")), path, ["place", "line_no"])
+    notes = text.annotated(text.read_lines(s, path, in_pieces=True))
+    return notes, text.change_log_events(notes, c.catalog.filter("case_id = 'A'"))
+
+
+def _place(df: DataFrame, *more):
+    return df.select(F.substring_index("source_file", "-", 1).alias("case_id"), F.substring_index("source_file", "-", -1).alias("source_file"), *more)
+
+
+def _log_events(s, d: str):
+    price = lambda side: F.col(side)["price_cents"]["text"].cast("long")
+    key = lambda side: F.col(side)["o_orderkey"]["text"].cast("long")
+    return _place(_read_back(s, d)[1], "log_position", F.col("row_index").cast("long").alias("row_index"), "event_type", "database", "table", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "gtid", "thread_id", key("before").alias("key_before"), key("after").alias("key_after"), price("before").alias("price_before"), price("after").alias("price_after"), F.col("after")["o_orderpriority"]["text"].alias("priority"))
+
+
+query(
+    "s01_log_events",
+    chain("SELECT case_id, " + FILE.format("f") + " AS source_file, pos AS log_position, row_number() OVER (PARTITION BY case_id, f, pos ORDER BY ri) - 1 AS row_index, ty AS event_type, 'shop' AS \"database\", 'orders' AS \"table\", strftime(TIMESTAMP '2026-08-15 19:06:25' + to_seconds(h), '%Y-%m-%d %H:%M:%S') AS ts, 'aa-bb:' || CAST(h AS VARCHAR) AS gtid, 13 + h % 5 AS thread_id, bk AS key_before, ak AS key_after, bp AS price_before, ap AS price_after, CASE WHEN part = 0 AND ty <> 'DELETE' THEN prio END AS priority FROM ev"),
+    "tables",
+)(_log_events)
+query(
+    "s06_log_transactions",
+    chain("SELECT case_id, " + FILE.format("f") + " AS source_file, min(pos) - 2 AS start_position, CASE WHEN h % 11 <> 3 AND h % 17 = 5 THEN NULL ELSE max(pos) + 8 END AS end_position, CASE WHEN h % 11 = 3 THEN 'rolled_back' WHEN h % 17 = 5 THEN 'incomplete' ELSE 'committed' END AS status, 'aa-bb:' || CAST(h AS VARCHAR) AS gtid, CASE WHEN h % 11 <> 3 AND h % 17 <> 5 THEN h END AS xid, 13 + h % 5 AS thread_id, count(DISTINCT pos) AS positions FROM ev GROUP BY case_id, f, h"),
+    "tables",
+)(lambda s, d: (lambda n, e: _place(text.transaction_markers(n, e), "start_position", F.when(F.col("status") != "incomplete", F.col("end_position")).alias("end_position"), "status", "gtid", "xid", "thread_id", F.size("event_positions").cast("long").alias("positions")))(*_read_back(s, d)))
+
+
+def _dumped(s, d: str) -> DataFrame:
+    path = f"{shared_dir(s)}/ledgerline/{uuid.uuid4().hex}"
+    lines = render.snapshot_dump(derive(s, d).snapshot)
+    render.write_pieces(lines.withColumn("log", F.concat_ws("-", "case_id", F.when(F.col("is_deleted"), "deleted").otherwise("live"))), path, ["snapshot_ord"])
+    read = text.read_lines(s, path, in_pieces=True)
+    return text.snapshot_inserts(read.filter("file like '%-live'"))[0].unionByName(text.snapshot_inserts(read.filter("file like '%-deleted'"), deleted=True)[0])
+
+
+query("s08_snapshot_rows", chain("SELECT case_id, 'shop' AS \"database\", 'orders' AS \"table\", del AS is_deleted, sk AS pk, price, prio AS priority, CASE WHEN broken THEN NULL ELSE status END AS status, row_number() OVER (PARTITION BY case_id, del ORDER BY so) AS line FROM sn"), "tables")(
+    lambda s, d: _dumped(s, d).select(F.substring_index("file", "-", 1).alias("case_id"), "database", "table", "is_deleted", F.col("values")["o_orderkey"]["text"].cast("long").alias("pk"), F.col("values")["price_cents"]["text"].cast("long").alias("price"), F.col("values")["o_orderpriority"]["text"].alias("priority"), F.when(F.col("values")["o_orderstatus"]["kind"] == "str", F.col("values")["o_orderstatus"]["text"]).alias("status"), F.col("snapshot_ord").alias("line"))
+)

@@ -11,12 +11,15 @@ from ..functions.values import basename, literal, value
 LIST_ITEM = r"""\s*('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|[^,]+?)\s*(?:,|$)"""
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, in_pieces: bool = False) -> DataFrame:
     """(file, chunk, line_no, line): lines of text files. A chunk is a split of a file, so one file of any size is read by many tasks.
 
     Lines are numbered within their chunk; how many lines stand before a chunk is the sum over the chunks before it.
+    in_pieces: each folder holds one log in pieces, files in order of their names, and gives the log its name.
     """
-    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("chunk"), F.monotonically_increasing_id().alias("id_"))
+    name = F.substring_index(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "=", -1) if in_pieces else F.col("_metadata.file_name")
+    chunk = F.concat_ws("@", F.when(F.lit(in_pieces), F.col("_metadata.file_name")), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    rows = spark.read.text(f"{path}/*" if in_pieces else path).select(F.col("value").alias("line"), name.alias("file"), chunk.alias("chunk"), F.monotonically_increasing_id().alias("id_"))
     earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ahead = rows.groupBy("file", "chunk").agg(F.count("*").alias("n_")).select("file", "chunk", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("ahead_"))
     placed = rows.withColumn("at_", F.row_number().over(Window.partitionBy("file", "chunk").orderBy("id_")))
