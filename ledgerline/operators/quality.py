@@ -65,3 +65,29 @@ def provenance_coverage(states: DataFrame) -> DataFrame:
 def count_mismatch(counted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Row counts that differ from a manifest's."""
     return expected.withColumnRenamed("n", "want").join(counted, keys, "full_outer").filter(~F.col("n").eqNullSafe(F.col("want"))).select(*keys, "want", "n")
+
+
+def scored(expected: DataFrame, field_verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """Verdicts against what is allowed for each field: one row of counts.
+
+    expected: (keys, allowed array). A field without a verdict counts as missing and in nothing else. A false alarm is a
+    conflict that is not allowed, a missed one the only allowed answer not given; inconclusive is Unresolved where only
+    agreement is allowed, wrongly unsupported is Unsupported where that is not allowed.
+    """
+    met = expected.join(field_verdicts.select(*keys, "result"), keys, "left")
+    given, may = F.col("result"), lambda x: F.array_contains("allowed", x)
+    only = (F.size("allowed") == 1) & may("Conflicting")
+    agreeing = F.size(F.array_except("allowed", F.array(F.lit("Exact"), F.lit("Strong")))) == 0
+    n = lambda cond, name: F.count_if(F.coalesce(cond, F.lit(False))).alias(name)
+    return met.agg(
+        F.count("*").alias("expected"), n(given.isNull(), "missing"), n(F.array_contains("allowed", given), "right_"), n((given == "Conflicting") & ~may("Conflicting"), "false_alarms"), n(only, "conflicts_expected"),
+        n(only & given.isNotNull() & (given != "Conflicting"), "missed_conflicts"), n((given == "Unresolved") & agreeing, "inconclusive"), n((given == "Unsupported") & ~may("Unsupported"), "wrongly_unsupported"),
+    )
+
+
+def profiles(events: DataFrame, markers: DataFrame, findings: DataFrame) -> DataFrame:
+    """(case_id, section, value, n): events, distinct positions, markers by status, findings by severity."""
+    count = lambda df, section, value: df.groupBy("case_id", F.lit(section).alias("section"), value.alias("value")).agg(F.count("*").alias("n"))
+    none = F.lit("")
+    positions = events.select("case_id", "source_file", "log_position").distinct()
+    return count(events, "events", none).unionByName(count(positions, "positions", none)).unionByName(count(markers, "markers", F.col("status"))).unionByName(count(findings, "findings", F.col("severity")))

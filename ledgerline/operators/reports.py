@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import digest
+from ..functions.values import basename, digest
 from .identity import RECORD
+from .provenance import as_of
 from .reconcile import SEVERITY
 
 
@@ -104,3 +107,57 @@ def ordered_pool(df: DataFrame, column: str) -> DataFrame:
     sizes = ranked.groupBy("p").agg(F.max("n").alias("size"))
     before = sizes.select("p", (F.sum("size").over(Window.orderBy("p")) - F.col("size")).alias("before"))
     return ranked.join(before, "p").select((F.col("before") + F.col("n") - 1).cast("long").alias("ordinal"), "id", "payload")
+
+
+#: Severities as they are listed, the gravest first.
+RANKS = ("warning", "notice", "info")
+
+
+def ranked_groups(findings: DataFrame, decoded: DataFrame) -> DataFrame:
+    """(case_id, rule_id, severity, rank, occurrences, subjects, runs): described findings by rule and severity, with the runs that
+    decoded the files their context names.
+
+    decoded: provenance.run_of(runs). A group's runs are few, as a file was decoded a few times.
+    """
+    held = lambda key: F.when(F.col("context")[key] != "", F.col("context")[key])
+    run = as_of(F.col("decoded"), F.coalesce(held("log_position").cast("long"), F.lit(0)))
+    placed = findings.withColumn("file", basename(held("source_file"))).join(decoded, ["case_id", "file"], "left").withColumn("run_", run)
+    rank = F.array_position(F.array(*[F.lit(x) for x in RANKS]), F.col("severity")).cast("int")
+    return placed.groupBy("case_id", "rule_id", "severity").agg(rank.alias("rank"), F.count("*").alias("occurrences"), F.countDistinct("subject").alias("subjects"), F.array_join(F.array_sort(F.collect_set("run_")), ", ").alias("runs"))
+
+
+def history_counts(records: DataFrame) -> DataFrame:
+    """(case_id, database, table, histories, contradicted, partial) of reconstructed records."""
+    return records.groupBy("case_id", "database", "table").agg(F.count("*").alias("histories"), F.count_if("contradicted").alias("contradicted"), F.count_if(F.size("partial") > 0).alias("partial"))
+
+
+def case_preview(catalog: DataFrame, health: DataFrame, log_files: DataFrame, transactions: DataFrame, record_verdicts: DataFrame, field_verdicts: DataFrame) -> DataFrame:
+    """One row for each case: what it holds and how it came out. Each table is one aggregate; they meet on case_id."""
+    agg = lambda df, *what: df.groupBy("case_id").agg(*what)
+    parts = [
+        agg(catalog, F.countDistinct("database", "table").alias("tables"), F.count("*").alias("columns")),
+        agg(health, F.count_if(F.col("status") == "valid").alias("verified"), F.sum("total_pages").alias("pages"), F.sum("damaged_pages").alias("damaged")),
+        agg(log_files, F.count_if(~F.col("present")).alias("missing_logs")),
+        agg(transactions, F.count("*").alias("transactions")),
+        agg(record_verdicts, F.count("*").alias("records")),
+        agg(field_verdicts, F.count_if(F.col("result") == "Exact").alias("exact"), F.count_if(F.col("result") == "Unresolved").alias("unresolved")),
+    ]
+    return reduce(lambda a, b: a.join(b, "case_id", "full_outer"), parts).na.fill(0)
+
+
+def listings(snapshot: DataFrame, transactions: DataFrame, health: DataFrame, findings: DataFrame) -> DataFrame:
+    """(case_id, listing, bucket, identity): deleted rows by table, incomplete transactions by reason, damaged tables by
+    status, findings by rule."""
+    table = F.concat_ws(".", "database", "table")
+    part = lambda df, name, bucket, identity: df.select("case_id", F.lit(name).alias("listing"), bucket.alias("bucket"), identity.cast("string").alias("identity"))
+    return (
+        part(snapshot.filter("is_deleted"), "deleted", table, F.col("snapshot_ord"))
+        .unionByName(part(transactions.filter("status = 'incomplete'"), "incomplete", F.col("reason"), F.col("tx_id")))
+        .unionByName(part(health.filter("status <> 'valid'"), "damaged", F.col("status"), table))
+        .unionByName(part(findings, "finding", F.col("rule_id"), F.col("subject")))
+    )
+
+
+def unselected_catalogs(catalog: DataFrame, selected: DataFrame) -> DataFrame:
+    """catalog_summary of the tables that selected (case_id, database, table) does not name."""
+    return catalog_summary(catalog.join(selected.select("case_id", "database", "table").distinct(), ["case_id", "database", "table"], "left_anti"))

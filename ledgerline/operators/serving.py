@@ -87,3 +87,30 @@ def screen_index(transactions: DataFrame, steps: DataFrame, field_verdicts: Data
         screen_items(record_verdicts, "reconciliation", "reconciliation", by_key, name, F.col("result"), record, label=F.col("label")),
     ]
     return reduce(DataFrame.unionByName, items)
+
+
+def graph_items(records: DataFrame, edges: DataFrame, steps: DataFrame, tx_events: DataFrame, findings: DataFrame) -> DataFrame:
+    """Items that screens ask for when something is opened: records and edges of the graph, histories, the events of each
+    transaction, and findings that are more than information.
+
+    findings: described and distinct. An event's place is the one stored with its transaction; edges are numbered by
+    transaction, record and type, histories and records by key, findings by rule, subject and text.
+    """
+    name = F.concat("table", F.lit(":"), "pk")
+    by_key = [F.col("database"), F.col("table"), key_order(F.col("pk"))]
+    none = F.lit("")
+    method = {"record": name, "method": F.col("method")}
+    counts = steps.groupBy(*RECORD).agg(F.count("*").alias("steps_"))
+    told = records.join(counts, RECORD)
+    edge = {"tx_id": F.col("tx_id"), "record_id": name, "event_type": F.col("event_type")}
+    place = {"source_file": F.col("source_file"), "log_position": F.col("log_position"), "row_index": F.col("row_index")}
+    said = {"rule_id": F.col("rule_id"), "severity": F.col("severity"), "subject": F.col("subject"), "text": F.col("text")}
+    whole = F.to_json(F.struct(*[c.alias(n) for n, c in said.items()]), {"ignoreNullFields": "false"})
+    items = [
+        screen_items(records, "correlation", "graph_records", by_key, name, none, method, candidates=F.col("candidates"), live=F.col("live")),
+        screen_items(edges, "correlation", "graph_edges", [F.col("tx_id"), *by_key, F.col("event_type")], name, F.col("tx_id"), edge),
+        screen_items(told, "reconstruction", "histories", by_key, name, F.col("table"), method | {"step_count": F.col("steps_")}, candidates=F.col("candidates")),
+        screen_items(tx_events, "grouping", "events", F.col("event_order"), F.col("event_order"), F.col("tx_id"), place, event_type=F.col("event_type"), durable=F.col("durable")),
+        screen_items(findings.filter("severity <> 'info'"), "all", "findings", [F.col("rule_id"), F.col("subject"), F.col("text")], F.sha2(whole, 256), F.to_json(F.array("rule_id", "severity")), said),
+    ]
+    return reduce(DataFrame.unionByName, items)

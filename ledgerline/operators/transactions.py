@@ -233,3 +233,9 @@ def coverage(cases: DataFrame, gaps: DataFrame) -> DataFrame:
 def missing_provenance(events: DataFrame, recorded: DataFrame) -> DataFrame:
     """Files with an event that neither carries its provenance nor has one on record (R-PROV-001), once per file."""
     return events.join(recorded.select(*REF), REF, "left_anti").select("case_id", "source_file").distinct().withColumn("rule_id", F.lit("R-PROV-001"))
+
+
+def tables_touched(tx_events: DataFrame, events: DataFrame) -> DataFrame:
+    """(case_id, tx_id, tables): the tables of each transaction's events, in order of their names."""
+    named = events.select(*REF, F.concat_ws(".", "database", "table").alias("table_"))
+    return tx_events.select(*REF, "tx_id").join(named, REF).groupBy("case_id", "tx_id").agg(F.array_sort(F.collect_set("table_")).alias("tables"))

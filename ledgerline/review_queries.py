@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import rules, values
-from .operators import export, groups, identity, provenance, redaction, summary, transactions
-from .oracle import CATALOGUE, FOUND, chain
+from .operators import export, groups, history, identity, provenance, quality, redaction, reports, serving, summary, transactions
+from .oracle import CATALOGUE, FOUND, STEPS, chain
 from .plans import stale
 from .plans.analysis import Analysis, analyse
-from .plans.change_log import Case, derive
-from .queries import FILE, query, rec
+from .plans.change_log import Case, base, derive
+from .queries import FILE, analysis_of, query, read, rec
+from .queries import _catalogs as catalogs
 from .sources import render, text
 from .sources.tables import shared_dir
 
@@ -310,3 +311,97 @@ def _dumped(s, d: str) -> DataFrame:
 query("s08_snapshot_rows", chain("SELECT case_id, 'shop' AS \"database\", 'orders' AS \"table\", del AS is_deleted, sk AS pk, price, prio AS priority, CASE WHEN broken THEN NULL ELSE status END AS status, row_number() OVER (PARTITION BY case_id, del ORDER BY so) AS line FROM sn"), "tables")(
     lambda s, d: _dumped(s, d).select(F.substring_index("file", "-", 1).alias("case_id"), "database", "table", "is_deleted", F.col("values")["o_orderkey"]["text"].cast("long").alias("pk"), F.col("values")["price_cents"]["text"].cast("long").alias("price"), F.col("values")["o_orderpriority"]["text"].alias("priority"), F.when(F.col("values")["o_orderstatus"]["kind"] == "str", F.col("values")["o_orderstatus"]["text"]).alias("status"), F.col("snapshot_ord").alias("line"))
 )
+
+# --- V01, V02, G03, G09, G12, G17, P07, Q02, Q09, S14, T06: the rest of what is shown and counted ------------------------
+
+GRAPH = (
+    PROVENANCE
+    + f""",
+fx AS (SELECT DISTINCT f.case_id, f.rule_id, f.subject, f.text, c.severity FROM ({FOUND}) f JOIN {CATALOGUE} ON c.id = f.rule_id WHERE c.severity <> 'info'),
+fj AS (SELECT *, CAST(json_object('rule_id', rule_id, 'severity', severity, 'subject', subject, 'text', text) AS VARCHAR) AS j FROM fx)
+SELECT case_id, 'correlation' AS stage, 'graph_records' AS kind, row_number() OVER (PARTITION BY case_id ORDER BY key) - 1 AS ordinal, 'orders:' || CAST(key AS VARCHAR) AS identity, '' AS bucket, CAST(json_object('record', 'orders:' || CAST(key AS VARCHAR), 'method', method) AS VARCHAR) AS summary, CAST(json_object('record', 'orders:' || CAST(key AS VARCHAR), 'method', method, 'candidates', cands, 'live', live) AS VARCHAR) AS detail FROM rm
+UNION ALL SELECT case_id, 'correlation', 'graph_edges', row_number() OVER (PARTITION BY case_id ORDER BY tx, key, ty) - 1, 'orders:' || CAST(key AS VARCHAR), tx, CAST(json_object('tx_id', tx, 'record_id', 'orders:' || CAST(key AS VARCHAR), 'event_type', ty) AS VARCHAR), CAST(json_object('tx_id', tx, 'record_id', 'orders:' || CAST(key AS VARCHAR), 'event_type', ty) AS VARCHAR) FROM (SELECT DISTINCT case_id, tx, key, ty FROM rev WHERE tx IS NOT NULL)
+UNION ALL SELECT r.case_id, 'reconstruction', 'histories', row_number() OVER (PARTITION BY r.case_id ORDER BY r.key) - 1, 'orders:' || CAST(r.key AS VARCHAR), 'orders', CAST(json_object('record', 'orders:' || CAST(r.key AS VARCHAR), 'method', r.method, 'step_count', s.n) AS VARCHAR), CAST(json_object('record', 'orders:' || CAST(r.key AS VARCHAR), 'method', r.method, 'step_count', s.n, 'candidates', r.cands) AS VARCHAR) FROM rm r JOIN (SELECT case_id, pk, count(*) AS n FROM ({STEPS}) GROUP BY ALL) s ON s.case_id = r.case_id AND s.pk = CAST(r.key AS VARCHAR)
+UNION ALL SELECT t.case_id, 'grouping', 'events', row_number() OVER w - 1, CAST(row_number() OVER w - 1 AS VARCHAR), t.tx, CAST(json_object('source_file', {FILE.format("t.f")}, 'log_position', t.pos, 'row_index', t.ri) AS VARCHAR), CAST(json_object('source_file', {FILE.format("t.f")}, 'log_position', t.pos, 'row_index', t.ri, 'event_type', e.ty, 'durable', t.dur) AS VARCHAR) FROM tev t JOIN ev e ON e.case_id = t.case_id AND e.f = t.f AND e.pos = t.pos AND e.ri = t.ri WINDOW w AS (PARTITION BY t.case_id, t.tx ORDER BY t.f, t.pos, t.ri)
+UNION ALL SELECT case_id, 'all', 'findings', row_number() OVER (PARTITION BY case_id ORDER BY rule_id, subject, text) - 1, sha256(j), CAST(json_array(rule_id, severity) AS VARCHAR), j, j FROM fj"""
+)
+
+
+def _told(a: Analysis) -> DataFrame:
+    return rules.described(rules.distinct_findings(a.findings))
+
+
+query("v01_graph_items", chain(GRAPH))(
+    lambda a: serving.graph_items(a.correlation.records, identity.edges(a.correlation.record_events), history.all_steps(a.correlation.record_events, a.correlation.records, a.correlation.aliases, a.gaps), a.grouping.tx_events, _told(a))
+)
+query("v02_history_counts_by_table", chain("SELECT rl.case_id, 'shop' AS \"database\", 'orders' AS \"table\", count(*) AS histories, count(con.key) AS contradicted, count(*) FILTER (WHERE part) AS partial FROM rl LEFT JOIN con ON con.case_id = rl.case_id AND con.key = rl.key GROUP BY ALL"))(lambda a: reports.history_counts(a.history.records))
+query(
+    "g03_ranked_groups",
+    chain(
+        OBSERVED
+        + ", gs AS (SELECT case_id, rule_id, severity, subject, CASE WHEN file = 'log.000007' THEN NULL ELSE CAST(regexp_extract(file, '([0-9]+)$', 1) AS INTEGER) END AS gf, coalesce(lp, 0) AS gp FROM fn) SELECT case_id, rule_id, severity, CAST(list_position(['warning', 'notice', 'info'], severity) AS INTEGER) AS rank, count(*) AS occurrences, count(DISTINCT subject) AS subjects, coalesce(string_agg(DISTINCT "
+        + "CASE WHEN gf IS NOT NULL THEN " + RUN.format("gf", "gp") + " END, ', ' ORDER BY CASE WHEN gf IS NOT NULL THEN " + RUN.format("gf", "gp") + " END), '') AS runs FROM gs WHERE severity <> 'info' GROUP BY ALL"
+    ),
+    "both",
+)(lambda c, a: reports.ranked_groups(_told(a).filter("severity <> 'info'"), provenance.run_of(_runs(c))))
+query(
+    "g12_case_metrics",
+    chain("SELECT r.case_id, 1 AS tables, 5 AS columns, 1 AS verified, 7 AS pages, 0 AS damaged, CASE WHEN r.case_id = 'B' THEN 1 ELSE 0 END AS missing_logs, (SELECT count(*) FROM mkn m WHERE m.case_id = r.case_id) + (SELECT count(*) FROM syn s WHERE s.case_id = r.case_id) AS transactions, count(*) AS records, (SELECT count(*) FROM vr v WHERE v.case_id = r.case_id AND v.res = 'Exact') AS exact, (SELECT count(*) FROM vr v WHERE v.case_id = r.case_id AND v.res = 'Unresolved') AS unresolved FROM rolled r GROUP BY r.case_id"),
+    "both",
+)(lambda c, a: reports.case_preview(c.catalog, c.health, c.log_files, a.grouping.transactions, a.record_verdicts, a.field_verdicts))
+query(
+    "p07_listings",
+    chain(
+        OBSERVED
+        + ", tx AS (SELECT m.case_id, m.tx, CASE WHEN c.n IS NULL THEN 'marker_without_events' ELSE 'log_file_missing_in_sequence' END AS reason FROM mkn m LEFT JOIN (SELECT case_id, mh, count(*) AS n FROM cl GROUP BY ALL) c ON c.case_id = m.case_id AND c.mh = m.h WHERE m.st = 'incomplete' UNION ALL SELECT case_id, 'TX-SYNTH-00000' || CAST(f AS VARCHAR) || '@' || CAST(s AS VARCHAR), 'events_without_begin' FROM syn)"
+        " SELECT case_id, 'deleted' AS listing, 'shop.orders' AS bucket, CAST(so AS VARCHAR) AS identity FROM sn WHERE del UNION ALL SELECT case_id, 'incomplete', reason, tx FROM tx UNION ALL SELECT DISTINCT case_id, 'damaged', 'damaged', 'shop.orders' FROM sn WHERE case_id = 'B' UNION ALL SELECT case_id, 'finding', rule_id, subject FROM fn WHERE severity <> 'info'"
+    ),
+    "both",
+)(lambda c, a: reports.listings(c.snapshot, a.grouping.transactions, c.health.withColumn("status", F.when(F.col("case_id") == "B", "damaged").otherwise(F.col("status"))), _told(a).filter("severity <> 'info'")))
+
+
+def _expected(s, d: str) -> DataFrame:
+    """What the orders say of each record's price and status: where the snapshot was made to differ, and where it is broken."""
+    agree = F.array(F.lit("Exact"), F.lit("Strong"))
+    k = F.col("k")
+    price = F.struct(F.lit("price_cents").alias("column"), F.when(k % 29 == 0, F.array(F.lit("Conflicting"))).otherwise(agree).alias("allowed"))
+    state = F.struct(F.lit("o_orderstatus").alias("column"), F.when(k % 47 == 0, F.array(F.lit("Unsupported"))).otherwise(agree).alias("allowed"))
+    return base(s, d).select("case_id", k.cast("string").alias("pk"), F.explode(F.array(price, state)).alias("x")).select("case_id", "pk", "x.*")
+
+
+_ALLOWED = "SELECT case_id, k, 'price_cents' AS col, CASE WHEN k % 29 = 0 THEN ['Conflicting'] ELSE ['Exact', 'Strong'] END AS allowed FROM o2 UNION ALL SELECT case_id, k, 'o_orderstatus', CASE WHEN k % 47 = 0 THEN ['Unsupported'] ELSE ['Exact', 'Strong'] END FROM o2"
+query(
+    "q02_scored_against_orders",
+    chain(
+        f", ex AS ({_ALLOWED}), me AS (SELECT e.*, v.res FROM ex e LEFT JOIN vr v ON v.case_id = e.case_id AND v.key = e.k AND v.col = e.col) SELECT count(*) AS expected, count(*) FILTER (WHERE res IS NULL) AS missing, count(*) FILTER (WHERE list_contains(allowed, res)) AS right_, count(*) FILTER (WHERE res = 'Conflicting' AND NOT list_contains(allowed, 'Conflicting')) AS false_alarms, count(*) FILTER (WHERE allowed = ['Conflicting']) AS conflicts_expected,"
+        " count(*) FILTER (WHERE allowed = ['Conflicting'] AND res <> 'Conflicting') AS missed_conflicts, count(*) FILTER (WHERE res = 'Unresolved' AND allowed = ['Exact', 'Strong']) AS inconclusive, count(*) FILTER (WHERE res = 'Unsupported' AND NOT list_contains(allowed, 'Unsupported')) AS wrongly_unsupported FROM me"
+    ),
+    "tables",
+)(lambda s, d: quality.scored(_expected(s, d), analysis_of(s, d).field_verdicts, ["case_id", "pk", "column"]))
+query(
+    "q09_profiles",
+    chain(OBSERVED + "SELECT case_id, 'events' AS section, '' AS value, count(*) AS n FROM ev GROUP BY ALL UNION ALL SELECT case_id, 'positions', '', count(DISTINCT (f, pos)) FROM ev GROUP BY ALL UNION ALL SELECT case_id, 'markers', st, count(*) FROM mk GROUP BY ALL UNION ALL SELECT case_id, 'findings', severity, count(*) FROM fn WHERE severity <> 'info' GROUP BY ALL"),
+    "both",
+)(lambda c, a: quality.profiles(a.grouping.events, c.markers, _told(a).filter("severity <> 'info'")))
+query("t06_tables_touched", chain("SELECT case_id, tx AS tx_id, string_agg(DISTINCT 'shop.t' || CAST(pos // 100 % 3 AS VARCHAR), ', ' ORDER BY 'shop.t' || CAST(pos // 100 % 3 AS VARCHAR)) AS tables FROM tev GROUP BY ALL"))(
+    lambda a: transactions.tables_touched(a.grouping.tx_events, a.grouping.events.withColumn("table", F.concat(F.lit("t"), (F.floor(F.col("log_position") / 100) % 3).cast("string")))).select("case_id", "tx_id", F.array_join("tables", ", ").alias("tables"))
+)
+
+
+def _inventory(s, d: str) -> DataFrame:
+    """Files listed by items of orders against files found, which items of large quantity stand for."""
+    items = read(s, d, "lineitem").join(read(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    name = lambda folder, at: F.concat(F.lit(folder), F.lit("log."), F.col("l_orderkey").cast("string"), F.lit("-"), at.cast("string")).alias("file")
+    case_id = F.col("o_custkey").cast("string").alias("case_id")
+    return text.inventory(items.select(case_id, name("/var/log/", F.floor(F.col("l_linenumber") / 2))), items.filter("l_quantity > 25").select(case_id, name("C:\\evidence\\", F.floor((F.col("l_linenumber") + 1) / 2))))
+
+
+query(
+    "s14_inventory",
+    "WITH it AS (SELECT CAST(o_custkey AS VARCHAR) AS case_id, 'log.' || CAST(l_orderkey AS VARCHAR) || '-' AS b, l_linenumber AS n, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey), l AS (SELECT DISTINCT case_id, b || CAST(n // 2 AS VARCHAR) AS file FROM it), p AS (SELECT DISTINCT case_id, b || CAST((n + 1) // 2 AS VARCHAR) AS file FROM it WHERE q > 25)"
+    " SELECT coalesce(l.case_id, p.case_id) AS case_id, coalesce(l.file, p.file) AS file, CASE WHEN p.file IS NULL THEN 'missing' WHEN l.file IS NULL THEN 'unlisted' ELSE 'present' END AS status FROM l FULL JOIN p ON p.case_id = l.case_id AND p.file = l.file",
+    "tables",
+)(_inventory)
+query("g17_unselected_catalogs", "SELECT CAST(l_orderkey AS VARCHAR) AS case_id, count(*) AS columns, coalesce(string_agg('c1', ',') FILTER (WHERE l_linenumber = 1), '') AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey", "tables")(
+    lambda s, d: reports.unselected_catalogs(catalogs(s, d), read(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("case_id"), F.lit("shop").alias("database"), F.lit("items").alias("table"))).select("case_id", "columns", "key")
+)

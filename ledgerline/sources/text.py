@@ -183,6 +183,14 @@ def log_index(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, files.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def inventory(listed: DataFrame, present: DataFrame, by: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """(by, file, status): every file of the server's list or the evidence by its base name, once: present, missing (listed, not
+    there) or unlisted."""
+    name = lambda df: df.select(*by, basename(F.col("file")).alias("file")).distinct()
+    both = name(listed).withColumn("l_", F.lit(True)).join(name(present).withColumn("p_", F.lit(True)), [*by, "file"], "full_outer")
+    return both.select(*by, "file", F.when(F.col("p_").isNull(), "missing").when(F.col("l_").isNull(), "unlisted").otherwise("present").alias("status"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, kind, size, sha256) of files in a folder; a file is one row, so files past 2 GB cannot be read this way."""
     kind = F.when(F.col("file").rlike(r"\.ibd$"), "tablespace").when(F.col("file").rlike(r"\.index$"), "log_index").when(F.col("file").rlike(r"\.\d+$"), "log").otherwise("other")
