@@ -2,7 +2,8 @@
 
 Two windows of LENGTH equal bytes have the same anchor: the least hash of GRAM bytes in them. Windows are therefore
 dealt to suffix buckets by their anchor, a run of windows with one anchor as one piece of text, and each bucket is
-sorted alone, in memory that grows with its commonest anchor. In a bucket the strings at a difference cover's positions (residues 0 and 1 modulo 3)
+sorted alone. Windows of an anchor that very many others share are dealt on by a second key that equal windows share, the
+fingerprint of the whole window, so no anchor fills a task. In a bucket the strings at a difference cover's positions (residues 0 and 1 modulo 3)
 are ranked first. Any two windows have an offset of two bytes at most at which both meet the cover, so a window
 is sorted by that rank and the one or two bytes the ranked string leaves out, never by comparing long ties.
 Windows next to each other with equal keys are repeats.
@@ -26,6 +27,9 @@ GRAM = 16
 #: Bytes of text a map step works on at once, and bytes of pieces a bucket should hold.
 PIECE_BYTES = 3 << 19
 BUCKET_BYTES = 5 << 20
+#: Windows of one anchor from which they are dealt on, of one bucket from which it is sorted by fingerprints alone, anchors at most that
+#: are dealt on (the most common ones, by a share of all texts; others are sorted where they are, whatever their number).
+HOT_WINDOWS, LARGE_BUCKET, HOT_ANCHORS, SHARE = 1 << 20, 1 << 22, 1 << 20, 16
 #: The cover: residues modulo 3 whose differences are all residues.
 COVER, MODULUS = (0, 1), 3
 _BASE = 0xD6E8FEB86659FD93
@@ -124,8 +128,9 @@ def _unpack(blob: bytes, squeeze: Squeeze) -> tuple[np.ndarray, ...]:
     return rid, pos, windows, gram, np.frombuffer(data, np.uint8, size, 16 + 24 * n)
 
 
-def _deal(batches: Iterator[pd.DataFrame], buckets: int, length: int, sample: bytes) -> Iterator[pd.DataFrame]:
-    """Pieces by bucket, and the spans that already repeat within what this step reads (bucket's kind 1)."""
+def _steps(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list[bytes], np.ndarray, int]]:
+    """(texts, rids, shift) of some MB at a time. One very long text comes in overlapping parts, so that a place fits its 24 bits;
+    shift is where the part begins."""
     for batch in batches:
         data = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
         rids = batch["rid"].to_numpy(np.int64)
@@ -135,29 +140,50 @@ def _deal(batches: Iterator[pd.DataFrame], buckets: int, length: int, sample: by
             while end < len(data) and (end == at or size + len(data[end]) <= PIECE_BYTES):
                 size += len(data[end])
                 end += 1
-            yield from _deal_piece(data[at:end], rids[at:end], buckets, length, _squeeze(sample))
+            if size >= 1 << 23:
+                for i in range(0, size - length + 1, 1 << 22):
+                    yield [data[at][i : i + (1 << 22) + length - 1]], rids[at:end], i
+            elif max(map(len, data[at:end])) >= length:
+                yield data[at:end], rids[at:end], 0
             at = end
 
 
-def _deal_piece(data: list[bytes], rids: np.ndarray, buckets: int, length: int, squeeze: Squeeze) -> Iterator[pd.DataFrame]:
+def _anchors(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """(gram, n): anchors with their windows, summed up for each step."""
+    for data, _, _ in _steps(batches, length):
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        _, count, gram, _ = _runs(raw, np.cumsum(sizes) - sizes, sizes, Prints(raw), length)
+        value, inverse = np.unique(gram, return_inverse=True)
+        n = np.bincount(inverse, weights=count).astype(np.int64)
+        often = n > length  # an anchor of many windows has some in most steps that hold it
+        yield pd.DataFrame({"gram": value[often].view(np.int64), "n": n[often]})
+
+
+def _deal(batches: Iterator[pd.DataFrame], buckets: int, hot: np.ndarray, hot_buckets: int, length: int, sample: bytes) -> Iterator[pd.DataFrame]:
+    """Pieces by bucket (kind 0), the spans that already repeat within what a step reads (kind 1), and windows of hot anchors by
+    their own fingerprints (kind 2) in buckets behind the others."""
+    for data, rids, shift in _steps(batches, length):
+        yield _deal_piece(data, rids, buckets, hot, hot_buckets, length, _squeeze(sample)).assign(shift=shift)
+
+
+def _deal_piece(data: list[bytes], rids: np.ndarray, buckets: int, hot: np.ndarray, hot_buckets: int, length: int, squeeze: Squeeze) -> pd.DataFrame:
     sizes = np.fromiter(map(len, data), np.int64, len(data))
-    if not (sizes >= length).any():
-        return
-    if sizes.sum() >= 1 << 23:  # one very long text: overlapping parts, so that a place fits its 24 bits
-        whole, step = data[0], 1 << 22
-        for i in range(0, len(whole) - length + 1, step):
-            for out in _deal_piece([whole[i : i + step + length - 1]], rids, buckets, length, squeeze):
-                yield out.assign(shift=i)
-        return
     raw = np.frombuffer(b"".join(data), np.uint8)
     starts = np.cumsum(sizes) - sizes
     prints = Prints(raw)
     at, count, gram, owner = _runs(raw, starts, sizes, prints, length)
     pos = (at - starts[owner]).astype(np.int32)
+    rows: list[tuple[int, int, bytes]] = []
+    if len(hot):
+        apart = np.isin(gram, hot)
+        rows += _deal_windows(at[apart], count[apart], rids[owner[apart]], pos[apart], prints, buckets, hot_buckets, length, squeeze)
+        at, count, gram, owner, pos = (c[~apart] for c in (at, count, gram, owner, pos))
+    if not len(at):
+        return pd.DataFrame(rows, columns=["bucket", "kind", "payload"])
     content = prints.of(at, count + length - 1) + count.astype(np.uint64) * _MIX
     _, first, inverse, n = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
     many = n[inverse] > 1
-    rows: list[tuple[int, int, bytes]] = []
     if many.any():
         spans = np.stack([rids[owner[many]], pos[many].astype(np.int64), pos[many] + count[many] + length - 1]).astype(np.int64)
         rows.append((int(gram[0] % np.uint64(buckets)), 1, squeeze.pack(spans.tobytes())))
@@ -170,13 +196,60 @@ def _deal_piece(data: list[bytes], rids: np.ndarray, buckets: int, length: int,
         # a piece that repeats here needs no answer, which a rid of -1 says
         rid = np.where(many[k], -1, rids[owner[k]])
         rows.append((int(bucket[low]), 0, _pack(raw[_spread(at[k], count[k] + length - 1)], squeeze, rid=rid, pos=pos[k], windows=count[k].astype(np.int32), gram=gram[k])))
-    yield pd.DataFrame(rows, columns=["bucket", "kind", "payload"]).assign(shift=0)
+    return pd.DataFrame(rows, columns=["bucket", "kind", "payload"])
+
+
+def _deal_windows(at: np.ndarray, count: np.ndarray, rids: np.ndarray, pos: np.ndarray, prints: Prints, buckets: int, hot_buckets: int, length: int, squeeze: Squeeze) -> list[tuple[int, int, bytes]]:
+    """Windows one by one. Those that repeat within the step are answered, and one of them goes on, to answer others."""
+    if not len(at):
+        return []
+    window = prints.of(_spread(at, count), length)
+    rid = np.repeat(rids, count)
+    place = _spread(pos.astype(np.int64), count)
+    _, first, inverse, n = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
+    many = n[inverse] > 1
+    rows = []
+    if many.any():
+        rows.append((buckets + int(window[0] % np.uint64(hot_buckets)), 1, squeeze.pack(np.stack(_joined(rid[many], place[many], length)).tobytes())))
+    bucket = (window[first] % np.uint64(hot_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    kept, bucket = first[order], bucket[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        k = kept[low:high]
+        rows.append((buckets + int(bucket[low]), 2, squeeze.pack(np.stack([window[k].view(np.int64), np.where(many[k], -1, rid[k]), place[k]]).tobytes())))
+    return rows
+
+
+def _joined(rid: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(rid, start, end) of spans that windows next to each other make up."""
+    order = np.lexsort((place, rid))
+    rid, place = rid[order], place[order]
+    new = np.concatenate([[True], (np.diff(rid) != 0) | (np.diff(place) > 1)])
+    low = np.flatnonzero(new)
+    high = np.concatenate([low[1:], [len(rid)]]) - 1
+    return rid[low], place[low], place[high] + length
+
+
+def _equal(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    twice = np.zeros(len(keys), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return twice
 
 
 def repeats(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(window's piece, window's offset in it) of all windows of the pieces that occur more than once among them."""
     prints = Prints(raw)
     sizes = windows.astype(np.int64) + length - 1
+    if windows.sum() > LARGE_BUCKET:
+        at = _spread(starts, windows)
+        hit = np.flatnonzero(_equal(prints.of(at, length)))
+        piece = np.repeat(np.arange(len(starts)), windows)[hit]
+        return piece, at[hit] - starts[piece]
     ranked = length - MODULUS + 1
     # cover sample: ranks of the strings at positions of the cover
     span = _spread(starts, sizes - ranked + 1)
@@ -198,7 +271,6 @@ def repeats(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray, pos: np.nd
         two = np.where(d >= 2, raw64[at + 1], raw64[at + length - 1])
         key = rank[at + d] << np.uint64(18) | d.astype(np.uint64) << np.uint64(16) | one << np.uint64(8) | two
         keys.append(key << bits | np.arange(len(at), dtype=np.uint64))
-    assert len(values) < 1 << (46 - int(bits)), "a bucket is too large"
     key = np.sort(np.concatenate(keys))
     same = (key[1:] >> bits) == (key[:-1] >> bits)
     index = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -210,11 +282,14 @@ def repeats(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray, pos: np.nd
 
 
 def _sort_bucket(rows: pd.DataFrame, length: int, sample: bytes) -> pd.DataFrame:
-    found, parts, squeeze = [], [], _squeeze(sample)
+    found, parts, alone, squeeze = [], [], [], _squeeze(sample)
     for kind, shift, payload in zip(rows["kind"], rows["shift"], rows["payload"], strict=True):
         if kind == 1:
             rid, start, end = np.frombuffer(squeeze.unpack(payload), np.int64).reshape(3, -1)
             found.append((rid, start + shift, end + shift))
+        elif kind == 2:
+            window, rid, place = np.frombuffer(squeeze.unpack(payload), np.int64).reshape(3, -1)
+            alone.append((window, rid, place + shift))
         else:
             rid, pos, windows, gram, raw = _unpack(payload, squeeze)
             parts.append((rid, pos.astype(np.int64) + shift, windows.astype(np.int64), gram, raw))
@@ -236,6 +311,11 @@ def _sort_bucket(rows: pd.DataFrame, length: int, sample: bytes) -> pd.DataFrame
                 low = np.flatnonzero(new)
                 high = np.concatenate([low[1:], [len(piece)]]) - 1
                 found.append((rid[piece[low]], pos[piece[low]] + offset[low], pos[piece[low]] + offset[high] + length))
+    if alone:
+        window, rid, place = (np.concatenate([a[k] for a in alone]) for k in range(3))
+        hit = _equal(window) & (rid >= 0)
+        if hit.any():
+            found.append(_joined(rid[hit], place[hit], length))
     out = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
     return pd.DataFrame({"rid": out[0], "start": out[1], "end": out[2]})
 
@@ -248,16 +328,32 @@ def _sample(docs: DataFrame) -> bytes:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, start, end): byte spans of texts made of strings of so many bytes that also start elsewhere. Spans may overlap.
 
-    docs: rid (unique long), text (never null). Equality is by 64-bit fingerprints within a bucket.
+    docs: rid (unique long), text (never null). Equality is by 64-bit fingerprints within a bucket. Anchors with very many
+    windows are found by a count over a share of the texts before windows are dealt; a bucket that is large all the same is
+    compared by fingerprints alone, so none is too large.
     """
     sample = docs.sparkSession.sparkContext.broadcast(_sample(docs))
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     # a window of 185 grams changes its anchor about every 93 bytes, so pieces hold about 3.2 times the text
     buckets = max(1, int(total * 3.2 / BUCKET_BYTES))
-    dealt = docs.filter(F.octet_length("text") >= length).mapInPandas(lambda it: _deal(it, buckets, length, sample.value), "bucket int, kind int, payload binary, shift long")
+    long = docs.filter(F.octet_length("text") >= length)
+    hot = _hot(long, length)
+    shared = docs.sparkSession.sparkContext.broadcast((sample.value, np.array([h.gram for h in hot], np.int64).view(np.uint64)))
+    hot_buckets = max(1, int(sum(h.n for h in hot) * 24 / BUCKET_BYTES))
+    dealt = long.mapInPandas(lambda it: _deal(it, buckets, shared.value[1], hot_buckets, length, shared.value[0]), "bucket int, kind int, payload binary, shift long")
     return dealt.groupBy("bucket").applyInPandas(lambda rows: _sort_bucket(rows, length, sample.value), "rid long, start long, end long")
 
 
+def _hot(docs: DataFrame, length: int) -> list:
+    """(gram, n): anchors of HOT_WINDOWS windows or more by the count in a share of the texts, the commonest HOT_ANCHORS at most.
+
+    Which anchors are found changes where windows are compared and never what is found.
+    """
+    share = docs.filter(F.pmod(F.xxhash64("rid"), F.lit(SHARE)) == 0)
+    n = (F.sum("n") * SHARE).alias("n")
+    return share.mapInPandas(lambda it: _anchors(it, length), "gram long, n long").groupBy("gram").agg(n).filter(F.col("n") >= HOT_WINDOWS).orderBy(F.desc("n"), "gram").limit(HOT_ANCHORS).collect()
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): one row for each row of docs; spans: maximal removed byte spans; kept: the other bytes.
 

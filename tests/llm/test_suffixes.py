@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from ledgerline.llm import suffixes
@@ -81,3 +82,32 @@ def test_ids_are_stored(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 500), (2, "y")], "doc_id long, text string").write.parquet(path)
     plan = suffixes.dedup(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
     assert "monotonically_increasing_id" not in plan
+
+
+def test_a_common_footer_is_dealt_on(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_WINDOWS", 3000)
+    monkeypatch.setattr(suffixes, "SHARE", 1)
+    seen = []
+    hot = suffixes._hot
+    monkeypatch.setattr(suffixes, "_hot", lambda docs, length: seen.append(hot(docs, length)) or seen[-1])
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghé") for _ in range(n))
+    footer = word(150)
+    texts = [word(rng.randrange(60, 200)) + footer + word(rng.randrange(0, 90)) for _ in range(120)]
+    texts += [texts[3], "more " + texts[4], texts[5][40:] + "!", None, "short"]
+    assert check(spark, texts) > 1000
+    assert seen[0] and all(h.n >= 3000 for h in seen[0])
+
+
+def test_a_large_bucket_is_compared_by_fingerprints(monkeypatch):
+    rng = np.random.default_rng(3)
+    body = rng.integers(0, 3, 4000).astype(np.uint8)
+    body[2000:2300] = body[100:400]
+    raw = np.concatenate([body, body[500:900], rng.integers(0, 250, 800).astype(np.uint8)])
+    sizes = np.array([4000, 400, 800])
+    starts, windows, pos = np.cumsum(sizes) - sizes, sizes - 199, np.array([7, 0, 2])
+    usual = suffixes.repeats(raw, starts, windows, pos, 200)
+    monkeypatch.setattr(suffixes, "LARGE_BUCKET", 10)
+    other = suffixes.repeats(raw, starts, windows, pos, 200)
+    pairs = lambda found: sorted(zip(*map(list, found)))
+    assert pairs(usual) == pairs(other) and len(usual[0]) > 300
