@@ -405,3 +405,39 @@ query(
 query("g17_unselected_catalogs", "SELECT CAST(l_orderkey AS VARCHAR) AS case_id, count(*) AS columns, coalesce(string_agg('c1', ',') FILTER (WHERE l_linenumber = 1), '') AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey", "tables")(
     lambda s, d: reports.unselected_catalogs(catalogs(s, d), read(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("case_id"), F.lit("shop").alias("database"), F.lit("items").alias("table"))).select("case_id", "columns", "key")
 )
+
+# --- G04, G10, Q03, Q07 over findings, runs and verdicts -----------------------------------------------------------------
+
+
+def _entries(c: Case, a: Analysis) -> DataFrame:
+    """Findings that are more than information with the run that decoded the file they name."""
+    held = lambda key: F.when(F.col("context")[key] != "", F.col("context")[key])
+    named = _told(a).filter("severity <> 'info'").withColumns({"source_file": F.coalesce(held("source_file"), F.lit("")), "log_position": F.coalesce(held("log_position").cast("long"), F.lit(0))})
+    return provenance.event_runs(named.drop("context"), _runs(c))
+
+
+query(
+    "g04_finding_entries",
+    chain(OBSERVED + ", gs AS (SELECT case_id, rule_id, coalesce(file, '') AS source_file, CASE WHEN file IS NULL OR file = 'log.000007' THEN NULL ELSE " + RUN.format("CAST(regexp_extract(file, '([0-9]+)$', 1) AS INTEGER)", "coalesce(lp, 0)") + " END AS run_id FROM fn WHERE severity <> 'info') SELECT case_id, rule_id, source_file, run_id, count(*) AS entries FROM gs GROUP BY ALL"),
+    "both",
+)(lambda c, a: _entries(c, a).groupBy("case_id", "rule_id", "source_file", "run_id").agg(F.count("*").alias("entries")))
+query(
+    "g10_runs_by_status",
+    chain("SELECT case_id, run_id, rs AS status, count(*) AS events, min(pos) AS first_position, max(pos) AS last_position FROM (SELECT case_id, pos, " + RUN.format("f", "pos") + " AS run_id, CASE WHEN f <> 3 THEN 'ok' END AS rs FROM ev) GROUP BY ALL"),
+    "both",
+)(lambda c, a: provenance.event_runs(a.grouping.events, _runs(c)).join(_runs(c).select("case_id", "run_id", "status"), ["case_id", "run_id"], "left").groupBy("case_id", "run_id", "status").agg(F.count("*").alias("events"), F.min("log_position").alias("first_position"), F.max("log_position").alias("last_position")))
+query(
+    "q03_transaction_accuracy",
+    chain("SELECT count(*) FILTER (WHERE x.tx IS NOT NULL) AS right_, 0 AS wrong, 0 AS missing, (SELECT count(*) FROM syn) AS \"unexpected\" FROM mkn x"),
+    "both",
+)(lambda c, a: quality.accuracy(transactions.named(c.markers).select("case_id", "tx_id", "status"), a.grouping.transactions.select("case_id", "tx_id", "status"), ["case_id", "tx_id"], "status"))
+query(
+    "q03_verdict_accuracy",
+    chain("SELECT count(*) FILTER (WHERE v.res = 'Conflicting') AS right_, count(*) FILTER (WHERE v.res <> 'Conflicting') AS wrong, count(*) FILTER (WHERE v.res IS NULL) AS missing, (SELECT count(*) FROM vr WHERE col = 'price_cents' AND key NOT IN (SELECT k FROM o2 WHERE o2.case_id = vr.case_id AND k % 29 = 0)) AS \"unexpected\" FROM o2 LEFT JOIN vr v ON v.case_id = o2.case_id AND v.key = o2.k AND v.col = 'price_cents' WHERE k % 29 = 0"),
+    "tables",
+)(lambda s, d: quality.accuracy(base(s, d).filter("k % 29 = 0").select("case_id", F.col("k").cast("string").alias("pk"), F.lit("Conflicting").alias("result")), analysis_of(s, d).field_verdicts.filter("column = 'price_cents'").select("case_id", "pk", "result"), ["case_id", "pk"], "result"))
+query(
+    "q07_decoded_counts",
+    chain("SELECT case_id, " + FILE.format("f") + " AS source_file, count(*) AS want, count(*) FILTER (WHERE cp = 0) AS n FROM ev1 GROUP BY case_id, f HAVING count(*) <> count(*) FILTER (WHERE cp = 0)"),
+    "both",
+)(lambda c, a: quality.count_mismatch(a.grouping.events.groupBy("case_id", "source_file").agg(F.count("*").alias("n")), c.events.groupBy("case_id", "source_file").agg(F.count("*").alias("n")), ["case_id", "source_file"]))
