@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import numbered, small_batches, tidy
 
 LENGTH = 200
 GRAM = 16
@@ -158,6 +158,7 @@ def _anchors(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         n = np.bincount(inverse, weights=count).astype(np.int64)
         often = n > length  # an anchor of many windows has some in most steps that hold it
         yield pd.DataFrame({"gram": value[often].view(np.int64), "n": n[often]})
+    tidy()
 
 
 def _deal(batches: Iterator[pd.DataFrame], buckets: int, hot: np.ndarray, hot_buckets: int, length: int, sample: bytes) -> Iterator[pd.DataFrame]:
@@ -165,6 +166,8 @@ def _deal(batches: Iterator[pd.DataFrame], buckets: int, hot: np.ndarray, hot_bu
     their own fingerprints (kind 2) in buckets behind the others."""
     for data, rids, shift in _steps(batches, length):
         yield _deal_piece(data, rids, buckets, hot, hot_buckets, length, _squeeze(sample)).assign(shift=shift)
+    _powers.clear()
+    tidy()
 
 
 def _deal_piece(data: list[bytes], rids: np.ndarray, buckets: int, hot: np.ndarray, hot_buckets: int, length: int, squeeze: Squeeze) -> pd.DataFrame:
@@ -253,25 +256,28 @@ def repeats(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray, pos: np.nd
     ranked = length - MODULUS + 1
     # cover sample: ranks of the strings at positions of the cover
     span = _spread(starts, sizes - ranked + 1)
-    residue = (span - np.repeat(starts - pos, sizes - ranked + 1)) % MODULUS
+    residue = ((span - np.repeat(starts - pos, sizes - ranked + 1)) % MODULUS).astype(np.int8)
     sample = span[np.isin(residue, COVER)]
+    del span, residue
     rank = np.zeros(len(raw) + 1, np.uint64)
-    values, inverse = np.unique(prints.of(sample, ranked), return_inverse=True)
+    _, inverse = np.unique(prints.of(sample, ranked), return_inverse=True)
     rank[sample] = inverse.astype(np.uint64)
+    del prints, sample, inverse
     # suffixes of the bucket, each by the cover's rank near it and the bytes that rank leaves out
     at = _spread(starts, windows)
     piece = np.repeat(np.arange(len(starts)), windows)
     residue = (at - np.repeat(starts - pos, windows)) % MODULUS
-    raw64 = raw.astype(np.uint64)
     bits = np.uint64(max(1, int(len(at)).bit_length()))
     keys = []
     for c in COVER:
         d = (c - residue) % MODULUS
-        one = np.where(d >= 1, raw64[at], raw64[at + length - 2])
-        two = np.where(d >= 2, raw64[at + 1], raw64[at + length - 1])
+        one = np.where(d >= 1, raw[at], raw[at + length - 2]).astype(np.uint64)
+        two = np.where(d >= 2, raw[at + 1], raw[at + length - 1]).astype(np.uint64)
         key = rank[at + d] << np.uint64(18) | d.astype(np.uint64) << np.uint64(16) | one << np.uint64(8) | two
         keys.append(key << bits | np.arange(len(at), dtype=np.uint64))
-    key = np.sort(np.concatenate(keys))
+    key = np.concatenate(keys)
+    del keys
+    key.sort()
     same = (key[1:] >> bits) == (key[:-1] >> bits)
     index = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     twice = np.zeros(len(at), bool)
@@ -316,6 +322,9 @@ def _sort_bucket(rows: pd.DataFrame, length: int, sample: bytes) -> pd.DataFrame
         hit = _equal(window) & (rid >= 0)
         if hit.any():
             found.append(_joined(rid[hit], place[hit], length))
+    # workers outlive their tasks: what a bucket needed is given back before the next one comes
+    _powers.clear()
+    tidy()
     out = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
     return pd.DataFrame({"rid": out[0], "start": out[1], "end": out[2]})
 
@@ -325,11 +334,11 @@ def _sample(docs: DataFrame) -> bytes:
     return "".join(r.t for r in docs.select(F.substring("text", 1, 2000).alias("t")).limit(50).collect()).encode("utf-8", "surrogatepass")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, share: DataFrame | None = None) -> DataFrame:
     """(rid, start, end): byte spans of texts made of strings of so many bytes that also start elsewhere. Spans may overlap.
 
     docs: rid (unique long), text (never null). Equality is by 64-bit fingerprints within a bucket. Anchors with very many
-    windows are found by a count over a share of the texts before windows are dealt; a bucket that is large all the same is
+    windows are found by a count over share, one in SHARE of docs, before windows are dealt; a bucket that is large all the same is
     compared by fingerprints alone, so none is too large.
     """
     sample = docs.sparkSession.sparkContext.broadcast(_sample(docs))
@@ -337,19 +346,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # a window of 185 grams changes its anchor about every 93 bytes, so pieces hold about 3.2 times the text
     buckets = max(1, int(total * 3.2 / BUCKET_BYTES))
     long = docs.filter(F.octet_length("text") >= length)
-    hot = _hot(long, length)
+    hot = _hot(_share(docs) if share is None else share, length)
     shared = docs.sparkSession.sparkContext.broadcast((sample.value, np.array([h.gram for h in hot], np.int64).view(np.uint64)))
     hot_buckets = max(1, int(sum(h.n for h in hot) * 24 / BUCKET_BYTES))
     dealt = long.mapInPandas(lambda it: _deal(it, buckets, shared.value[1], hot_buckets, length, shared.value[0]), "bucket int, kind int, payload binary, shift long")
     return dealt.groupBy("bucket").applyInPandas(lambda rows: _sort_bucket(rows, length, sample.value), "rid long, start long, end long")
 
 
-def _hot(docs: DataFrame, length: int) -> list:
+def _share(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.pmod(F.xxhash64("rid"), F.lit(SHARE)) == 0)
+
+
+def _hot(share: DataFrame, length: int) -> list:
     """(gram, n): anchors of HOT_WINDOWS windows or more by the count in a share of the texts, the commonest HOT_ANCHORS at most.
 
     Which anchors are found changes where windows are compared and never what is found.
     """
-    share = docs.filter(F.pmod(F.xxhash64("rid"), F.lit(SHARE)) == 0)
     n = (F.sum("n") * SHARE).alias("n")
     return share.mapInPandas(lambda it: _anchors(it, length), "gram long, n long").groupBy("gram").agg(n).filter(F.col("n") >= HOT_WINDOWS).orderBy(F.desc("n"), "gram").limit(HOT_ANCHORS).collect()
 
@@ -361,6 +373,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Data
     another. Texts are UTF-8 bytes, null is empty; texts shorter than length keep all. Repeated rows and null ids are
     rows like any other. Rows are known by an id that is written with their packed text.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = docs.sparkSession.sparkContext.broadcast(_sample(rows))
 
@@ -368,14 +381,17 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Data
         pack = _squeeze(sample.value).pack
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "packed": [pack(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]})
+        tidy()
 
     def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = _squeeze(sample.value).unpack
         for batch in batches:
             yield pd.DataFrame({"rid": batch["rid"], "text": [unpack(p).decode("utf-8", "surrogatepass") for p in batch["packed"]]})
+        tidy()
 
     packed = numbered(rows.mapInPandas(squeezed, "doc_id long, packed binary"))
-    spans = repeated_spans(packed.select("rid", "packed").mapInPandas(unpacked, "rid long, text string"), length).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    texts = lambda rows: rows.select("rid", "packed").mapInPandas(unpacked, "rid long, text string")
+    spans = repeated_spans(texts(packed), length, texts(_share(packed))).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     @F.pandas_udf("struct<n_bytes:long,spans:array<struct<start:long,end:long>>,kept:binary>")
     def without(packed: pd.Series, found: pd.Series) -> pd.DataFrame:
