@@ -25,7 +25,7 @@ from .common import numbered, small_batches, tidy
 LENGTH = 200
 GRAM = 16
 #: Bytes of text a map step works on at once, and bytes of pieces a bucket should hold.
-PIECE_BYTES = 3 << 19
+PIECE_BYTES = 5 << 19
 BUCKET_BYTES = 5 << 20
 #: Windows of one anchor from which they are dealt on, of one bucket from which it is sorted by fingerprints alone, anchors at most that
 #: are dealt on (the most common ones, by a share of all texts; others are sorted where they are, whatever their number).
@@ -101,7 +101,7 @@ def _runs(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prints: Prints
 class Squeeze:
     """Compression of small blobs with a sample of the texts as dictionary."""
 
-    def __init__(self, sample: bytes, level: int = 3):
+    def __init__(self, sample: bytes, level: int = 9):
         held = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(sample) >= 8 else None
         if held:
             held.precompute_compress(level=level)
