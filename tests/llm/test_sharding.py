@@ -1,8 +1,80 @@
 import zlib
 
+import xxhash
+
 from ledgerline.llm import sharding
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark as a signed number: each value's hash seeds that of the next; nulls are passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v.to_bytes(4 if isinstance(v, Int) else 8, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+class Int(int):
+    """A number of 32 bits."""
+
+
+def brute_force(files, n_shards, seed, n_buckets):
+    """Shards as lists of records, from {file name: rows in order}: scatter, Fisher-Yates, deal."""
+    buckets = [[] for _ in range(n_buckets)]
+    for name, rows in files.items():
+        for at, row in enumerate(rows):
+            content = spark_hash(*row)
+            place = spark_hash(Int(seed), name, at, content)
+            buckets[spark_hash(Int(seed), place) % n_buckets].append((place, content, row))
+    line = []
+    for b, held in enumerate(buckets):
+        held.sort(key=lambda r: r[:2])
+        for i in range(len(held) - 1, 0, -1):
+            j = spark_hash(Int(seed), b, Int(i)) % (i + 1)
+            held[i], held[j] = held[j], held[i]
+        line += [row for _, _, row in held]
+    return [line[s::n_shards] for s in range(n_shards)]
+
+
+def test_equals_the_permutation_in_plain_python_whatever_the_splits(spark, tmp_path, monkeypatch):
+    rows = [(i % 170, f"text {i % 170} " * (i % 9)) for i in range(400)] + [(None, None), (None, ""), (3, "x" * 50_000)] * 5
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    files = {}
+    for f in sorted((tmp_path / "docs").glob("part-*.parquet")):
+        files[f.name] = [(r.doc_id, r.text) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    monkeypatch.setattr(sharding, "SPAN", 4)
+    names = {"spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "0"}
+    want = brute_force(files, 7, 5, -(-len(rows) // 40))
+    for other in (False, True):
+        try:
+            for name, value in names.items() if other else ():
+                spark.conf.set(name, value)
+            docs = spark.read.parquet(path)
+            got = sorted((r.shard, r.slot, r.doc_id, r.text) for r in sharding.shard(docs, 7, seed=5, bucket_rows=40).collect())
+        finally:
+            for name in names:
+                spark.conf.unset(name)
+        assert [(a, b, c, d) for a, b, c, d in got] == [(a, b, *row) for a, shard in enumerate(want) for b, row in enumerate(shard)]
+
+
+def test_every_order_of_three_comes_up_alike(spark):
+    made = spark.range(12_000).select(sharding.fisher_yates(sharding.F.array(*map(sharding.F.lit, "abc")), sharding.F.col("id"), 1).alias("o"))
+    counts = [r["count"] for r in made.groupBy("o").count().collect()]
+    assert len(counts) == 6 and all(1800 < n < 2200 for n in counts)
+
+
+def test_clashing_columns(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.range(50).selectExpr("id as doc_id", "'t' as text", "id as rec", "id as bucket", "id as place", "id as slot", "map('a', id) as m").write.parquet(path)
+    clash = spark.read.parquet(path)
+    for docs in (clash, clash.withColumn("_metadata", sharding.F.lit("own"))):
+        out = sharding.shard(docs, 4, bucket_rows=8)
+        assert out.count() == 50 and set(out.columns) == {*docs.columns, "shard"}
+        assert out.filter("rec = doc_id and bucket = doc_id and place = doc_id and m['a'] = doc_id").count() == 50
+
+
 def test_counts_slots_and_digest(spark):
     rows = [(i, f"text {i}" * (i % 7), i) for i in range(203)] + [(None, None, 0), (5, "same", 1), (5, "same", 1), (9, "x" * 200_000, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(5)
