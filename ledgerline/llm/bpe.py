@@ -54,6 +54,8 @@ class Bpe:
         for rank, m in enumerate(model["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             pairs.append((vocab[a] * self.base + vocab[b], rank, vocab[a + b]))
+        if len(pairs) > NO_RANK:
+            raise ValueError(f"{len(pairs)} merges: ranks from {NO_RANK} on cannot be told from no merge")
         self.merged = np.array([m for _, _, m in pairs], np.int64)
         self.slots = 1 << (4 * len(pairs)).bit_length()
         self.keys, self.ranks = np.full(self.slots + 64, -1, np.int64), np.full(self.slots + 64, NO_RANK, np.int64)

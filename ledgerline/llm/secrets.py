@@ -82,7 +82,9 @@ def ledger_scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULE
     versions: one row per (path, historical version); null text is the empty text. ledger: what an earlier call
     returned, or None. Returns (findings, ledger): findings has path, blob and spans, an array of
     (start, kind_no, end) in order, empty where nothing was found, one row for each row of versions, null
-    and repeated paths included. ledger has (blob, kind, version, spans), one row for each pair scanned.
+    and repeated paths included. ledger has (blob, kind, version, spans), one row for each pair scanned. An empty table
+    gives empty findings and leaves the ledger as it was. Texts of any length are scanned whole, equal ones once; no
+    other column is read, so names that clash with an operator's do no harm.
     """
     seen = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     distinct = seen.groupBy("blob").agg(F.first("text").alias("text"))

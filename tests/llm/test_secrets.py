@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from ledgerline.llm import secrets
+from ledgerline.llm import queries, secrets
 
 BASE = (("assign", secrets.RULES[0].pattern, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
@@ -44,6 +44,16 @@ def test_ledger_skips_what_it_has_seen(spark):
     assert {r.doc_id: r.spans for r in secrets.digest(findings).collect()} == {0: brute(CASES[3]), 7: brute(CASES[4]), 8: ""}
 
 
+def test_query_goes_through_the_ledger(spark, tmp_path):
+    texts = CASES * 4 + [None, f"token={HEX}"]
+    spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    early = docs.filter(secrets.F.xxhash64("doc_id") < 0).count()
+    assert 0 < early < len(texts)
+    got = sorted((r.doc_id or -1, r.spans) for r in queries.op2_secret_ledger(spark, str(tmp_path)).collect())
+    assert got == sorted((i if i % 9 else -1, brute(t)) for i, t in enumerate(texts))
+
+
 def test_empty_table(spark):
     findings, ledger = secrets.ledger_scan(spark.createDataFrame([], "doc_id long, text string"))
     assert findings.count() == 0 and ledger.count() == 0
