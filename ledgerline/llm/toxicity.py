@@ -1,6 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of equal length, each trained (zstandard.train_dictionary) on windows of one class of
+Texts are parted into kinds by the bytes they are made of, much as languages part them, and each kind has dictionaries of
+its own, so that the commonest does not take the room of the others. These are
+two zstandard dictionaries of equal length, each trained (zstandard.train_dictionary) on windows of one class of
 labelled text, behind a shared piece of plain text. A window is a word. Which windows of toxic text the toxic dictionary
 is trained on is settled by contrast: those that begin with something surely commoner, per distinct context, in toxic
 than in ordinary rows; without that step the trainer spends both dictionaries on the same filler (figures in the
@@ -29,8 +31,10 @@ from .common import small_batches, tidy
 ROWS = {1: 2200, 0: 5100}
 #: Bytes of plain text that both dictionaries share, and bytes that each is trained to beside it.
 BASE_BYTES, PART_BYTES = 8000, 2048
-#: Bytes of windows of one class that the trainer is given.
+#: Bytes of windows of one class that the trainer is given, over all kinds.
 TRAIN_BYTES = 8 << 20
+#: Most kinds of text, and labelled rows of each class without which a kind is none of its own.
+KINDS, KIND_ROWS = 6, 12
 #: The trainer's segments and the strings it counts.
 SEGMENT, GRAM = 16, 6
 #: A word start is typical if it has so many distinct contexts, such a log ratio of rates and such a root of the likelihood ratio.
@@ -41,6 +45,8 @@ WINDOW = 24
 #: Every window is compressed between these two, so that its frame is never stored raw and its last bytes can be matched.
 LEAD, TAIL = b" 0123456789 qwertyuiop asdfghjkl zxcvbnm ", bytes(range(1, 10))
 SAVED = (1, 2, 3, 4, 5, 6)
+#: Numbers that describe a text: windows by saving, their number, and four shares.
+WIDTH = len(SAVED) + 1 + 4
 #: Windows compressed at a time, words kept with their savings in one worker (past it the cache starts anew), and words
 #: counted at a time. They change time and memory, not results.
 BLOCK, CACHE_WORDS, PART_WORDS = 8192, 200_000, 50_000
@@ -49,16 +55,57 @@ _LETTERS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    kinds: tuple[tuple[float, ...], ...]
+    pairs: tuple[tuple[bytes, bytes], ...]
     weights: tuple[float, ...]
     mean: tuple[float, ...]
     scale: tuple[float, ...]
 
 
+def _letters(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace").translate(_LETTERS)
+
+
 def words(text: str) -> list[bytes]:
     """The words of the whole text in lower case; what is neither a letter nor a digit of ASCII nor beyond it divides them."""
-    return text.lower().encode("utf-8", "replace").translate(_LETTERS).split()
+    return _letters(text).split()
+
+
+def prints(texts: list[str]) -> np.ndarray:
+    """Roots of the byte counts of each whole text as a vector of length 1; 0 where it has no words."""
+    out = np.zeros((len(texts), 256))
+    for i, text in enumerate(texts):
+        data = np.frombuffer(_letters(text), np.uint8)
+        for at in range(0, len(data), 1 << 20):
+            out[i] += np.bincount(data[at : at + (1 << 20)], minlength=256)
+    out[:, 32] = 0
+    out = np.sqrt(out)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def nearest(made: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return np.argmax(made @ kinds.T, axis=1)
+
+
+def kinds_of(made: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Middles of the kinds of text, by spherical k-means from rows far from one another (past the farthest fiftieth, which may be
+    odd ones); the poorest kind goes until each has KIND_ROWS rows of either class."""
+    middle = made.mean(axis=0)
+    held = [made[np.argmax(made @ middle)]]
+    for _ in range(KINDS - 1):
+        held.append(made[np.argsort((made @ np.array(held).T).max(axis=1), kind="stable")[len(made) // 50]])
+    kinds = np.array(held)
+    for _ in range(5):
+        own = nearest(made, kinds)
+        sums = np.array([made[own == i].sum(axis=0) if (own == i).any() else kinds[i] for i in range(len(kinds))])
+        kinds = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    while len(kinds) > 1:
+        own = nearest(made, kinds)
+        rows = np.minimum(*(np.bincount(own[toxic == k], minlength=len(kinds)) for k in (0, 1)))
+        if rows.min() >= KIND_ROWS:
+            break
+        kinds = np.delete(kinds, rows.argmin(), axis=0)
+    return kinds
 
 
 def _contexts(texts: list[str]) -> dict[bytes, int]:
@@ -105,22 +152,22 @@ def typical(toxic: list[str], ordinary: list[str]) -> tuple[bytes, ...]:
     return tuple(kept)
 
 
-def _trained(rows: Iterable[list[bytes]]) -> bytes:
+def _trained(rows: Iterable[list[bytes]], most: int) -> bytes:
     """A zstandard dictionary of PART_BYTES at most trained on the windows of each row; few windows are the dictionary
-    themselves. The trainer takes some 16 times its samples in memory, so it is given every so many rows, TRAIN_BYTES of them."""
+    themselves. The trainer takes some 16 times its samples in memory, so it is given every so many rows, `most` bytes of them."""
     samples = [x for x in (b"".join(b" " + w + b" " for w in dict.fromkeys(r)) for r in rows) if len(x) >= 8]
-    samples = samples[:: -(-sum(map(len, samples)) // TRAIN_BYTES) or 1]
+    samples = samples[:: -(-sum(map(len, samples)) // most) or 1]
     size = min(PART_BYTES, sum(map(len, samples)) // 4)
     if size < 256 or len(samples) < 8:
         return b"".join(samples)[:PART_BYTES]
     return zstandard.train_dictionary(size, samples, k=SEGMENT, d=GRAM).as_bytes()
 
 
-def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def train(toxic: list[str], ordinary: list[str], most: int = TRAIN_BYTES) -> tuple[bytes, bytes]:
     """Content of the two dictionaries, of equal length."""
     found = typical(toxic, ordinary)
-    own = _trained([w for w in words(t) if w.startswith(found)] for t in toxic) if found else b""
-    other = _trained(words(t) for t in ordinary)
+    own = _trained(([w for w in words(t) if w.startswith(found)] for t in toxic), most) if found else b""
+    other = _trained((words(t) for t in ordinary), most)
     base = b""
     for t in ordinary:
         if len(base) >= BASE_BYTES:
@@ -133,8 +180,8 @@ def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
 
 
 class Scorer:
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.pair = []
+    def __init__(self, toxic: bytes, ordinary: bytes, cache_words: int = CACHE_WORDS):
+        self.pair, self.cache_words = [], cache_words
         # greedy search looks at every place, so that a match of four bytes is not passed over
         how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=6, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0)
         for content in (ordinary, toxic):
@@ -167,7 +214,7 @@ class Scorer:
 
     def learn(self, new: list[bytes]) -> None:
         """Put words into the cache; a word longer than WINDOW saves what its best window saves."""
-        if len(self.cache) + len(new) > CACHE_WORDS:
+        if len(self.cache) + len(new) > self.cache_words:
             self.cache.clear()
         self.cache.update(dict.fromkeys(new, 0))
         cut, owner = [], []
@@ -207,7 +254,7 @@ class Scorer:
     def _count(self, held: list[tuple[int, list[bytes]]], hist: np.ndarray) -> None:
         every = set().union(*(own for _, own in held))
         new = every - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_WORDS:
+        if len(self.cache) + len(new) > self.cache_words:
             new = every
         if new:
             self.learn(sorted(new))
@@ -216,6 +263,31 @@ class Scorer:
         held.clear()
 
 
+class Scorers:
+    """One scorer for each kind of text."""
+
+    def __init__(self, kinds: np.ndarray, pairs: Iterable[tuple[bytes, bytes]]):
+        self.kinds = kinds
+        self.each = [Scorer(*p, max(2 * PART_WORDS, CACHE_WORDS // len(kinds))) for p in pairs]
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """One row a text, by the scorer of its kind."""
+        own = nearest(prints(texts), self.kinds)
+        out = np.zeros((len(texts), WIDTH))
+        for i, scorer in enumerate(self.each):
+            at = np.flatnonzero(own == i)
+            if len(at):
+                out[at] = scorer.features([texts[k] for k in at])
+        return out
+
+
+def train_kinds(texts: dict[int, list[str]], kinds: np.ndarray) -> tuple[tuple[bytes, bytes], ...]:
+    """The two dictionaries of each kind, from texts by class."""
+    own = {k: nearest(prints(texts[k]), kinds) for k in (0, 1)}
+    pick = lambda k, i: [t for t, o in zip(texts[k], own[k], strict=True) if o == i]
+    return tuple(train(pick(1, i), pick(0, i), TRAIN_BYTES // len(kinds)) for i in range(len(kinds)))
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton steps; weights give the classes their true shares."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -249,23 +321,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts = {k: rows.text[rows.toxic == k].tolist() for k in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
+    kinds = kinds_of(prints(texts[1] + texts[0]), np.repeat([1, 0], [len(texts[1]), len(texts[0])]))
     # each half is scored by dictionaries trained on the other, and the model's own are trained on both
     halves = [{k: texts[k][h::2] or texts[k] for k in (0, 1)} for h in (0, 1)]
-    parts = [(Scorer(*train(a[1], a[0])).features(b[1] + b[0]), np.repeat([1.0, 0.0], [len(b[1]), len(b[0])])) for a, b in (halves, halves[::-1])]
+    parts = [(Scorers(kinds, train_kinds(a, kinds)).features(b[1] + b[0]), np.repeat([1.0, 0.0], [len(b[1]), len(b[0])])) for a, b in (halves, halves[::-1])]
     x, y = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     n = len(y)
     share = shares[1] / (shares[0] + shares[1])
     weight = np.where(y == 1, share * n / y.sum(), (1 - share) * n / (n - y.sum()))
     w, mean, scale = calibrate(x, y, weight)
-    found = Model(*train(texts[1], texts[0]), tuple(w), tuple(mean), tuple(scale))
+    found = Model(tuple(map(tuple, kinds.tolist())), train_kinds(texts, kinds), tuple(w), tuple(mean), tuple(scale))
     del rows, texts, halves, parts
     tidy()
     return found
 
 
-@lru_cache(maxsize=2)
-def _scorer(toxic: bytes, ordinary: bytes) -> Scorer:
-    return Scorer(toxic, ordinary)
+@lru_cache(maxsize=1)
+def _scorers(model: Model) -> Scorers:
+    return Scorers(np.array(model.kinds), model.pairs)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -282,14 +355,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _scorer(model.toxic, model.ordinary)
+        own = _scorers(model)
         w, mean, scale = map(np.array, (model.weights, model.mean, model.scale))
         for batch in batches:
             z = (own.features(batch.tolist()) - mean) / scale
             yield pd.Series(1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30))))
         # workers live on: what this task has learned of words is not kept for other stages
         del own
-        _scorer.cache_clear()
+        _scorers.cache_clear()
         tidy()
 
     return docs.withColumn("score", scored(F.coalesce("text", F.lit(""))))

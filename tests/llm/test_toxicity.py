@@ -17,6 +17,8 @@ def test_held_out_rows(spark):
     both = out[out.held_out].merge(labels.toPandas(), on="doc_id")
     langs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "lang"]).to_pandas()
     print(both.merge(langs, on="doc_id").groupby(["lang", "toxic"]).predicted.agg(["mean", "size"]))
+    named = both.merge(langs, on="doc_id")
+    assert (named[named.toxic == 1].groupby("lang").predicted.mean() >= 0.5).all()
     yes, no = both[both.toxic == 1], both[both.toxic == 0]
     assert yes.predicted.mean() >= 0.7 and no.predicted.mean() <= 0.05, (yes.predicted.mean(), no.predicted.mean())
 
@@ -59,3 +61,23 @@ def test_repeated_ids_give_one_model(spark):
     docs = spark.createDataFrame([(i % 60, f"text {i} " + ("oaf dolt " if i % 3 == 0 else "kind good ") * 5) for i in range(120)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
     assert toxicity.fit(docs.repartition(5), labels) == toxicity.fit(docs.repartition(3, "text"), labels)
+
+
+def test_kinds_part_texts_by_their_bytes():
+    rng = random.Random(4)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(60))
+    texts = [make(letters) for letters in ("abcdefgh", "mnopqrst", "éüßöäñ") for _ in range(40)] + ["", "zzz"]
+    toxic = toxicity.np.array([i % 2 for i in range(len(texts))])
+    made = toxicity.prints(texts)
+    kinds = toxicity.kinds_of(made, toxic)
+    own = toxicity.nearest(made, kinds)[:120].reshape(3, 40)
+    assert len({tuple(set(r)) for r in own.tolist()}) == 3 and all(len(set(r)) == 1 for r in own.tolist())
+    assert len(toxicity.kinds_of(made, toxic * 0 + 1)) == 1
+
+
+def test_a_text_is_scored_by_the_dictionaries_of_its_kind():
+    kinds = toxicity.prints(["grobian lumpenpack kalender", "0123456789"])
+    own = toxicity.Scorers(kinds, ((b"same plain words  grobian  lumpenpack ", b"same plain words  kalender  gartenhaus"), (b"0123 456789 ", b"0123 987654 ")))
+    texts = ["der grobian sang", "456789 0123", "", "LUMPENPACK " * 3]
+    want = [own.each[k].features([t])[0] for k, t in zip((0, 1, 0, 0), texts, strict=True)]
+    assert (own.features(texts) == toxicity.np.array(want)).all() and want[0][1] > 0 and want[3][1] > want[0][1]
