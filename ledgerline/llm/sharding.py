@@ -19,7 +19,7 @@ from pyspark.sql.types import StructField
 from .common import cut, shared_dir
 
 #: Size of a bucket: about so many bytes, and so many records (a swap copies the bucket's references).
-BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 1024
+BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 256
 #: Buckets whose offsets are summed together.
 SPAN = 4096
 
