@@ -46,16 +46,13 @@ def _matches(text: Column, rule: Rule, no: int) -> Column:
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-    # over the matches themselves, as the hint also holds for some texts without any
+    # each list is made once, outside of any function of an element, which would make it again for each match
+    parts = F.zip_with(hits, held, lambda hit, part: F.struct(F.length(hit).alias("size"), (F.length(part) >= rule.least).alias("ok")))
+    rows = F.zip_with(parts, gaps, lambda part, gap: F.struct(F.length(gap).alias("gap"), part["size"].alias("size"), part["ok"].alias("ok")))
+    # what follows the last match has no size; the hint also holds for some texts without any match
     return F.transform(
-        hits,
-        lambda hit, i: F.struct(
-            F.lit(no).alias("kind_no"),
-            (i + 1).alias("seq"),
-            F.length(F.element_at(gaps, i + 1)).alias("gap"),
-            F.length(hit).alias("size"),
-            (F.length(F.element_at(held, i + 1)) >= rule.least).alias("ok"),
-        ),
+        F.filter(rows, lambda m: m["size"].isNotNull()),
+        lambda m, i: F.struct(F.lit(no).alias("kind_no"), (i + 1).alias("seq"), m["gap"].alias("gap"), m["size"].alias("size"), m["ok"].alias("ok")),
     )
 
 
@@ -115,9 +112,14 @@ def ledger_scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULE
     return findings, out_ledger
 
 
+def _count(kind_no: int) -> Column:
+    # the function takes the span alone: a second parameter, with a default or not, would be given the span's index
+    return F.size(F.filter("spans", lambda s: s["kind_no"] == kind_no)).cast("long")
+
+
 def digest(findings: DataFrame, rules=RULES) -> DataFrame:
     """(doc_id, n_<kind>, base_sha256, spans) from findings."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     said = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind_no"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
-    count = [F.size(F.filter("spans", lambda s, no=no: s["kind_no"] == no)).cast("long").alias(f"n_{r.kind}") for no, r in enumerate(rules)]
+    count = [_count(no).alias(f"n_{r.kind}") for no, r in enumerate(rules)]
     return findings.select(F.col("path").alias("doc_id"), *count, F.sha2(said, 256).alias("base_sha256"), said.alias("spans"))

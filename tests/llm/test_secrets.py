@@ -64,3 +64,28 @@ def test_keyword_without_a_value(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     findings, _ = secrets.ledger_scan(docs)
     assert {r.doc_id: r.spans for r in secrets.digest(findings).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def counts(text):
+    return [sum(len(m[group]) >= least for m in re.finditer(pattern, text or "")) for _, pattern, group, least in BASE]
+
+
+def test_counts_are_by_kind(spark, tmp_path):
+    texts = [*CASES, f"{HEX} {HEX} {HEX}", f"AKIA{'A' * 16}", f"AKIA{'A' * 16} {HEX} token=abcdef"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op2_secret_ledger(spark, str(tmp_path)).collect()}
+    assert {i: [r.n_assign, r.n_access, r.n_hex] for i, r in got.items()} == {i: counts(t) for i, t in enumerate(texts)}
+    assert {i: r.base_sha256 for i, r in got.items()} == {i: hashlib.sha256(brute(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_time_grows_with_the_matches_of_a_text_not_their_square(spark):
+    text = ("x" * 60 + f" password={HEX}\n") * 10_000
+    findings, _ = secrets.ledger_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    row = secrets.digest(findings).first()
+    assert row.spans == brute(text) and [row.n_assign, row.n_access, row.n_hex] == [10_000, 0, 10_000]
+
+
+def test_case_is_that_of_ascii_letters(spark):
+    texts = ["PaSsWoRd=abcdef", "paſſword=abcdef", "toKen=abcdef", "apıkey=abcdef", "token=abcKdefg"]
+    findings, _ = secrets.ledger_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.n_assign for r in sorted(secrets.digest(findings).collect(), key=lambda r: r.doc_id)] == [1, 0, 0, 0, 0]
