@@ -64,8 +64,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row; null and empty texts have no ids."""
-    return bpe.encode(docs, tokenizer_path(), decode=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids) of every row; null and empty texts have no ids.
+
+    Each row's ids are decoded and compared with its text; ids that give another one stop the stage.
+    """
+    encoded = bpe.encode_checked(docs, tokenizer_path())
+    refuse = F.raise_error(F.concat(F.lit("ids do not decode to the text of doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("long")
+    n_tokens = F.when(F.col("intact"), F.size("ids").cast("long")).otherwise(refuse)
+    return encoded.select("doc_id", n_tokens.alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -171,6 +171,10 @@ class Bpe:
         self.learn(words - known.keys())
         return [[known[w] for w in some] for some in cut]
 
+    def decode(self, ids: list[int]) -> str:
+        """Text of the ids; bytes that are no UTF-8 become U+FFFD, as in the library."""
+        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
+
 
 @lru_cache(maxsize=2)
 def _bpe(spec: str) -> Bpe:
@@ -182,21 +186,34 @@ def spec_of(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string), one row per document; decoded is null if it is not asked for.
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>, decoded string), one row per document.
 
     Null text is the empty text and has no ids. Texts of any length are encoded whole. The vocabulary file (a few MB,
     fixed) goes to executors with the task, so they need no shared path.
     """
-    return _run(docs, tokenizer_path, id_col, text_col, False, decode)
+    return _run(docs, tokenizer_path, id_col, text_col, "decoded")
+
+
+def encode_checked(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>, intact boolean): encode() with its ids decoded in the same task; intact: they gave the text again."""
+    return _run(docs, tokenizer_path, id_col, text_col, "checked")
 
 
 def encode_digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() with its ids and decoded text reduced in the same task."""
-    return _run(docs, tokenizer_path, id_col, text_col, True)
+    return _run(docs, tokenizer_path, id_col, text_col, "digests")
+
+
+#: What a task can return beside doc_id.
+SHAPES = {
+    "decoded": "ids array<int>, decoded string",
+    "checked": "ids array<int>, intact boolean",
+    "digests": "n_tokens long, ids_sha256 string, decoded_sha256 string",
+}
 
 
-def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, digests: bool, decode: bool = True) -> DataFrame:
+def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, shape: str) -> DataFrame:
     small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(spec_of(tokenizer_path))
 
@@ -210,10 +227,14 @@ def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, diges
                     chars += len(texts[end])
                     end += 1
                 out = []
-                for words in bpe.encode(texts[at:end]):
+                for text, words in zip(texts[at:end], bpe.encode(texts[at:end]), strict=True):
                     ids = ",".join([w[1] for w in words])
-                    said = b"".join([w[2] for w in words]).decode("utf-8", "replace") if decode else None
-                    if digests:
+                    if shape == "checked":
+                        some = np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32)
+                        out.append((some, bpe.decode(some.tolist()) == text))
+                        continue
+                    said = b"".join([w[2] for w in words]).decode("utf-8", "replace")
+                    if shape == "digests":
                         out.append((sum([w[0] for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
                     else:
                         out.append((np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32), said))
@@ -224,7 +245,6 @@ def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, diges
         _bpe.cache_clear()
         tidy()
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
+    names = [column.split()[0] for column in SHAPES[shape].split(", ")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, f"doc_id long, {SHAPES[shape]}")

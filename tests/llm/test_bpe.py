@@ -30,5 +30,12 @@ def test_equals_the_library(spark):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_checked_ids_are_those_of_encode_and_give_the_text_again(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    full = {r.doc_id: r for r in bpe.encode(docs, PATH).collect()}
+    got = {r.doc_id: r for r in bpe.encode_checked(docs, PATH).collect()}
+    assert len(got) == len(ODD) and all(got[i].ids == full[i].ids and got[i].intact and full[i].decoded == (x or "") for i, x in enumerate(ODD))
+
+
 def test_empty_table(spark):
     assert bpe.encode_digest(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0

@@ -89,3 +89,25 @@ def test_decontamination_finds_what_holds_an_item(spark):
     rows = [(n, filler * 3 + (r.text if n % 2 else "") + " " + filler * 2, "en", "s", 0) for n, r in enumerate(items)]
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
     assert sorted(r.doc_id for r in cp.drop_contaminated(spark, docs, SF).collect()) == [0, 2, 4]
+
+
+def test_tokens_are_decoded_and_compared_with_their_text(spark, tmp_path, monkeypatch):
+    """In this vocabulary two letters share an id, so texts with the one or the other cannot both come back."""
+    import json
+
+    import public_tokenizers
+    import pytest
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    spec["model"]["merges"], vocab["Q"] = [], vocab["X"]
+    (tmp_path / "shared.json").write_text(json.dumps(spec), encoding="utf-8")
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    plain = spark.createDataFrame([(1, "plain é😀 words", "en", "s", 0), (2, None, "en", "s", 0), (3, "", "en", "s", 0)], schema)
+    mixed = plain.union(spark.createDataFrame([(4, "Q and X", "en", "s", 0)], schema))
+    assert [r.n_tokens for r in cp.to_tokens(spark, mixed, SF).orderBy("doc_id").collect()][1:] == [0, 0, 3]
+    monkeypatch.setattr(cp, "tokenizer_path", lambda: str(tmp_path / "shared.json"))
+    assert sorted(r.doc_id for r in cp.to_tokens(spark, plain, SF).collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="ids do not decode to the text of doc_id 4"):
+        cp.to_tokens(spark, mixed, SF).collect()
