@@ -131,16 +131,16 @@ def history_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("case_id", "database", "table").agg(F.count("*").alias("histories"), F.count_if("contradicted").alias("contradicted"), F.count_if(F.size("partial") > 0).alias("partial"))
 
 
-def case_preview(catalog: DataFrame, health: DataFrame, log_files: DataFrame, transactions: DataFrame, record_verdicts: DataFrame, field_verdicts: DataFrame) -> DataFrame:
-    """One row for each case: what it holds and how it came out. Each table is one aggregate; they meet on case_id."""
+def case_preview(catalog: DataFrame, health: DataFrame, log_files: DataFrame, transactions: DataFrame, records: DataFrame) -> DataFrame:
+    """One row for each case: what it holds and how it came out. Each table is one aggregate; they meet on case_id.
+    records: one verdict each with the counts of its fields."""
     agg = lambda df, *what: df.groupBy("case_id").agg(*what)
     parts = [
         agg(catalog, F.countDistinct("database", "table").alias("tables"), F.count("*").alias("columns")),
         agg(health, F.count_if(F.col("status") == "valid").alias("verified"), F.sum("total_pages").alias("pages"), F.sum("damaged_pages").alias("damaged")),
         agg(log_files, F.count_if(~F.col("present")).alias("missing_logs")),
         agg(transactions, F.count("*").alias("transactions")),
-        agg(record_verdicts, F.count("*").alias("records")),
-        agg(field_verdicts, F.count_if(F.col("result") == "Exact").alias("exact"), F.count_if(F.col("result") == "Unresolved").alias("unresolved")),
+        agg(records, F.count("*").alias("records"), F.sum("n_exact").alias("exact"), F.sum("n_unresolved").alias("unresolved")),
     ]
     return reduce(lambda a, b: a.join(b, "case_id", "full_outer"), parts).na.fill(0)
 
